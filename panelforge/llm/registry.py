@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, chat, exact_dedup, mixing, token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.query,
+    "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_token_counts": token_counts.query,
+    "op8_chat_windows": chat.query,
 }
 
 ORACLE_SQL = {
+    "op4_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op8_chat_windows": chat.SQL,
 }
