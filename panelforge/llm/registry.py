@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, token_counts
+from . import bpe, chat, exact_dedup, mixing, quality, token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.query,
+    "op2_quality": quality.query,
     "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_token_counts": token_counts.query,
