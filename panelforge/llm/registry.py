@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, quality, token_counts
+from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, quality, token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.query,
     "op2_quality": quality.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_token_counts": token_counts.query,
     "op8_chat_windows": chat.query,
+    "op10_language_id": language_id.query,
+    "language_id_pages": language_id.page_query,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.SQL,
     "op4_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_chat_windows": chat.SQL,
