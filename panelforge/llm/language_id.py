@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", least_shar
     if not languages:
         return Model([], [], np.zeros((bins, 0), np.float32))
     known = labelled.select(text_or_empty(text).alias("text"), F.col(label).cast("string").alias("label")).where(F.col("label").isin(languages))
-    sums = known.mapInArrow(_counting(languages, bins), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # bins x languages
+    sums = known.mapInArrow(_counting(languages, bins), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bins x languages
     cells = np.zeros(len(languages) * bins)
     cells[sums["cell"]] = sums["n"]
     grid = cells.reshape(len(languages), bins).T + 0.5

@@ -112,7 +112,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str, key: str, bins: i
     """log p(bin | trusted) - log p(bin | raw), for each bin."""
     flagged = docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(trusted.withColumn("good", F.lit(True))), key, "left")
     parts = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_counting(bins), "bin int, n_raw long, n_good long")
-    sums = parts.groupBy("bin").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_good").alias("n_good")).toPandas()  # one row for each bin
+    sums = parts.groupBy("bin").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_good").alias("n_good")).toArrow().to_pandas()  # one row for each bin
     raw, good = np.zeros(bins), np.zeros(bins)
     raw[sums["bin"]], good[sums["bin"]] = sums["n_raw"], sums["n_good"]
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * bins)

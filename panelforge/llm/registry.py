@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, quality, token_counts
+from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op7_token_counts": token_counts.query,
     "op8_chat_windows": chat.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_language_id": language_id.query,
     "language_id_pages": language_id.page_query,
 }
