@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, token_counts
+from . import bpe, chat, context_mixing, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_lm_score": context_mixing.query,
     "op7_token_counts": token_counts.query,
     "op8_chat_windows": chat.query,
     "op9_ngram_join": ngram_join.query,
