@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import panel_queries
+
+QUERIES = dict(panel_queries.QUERIES)
+ORACLE_SQL = dict(panel_queries.ORACLE_SQL)
