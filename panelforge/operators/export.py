@@ -43,7 +43,7 @@ def series(cells: DataFrame, key: str, order: list[str], values: dict[str, int |
     """One row for each key with parallel arrays in order; numbers half to even at the given places."""
     shown = lambda c, places: F.bround(F.col(c), places) if places is not None else F.col(c)
     rows = F.array_sort(F.collect_list(F.struct(*order, *[shown(c, p).alias(c) for c, p in values.items()])))
-    return cells.groupBy(key).agg(rows.alias("r")).select(key, *[F.transform("r", lambda x, c=c: x[c]).alias(c) for c in values])
+    return cells.groupBy(key).agg(rows.alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in values])
 
 
 def as_json(df: DataFrame, kind: str) -> DataFrame:

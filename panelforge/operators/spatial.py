@@ -48,8 +48,9 @@ def check_boundaries(collection: dict) -> dict:
 
 
 def with_boxes(units: DataFrame) -> DataFrame:
-    points = F.flatten("rings")
-    return units.withColumns({n: f(F.transform(points, lambda q, c=c: q[c])) for n, f, c in (("west", F.array_min, "x"), ("east", F.array_max, "x"), ("south", F.array_min, "y"), ("north", F.array_max, "y"))})
+    flat = units.withColumn("_q", F.flatten("rings"))
+    edges = {"west": F.array_min("_q.x"), "east": F.array_max("_q.x"), "south": F.array_min("_q.y"), "north": F.array_max("_q.y")}
+    return flat.withColumns(edges).drop("_q")
 
 
 def assign(points: DataFrame, units: DataFrame, lon: str = "lon", lat: str = "lat", cell: float = 0.5) -> DataFrame:
@@ -72,7 +73,7 @@ def assign(points: DataFrame, units: DataFrame, lon: str = "lon", lat: str = "la
 def touching(footprints: DataFrame, units: DataFrame, cell: float = 1.0) -> DataFrame:
     """Pairs id, unit_idx whose polygons share a point: a vertex of one in the other, or edges that
     cross. footprints: id, ring."""
-    a = footprints.withColumns({"west": F.array_min(F.transform("ring", lambda q: q["x"])), "east": F.array_max(F.transform("ring", lambda q: q["x"])), "south": F.array_min(F.transform("ring", lambda q: q["y"])), "north": F.array_max(F.transform("ring", lambda q: q["y"]))})
+    a = footprints.withColumns({"west": F.array_min("ring.x"), "east": F.array_max("ring.x"), "south": F.array_min("ring.y"), "north": F.array_max("ring.y")})
     grid = lambda d: d.withColumn("gx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))))
     b = grid(with_boxes(units)).select("gx", "gy", "unit_idx", "rings")
     near = grid(a).select("gx", "gy", "id", "ring").join(b, ["gx", "gy"]).dropDuplicates(["id", "unit_idx"])

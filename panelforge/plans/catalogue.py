@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel_queries
+from . import layer_queries, panel_queries
 
-QUERIES = dict(panel_queries.QUERIES)
-ORACLE_SQL = dict(panel_queries.ORACLE_SQL)
+QUERIES = panel_queries.QUERIES | layer_queries.QUERIES
+ORACLE_SQL = panel_queries.ORACLE_SQL | layer_queries.ORACLE_SQL
