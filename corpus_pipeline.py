@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import bpe, language_id, line_dedup, mixing, ngram_join
-from panelforge.llm.common import shared_dir, table
+from panelforge.llm.common import free_name, shared_dir, table
 from panelforge.session import ship
 
 
@@ -19,14 +19,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the text models come from all labelled documents."""
     ship(spark)
     found = language_id.identify(docs, language_id.fit(docs), host="source")
-    return found.where(F.col("lang_kept")).select(docs.columns)
+    return found.where(F.col(free_name(docs, "lang_kept"))).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of many sources; n_chars follows the text."""
-    cleaned = line_dedup.deduplicate(docs).where(F.col("kept"))
+    cleaned = line_dedup.deduplicate(docs).where(F.col(free_name(docs, "kept")))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(free_name(docs, "n_removed")) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(docs.columns)
 
 
@@ -45,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the digest of the text they decode to."""
     ship(spark)
-    both = bpe.decode(bpe.encode(docs))
+    both = bpe.encode(docs.select("doc_id", "source", "text"), decoded="decoded")
     return both.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -72,7 +72,7 @@ def deduplicate(df: DataFrame, text: str = "text", order: str = "doc_id", counte
     """One row per row of df: its order value, keep_id, group_size, kept, text_sha256."""
     digests = stored(with_digest(df.select(order, text), text).select(F.col(order), "text_sha256"))
     out = groups(digests, "text_sha256", order, counters, least)
-    return out.select(order, "keep_id", "group_size", (F.col(order) == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select(order, "keep_id", "group_size", F.col(order).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

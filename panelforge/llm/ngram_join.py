@@ -262,7 +262,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: floa
     firsts = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     with_words = placed.join(firsts, "root").select("doc_id", "class_id", "class_size", "n_links")
     wordless = docs.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    out = with_words.unionByName(wordless).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    out = with_words.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     return out.withColumnRenamed("doc_id", key)
 
 
