@@ -51,7 +51,8 @@ def without(text: Column, places: Column) -> Column:
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", site: str = "source", min_sites: int = 10, min_words: int = 3, band: float = 0.25) -> DataFrame:
     """df's rows with cleaned text; adds n_lines, n_removed and kept."""
-    lines = _lines(df, text, key, site, min_words)
+    # Hashes are about a tenth of the texts, which would else be split once for each use.
+    lines = stored(_lines(df, text, key, site, min_words))
     found = stored(boilerplate(lines, min_sites, band))
     places = lines.join(found, ["h1", "h2"]).where(F.col("id") != F.col("first")).groupBy("id", "row").agg(F.collect_set("place").alias("places"))
     own = {c: free_name(df, f"cut_{c}") for c in ("id", "row", "places")}
