@@ -1,6 +1,6 @@
 """BPE encoding and decoding by speculation and verification.
 
-A word's tokens are first proposed by greedy longest match. A proposal is the true encoding
+A word's tokens are first proposed by greedy longest match, from its end. A proposal is the true encoding
 exactly when each adjacent pair of tokens is *compatible*, i.e. when the merge order would not
 have joined symbols across their border; numpy tests this for all pairs of all new words of a
 batch at once. Only words with a failing pair are merged pair by pair. Words met before come
@@ -12,27 +12,28 @@ no ids; special tokens inside a text become their own id, as the library does by
 
 from __future__ import annotations
 
-import gc
 import heapq
 import json
-import unicodedata
-from array import array
-from collections.abc import Iterable
-from itertools import chain
+import re
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from .common import table, text_or_empty
+from .common import table
 
-#: Texts of 28 to 31 count as space for str.split but not for the tokenizer's pattern.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
-_SPACE_SPLIT = regex.compile(r"\p{White_Space}+")
-_CACHE_WORDS = 300_000
+#: No word holds white space, so this marks special tokens in a list of words.
+_MARK = " "
+_CACHE_WORDS, _BLOCK_WORDS, _OUT_ROWS = 250_000, 200_000, 1000
+#: Characters that never compose and that all Unicode versions class and lower alike.
+_COMMON = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac\u2122]*")
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -53,6 +54,12 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _packed(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Runs of ids, counts[k] of them each, as little-endian unsigned 32-bit integers."""
+    whole, end = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+    return [whole[a:b] for a, b in zip([0, *end], end, strict=False)]
+
+
 class WordBpe:
     """Encoder and decoder for a BPE vocabulary with word ends, in the tokenizers JSON format."""
 
@@ -66,15 +73,17 @@ class WordBpe:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.ascii_pattern = re.compile(pattern.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
         self.letters = _byte_letters()
+        self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.path, self.library = path, None
         size = max(self.vocab.values()) + 1
         size = max(size, max(self.special.values()) + 1)
         self.names = [""] * size
         for token, i in (self.vocab | self.special).items():
             self.names[i] = token
         self._tables(model["merges"], size)
-        self.cache: dict[str, bytes] = {}  # of pieces between white space
-        self.word_cache: dict[str, bytes] = {}  # of words
+        self.cache: dict[str, bytes] = {}
 
     def _tables(self, merges: list, size: int) -> None:
         v = self.vocab
@@ -101,8 +110,13 @@ class WordBpe:
         ok = np.ones(size, bool)
         for a, b, c, w in zip(left.tolist(), right.tolist(), made.tolist(), whole.tolist(), strict=True):
             ok[c] = w and ok[a] and ok[b]
-        self.proposable = {t: i for t, i in v.items() if ok[i]}
-        self.longest = max(map(len, self.proposable))
+        self.ends_word = np.zeros(size, np.int64)
+        self.automaton = ahocorasick.Automaton()
+        for t, i in v.items():
+            self.ends_word[i] = t.endswith(self.end)
+            if ok[i]:
+                self.automaton.add_word((t.removesuffix(self.end) + "\n" if t.endswith(self.end) else t)[::-1], i)
+        self.automaton.make_automaton()
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, a large number where there is none."""
@@ -132,24 +146,7 @@ class WordBpe:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return good
 
-    def _propose(self, word: str) -> list[int]:
-        """Greedy longest match over the letters of a word; the last letter carries the word end."""
-        out, i, n, known, longest = [], 0, len(word), self.proposable, self.longest
-        full = word + self.end
-        while i < n:
-            if n - i <= longest and (t := known.get(full[i:])) is not None:
-                out.append(t)
-                break
-            for j in range(min(n - 1, i + longest), i, -1):
-                if (t := known.get(full[i:j])) is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
-                return []  # an unknown symbol: left to the merging path
-        return out
-
-    def _merge_many(self, words: list[str]) -> list[list[int]]:
+    def _merge_many(self, words: list[str]) -> list[bytes]:
         """Exact merging of words of similar length, one row each: in every round each row joins
         its pair of lowest rank, the leftmost on ties, until no pair can merge."""
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -185,27 +182,37 @@ class WordBpe:
             ranks[row, here] = np.minimum(self._joined(ids[row, here], ids[row, here + 1]), none)
             before = np.maximum(at - 1, 0)
             ranks[row, before] = np.minimum(self._joined(ids[row, before], ids[row, before + 1]), none)
-        return [[t for t in x if t >= 0] for x in out.tolist()]
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words, given in byte letters."""
-        ids = [self._propose(w) if len(w) < 200 else [] for w in words]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
-        word_of = np.repeat(np.arange(len(ids)), counts)
-        inner = np.flatnonzero(word_of[1:] == word_of[:-1]) if len(flat) else np.array([], np.int64)
-        failing = np.zeros(len(ids), bool)
-        failing[word_of[inner[~self._compatible(flat[inner], flat[inner + 1])]]] = True
-        failing |= counts == 0
+        return _packed(out[out >= 0], (out >= 0).sum(axis=1))
+
+    def _propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words by longest match from each word's end, and the words they are in.
+
+        From the end every word can be covered, as each letter is a token with and without the
+        word end. One automaton runs over all words at once, backwards.
+        """
+        backwards = ("\n".join(words) + "\n")[::-1]
+        tokens = np.fromiter((t for _, t in self.automaton.iter_long(backwards)), np.int64)[::-1]
+        last = self.ends_word[tokens]
+        return tokens, np.cumsum(last) - last
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words, given in byte letters."""
+        if not words:
+            return []
+        tokens, word_of = self._propose(words)
+        inner = np.flatnonzero(word_of[1:] == word_of[:-1])
+        failing = np.zeros(len(words), bool)
+        failing[word_of[inner[~self._compatible(tokens[inner], tokens[inner + 1])]]] = True
+        out = _packed(tokens, np.bincount(word_of, minlength=len(words)))
         bad = sorted(np.flatnonzero(failing).tolist(), key=lambda k: len(words[k]))
         while bad and len(words[bad[-1]]) >= 64:
             k = bad.pop()
-            ids[k] = self._merge_long(words[k])
+            out[k] = np.array(self._merge_long(words[k]), "<u4").tobytes()
         for k in range(0, len(bad), 10_000):
             part = bad[k : k + 10_000]
             for n, x in zip(part, self._merge_many([words[n] for n in part]), strict=True):
-                ids[n] = x
-        return ids
+                out[n] = x
+        return out
 
     def _merge_long(self, word: str) -> list[int]:
         """Exact merging with a heap, for long words."""
@@ -228,36 +235,27 @@ class WordBpe:
                     heapq.heappush(heap, (rank_of[q], x, q))
         return [t for t, a in zip(ids, alive, strict=True) if a]
 
-    def _letters_of(self, chunk: str) -> list[str]:
-        """Pre-tokens of a piece without white space or special tokens, in byte letters."""
-        if chunk.isascii():
-            s = chunk.lower()
-        else:
-            s = unicodedata.normalize("NFC", chunk)
-            s = "".join(map(str.lower, s)) if "Σ" in s else s.lower()  # no final-sigma rule in the library
-        if s.isascii() and s.isalpha():
-            return [s]
-        letters = self.letters
-        return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in self.pattern.findall(s)]
-
-    def _fill(self, chunks: list[str]) -> None:
-        """Adds the encodings of new chunks to the cache, those of new words first."""
-        parts: list[list] = []
-        for c in chunks:
-            own: list = []
-            for k, piece in enumerate(self.special_pattern.split(c) if "<|" in c else (c,)):
-                if k % 2:
-                    own.append(self.special[piece].to_bytes(4, "little"))
-                elif piece:
-                    own += self._letters_of(piece)
-            parts.append(own)
-        if len(self.word_cache) > _CACHE_WORDS:
-            self.word_cache.clear()
-        known = self.word_cache
-        new = list({w for own in parts for w in own if w not in known and type(w) is str})
-        known.update(zip(new, [array("I", x).tobytes() for x in self.words(new)], strict=True))
-        for c, own in zip(chunks, parts, strict=True):
-            self.cache[c] = b"".join([known[w] if type(w) is str else w for w in own])
+    def _words_of(self, text: str) -> list[str]:
+        """Words of a text without special tokens, as the library's normalizer and pattern give them."""
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        if _COMMON.fullmatch(text):
+            return self.pattern.findall(text.lower())
+        # Unicode tables differ between versions in what composes, lowers and is a letter, so rarer
+        # characters are split by the library's own normalizer and pattern.
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes([self.byte_of[c] for c in piece]).decode() for piece, _ in pieces]
+
+    def _split(self, text: str) -> list[str]:
+        """Words and special tokens of a text."""
+        if "<|" not in text:
+            return self._words_of(text)
+        out: list[str] = []
+        for k, piece in enumerate(self.special_pattern.split(text)):
+            out += [_MARK + piece] if k % 2 else self._words_of(piece)
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
@@ -265,10 +263,9 @@ class WordBpe:
         block: list[list[str]] = []
         held = 0
         for text in texts:
-            t = text or ""
-            block.append(list(filter(None, _SPACE_SPLIT.split(t))) if _ODD_SPACE.search(t) else t.split())
+            block.append(self._split(text or ""))
             held += len(block[-1])
-            if held > 400_000:
+            if held > _BLOCK_WORDS:
                 out += self._block(block)
                 block, held = [], 0
         return out + self._block(block)
@@ -279,15 +276,15 @@ class WordBpe:
             if len(self.cache) + len(new) > _CACHE_WORDS:
                 self.cache.clear()
                 new = set().union(*block)
-            collecting = gc.isenabled()
-            gc.disable()  # millions of short lists, none of them in a cycle
-            try:
-                self._fill(list(new))
-            finally:
-                if collecting:
-                    gc.enable()
+            self._learn([w for w in new if w[0] != _MARK])
+            self.cache.update((w, self.special[w[1:]].to_bytes(4, "little")) for w in new if w[0] == _MARK)
         get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in block]
+        return [b"".join(map(get, words)) for words in block]
+
+    def _learn(self, words: list[str]) -> None:
+        letters = self.letters
+        spelled = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in words]
+        self.cache.update(zip(words, self.words(spelled), strict=True))
 
     def decode(self, packed: bytes | None) -> str:
         """The tokens' names joined by a space, as the library decodes without a decoder."""
@@ -302,37 +299,47 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encoder(path: str):
-    @F.pandas_udf(T.BinaryType())
-    def bpe_encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(loaded(path).encode(texts), dtype=object)
-
-    return bpe_encode
+def _encoding(path: str, text: str, ids: str, n_tokens: str, decoded: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for start in range(0, batch.num_rows, _OUT_ROWS):
+                part = batch.slice(start, _OUT_ROWS)
+                packed = bpe.encode(part.column(at).to_pylist())
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                columns |= {ids: pa.array(packed, pa.binary()), n_tokens: pa.array([len(x) // 4 for x in packed], pa.int64())}
+                if decoded:
+                    columns[decoded] = pa.array(map(bpe.decode, packed), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
+    return run
 
-def decoder(path: str):
-    @F.pandas_udf(T.StringType())
-    def bpe_decode(packed: pd.Series) -> pd.Series:
-        return pd.Series([loaded(path).decode(p) for p in packed], dtype=object)
-
-    return bpe_decode
 
-
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """Adds ids (packed little-endian unsigned 32-bit integers) and their number."""
-    out = df.withColumn(ids, encoder(path or default_path())(text_or_empty(text)))
-    return out.withColumn(n_tokens, (F.octet_length(F.col(ids)) / 4).cast("long"))
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None, path: str | None = None) -> DataFrame:
+    """Adds ids (packed little-endian unsigned 32-bit integers), their number and, if a name is
+    given, the text that they decode to. Columns that have these names already are replaced."""
+    new = [ids, n_tokens, *([decoded] if decoded else [])]
+    kept = df.drop(*new).withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType()), *([T.StructField(decoded, T.StringType())] if decoded else [])])
+    return kept.mapInArrow(_encoding(path or default_path(), text, ids, n_tokens, decoded), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
     """Adds the text that packed ids stand for."""
-    return df.withColumn(decoded, decoder(path or default_path())(F.col(ids)))
+    vocabulary = path or default_path()
+
+    @F.pandas_udf(T.StringType())
+    def bpe_decode(packed: pd.Series) -> pd.Series:
+        return pd.Series([loaded(vocabulary).decode(p) for p in packed], dtype=object)
+
+    return df.withColumn(decoded, bpe_decode(F.col(ids)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: encodes and decodes every whole text; digests of ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
+    both = encode(docs, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
