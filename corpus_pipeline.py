@@ -31,10 +31,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near copies."""
+    """The first document of each class of near copies; of rows that repeat it, one stays."""
     ship(spark)
     first = ngram_join.join(docs).where(F.col("kept")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    # The rows of an id are in one partition after the join, so dropping repeats needs no shuffle.
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return kept.select(docs.columns).unionByName(nameless)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
