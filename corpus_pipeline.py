@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import bpe, language_id, line_dedup, mixing, ngram_join
-from panelforge.llm.common import free_name, shared_dir, table
-from panelforge.session import ship
+from panelforge.llm.common import free_name, prepare, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the text models come from all labelled documents."""
-    ship(spark)
+    prepare(spark)
     found = language_id.identify(docs, language_id.fit(docs), host="source")
     return found.where(F.col(free_name(docs, "lang_kept"))).select(docs.columns)
 
@@ -32,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near copies; of rows that repeat it, one stays."""
-    ship(spark)
+    prepare(spark)
     first = ngram_join.join(docs).where(F.col("kept")).select("doc_id").distinct()
     # The rows of an id are in one partition after the join, so dropping repeats needs no shuffle.
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -47,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the digest of the text they decode to."""
-    ship(spark)
+    prepare(spark)
     both = bpe.encode(docs.select("doc_id", "source", "text"), decoded="decoded")
     return both.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -312,6 +312,7 @@ def _encoding(path: str, text: str, ids: str, n_tokens: str, decoded: str | None
                 if decoded:
                     columns[decoded] = pa.array(map(bpe.decode, packed), pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
+        bpe.cache.clear()  # Python workers live on with other tasks
 
     return run
 

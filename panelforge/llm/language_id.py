@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import free_name, stored, table, text_or_empty
 
 BINS = 1 << 15
-_BLOCK_BYTES = 4_000_000
+_BLOCK_BYTES, _ROWS = 1_000_000, 1000
 #: Bytes that a trigram may hold: letters, and one space for everything else.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -62,9 +62,10 @@ def _counting(languages: list[str], bins: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(languages) * bins, np.int64)
-        for batch in batches:
-            language = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
-            for at, n, bin_of, row in _trigrams(batch.column(0).to_pylist(), bins):
+        parts = (batch.slice(k, _ROWS) for batch in batches for k in range(0, batch.num_rows, _ROWS))
+        for part in parts:
+            language = np.array([place[x] for x in part.column(1).to_pylist()], np.int64)
+            for at, n, bin_of, row in _trigrams(part.column(0).to_pylist(), bins):
                 counts += np.bincount(language[at : at + n][row] * bins + bin_of, minlength=len(counts))
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(seen), "n": pa.array(counts[seen])})

@@ -256,10 +256,12 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: floa
     found = stored(texts.groupBy("small", "cell", "low", "high").applyInPandas(_links(threshold, tolerance, 5), "node binary, n_links long, to binary"))
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(found.where(F.col("node") != F.col("to")).select(F.col("node").alias("a"), F.col("to").alias("b")))
-    per_node = links.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links")
+    # Stored sides leave both joins to plain shuffles, whose hot keys Spark splits at run time.
+    per_node = stored(links.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links"))
 
     placed = features.select("doc_id", "node").join(per_node, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    firsts = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    placed = stored(placed)
+    firsts = stored(placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     with_words = placed.join(firsts, "root").select("doc_id", "class_id", "class_size", "n_links")
     wordless = docs.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     out = with_words.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
