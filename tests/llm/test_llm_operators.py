@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import rows_of, sql_rows
 from hypothesis import given, settings
@@ -190,6 +191,21 @@ def test_mixing_beats_its_codes_on_regular_text(spark):
     assert r["s"] > 0.25 * r["b"]
 
 
+def test_all_training_texts_and_whole_counts_are_learned_from():
+    keys = [k for k in range(70) if zlib.crc32(str(k).encode()) % 7 not in (2, 3)]
+    words = [w for w in (b"word%d" % k for k in range(50)) if zlib.crc32(w) % 7 != 3]
+    codes = context_mixing.Codes([b"a", b"b"], [50, 20], 10, 7)
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(keys), "text": pa.array(["a b c"] * len(keys))})
+    fitted = next(context_mixing._fit_weights(codes, np.zeros((2, 64, 2), np.float32))(iter([texts])))
+    assert sum(fitted["seen"].to_pylist()) == len(keys) * codes.length[[0, 1, 2, 3]].sum()
+    rare = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array([100] * len(words))})
+    counts = next(context_mixing._count_letters(64)(iter([rare])))
+    letters = sum(8 * (len(w) + 1) for w in words)
+    assert sum(counts["zeros"].to_pylist()) + sum(counts["ones"].to_pylist()) == 3 * 100 * letters
+    spelled = next(context_mixing._fit_spelling(np.full((3, 64, 2), 1000, np.float32))(iter([rare])))
+    assert sum(spelled["seen"].to_pylist()) == letters
+
+
 # 8: chat
 
 
