@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from helpers import rows_of, sql_rows
 from hypothesis import given, settings
@@ -196,7 +197,9 @@ def test_all_training_texts_and_whole_counts_are_learned_from():
     words = [w for w in (b"word%d" % k for k in range(50)) if zlib.crc32(w) % 7 != 3]
     codes = context_mixing.Codes([b"a", b"b"], [50, 20], 10, 7)
     texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(keys), "text": pa.array(["a b c"] * len(keys))})
-    fitted = next(context_mixing._fit_weights(codes, np.zeros((2, 64, 2), np.float32))(iter([texts])))
+    packed = list(context_mixing._pack(codes)(iter([texts])))
+    sent = pa.Table.from_batches(list(context_mixing._sent(1)(iter(packed))))
+    fitted = context_mixing._fit_weights(codes)(pa.Table.from_batches(packed), context_mixing._summed(codes)(sent))
     assert sum(fitted["seen"].to_pylist()) == len(keys) * codes.length[[0, 1, 2, 3]].sum()
     rare = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array([100] * len(words))})
     counts = next(context_mixing._count_letters(64)(iter([rare])))
@@ -206,6 +209,42 @@ def test_all_training_texts_and_whole_counts_are_learned_from():
     assert sum(spelled["seen"].to_pylist()) == letters
 
 
+def test_context_counts_are_exact_for_any_number_of_ranges(spark):
+    rows = [(k, " ".join(f"w{k * j * j % 97}" for j in range(60))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, many = ({r["doc_id"]: r["score"] for r in context_mixing.score(docs, words=64, slots=n).collect()} for n in (1 << 20, 1 << 8))
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-3
+    codes = context_mixing.Codes([b"a", b"b"], [50, 20], 10, 7)
+    words = [[("a", "b", f"r{(k + j) % 30}")[j % 3] for j in range(40)] for k in range(40)]
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40)), "text": pa.array(list(map(" ".join, words)))})
+    packed = [b for k in (0, 20) for b in context_mixing._pack(codes)(iter([texts.slice(k, 20)]))]
+    sent = pa.Table.from_batches(list(context_mixing._sent(1)(iter(packed))))
+    pairs = Counter((a, b) for k, ws in enumerate(words) if zlib.crc32(str(k).encode()) % 7 != 2 for a, b in zip(ws, [*ws[1:], ""], strict=True))
+    found = context_mixing._summed(codes)(sent)
+    for block in packed:
+        mine = found.filter(pa.compute.equal(found["block"], block.column("block")[0]))
+        b = context_mixing.Block(codes, pa.Table.from_batches([block]), mine)
+        flat = [w for size, ws in zip(b.size, words[:20] if block is packed[0] else words[20:], strict=True) for w in [*ws, None]]
+        for at in range(1, len(flat)):
+            if flat[at] is None or flat[at - 1] is None:
+                continue
+            pair, here = b.of[0][at], b.start[b.of[0][at]]
+            first = codes.bit[codes.start[b.symbols[at]]]
+            after = [(w, n) for (a, w), n in pairs.items() if a == flat[at - 1]]
+            same = sum(n for w, n in after if codes.bit[codes.start[codes.symbol.get(w.encode(), codes.escape)]] == first)
+            assert b.same[here] == same
+            if flat[at].startswith("r"):
+                rare = [n for w, n in after if w.startswith("r")]
+                assert b.rare[:, pair].tolist() == [pairs[flat[at - 1], flat[at]], sum(rare), len(rare)]
+
+
+def test_rare_words_are_contexts_and_have_contexts(spark):
+    """Words without symbol that always follow each other: nearly certain but for the first."""
+    rows = [(k, " ".join(f"q{(k % 50) * 7 + j}" for j in range(7))) for k in range(1000)]
+    r = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), words=4).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r["s"] > 0.4 * r["b"]
+
+
 # 8: chat
 
 
