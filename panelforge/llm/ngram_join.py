@@ -3,7 +3,10 @@
 Texts are sets of five-word shingles. Equal texts are one node. Candidates come from bands of
 MinHash values: each node is tied to the smallest node of its bucket and of its sub-bucket, so
 edges grow with the nodes and not with their pairs. Edges between clearly different texts are
-dropped, and the components of the rest are the groups within which links are sought.
+dropped. Nodes that aren't so close to the smallest one that whatever is close to them must be
+tied to it as well stay in the bucket and meet each other: in further rounds with a new smallest
+node while it is large, then pair by pair, in blocks. The components of the edges are the groups
+within which links are sought.
 
 In a group every pair is compared by its MinHash values a few at a time; once the posterior
 probability of reaching the threshold is below a tolerance the pair is dropped. What survives
@@ -120,9 +123,30 @@ def least_matches(threshold: float, tolerance: float, steps: int = 16) -> list[t
     return out
 
 
-def _plausible(threshold: float, tolerance: float) -> Callable:
-    """Keeps edges a, b, x, y whose signatures x and y may reach threshold."""
-    checks = least_matches(threshold, tolerance)
+def near_matches(threshold: float, tolerance: float) -> int:
+    """Fewest matching values of a node and its hub (HASHES + 1: never) with which the node needs
+    no other neighbours: that it has so many, while a text at threshold from it loses its own
+    edge to the hub, has a probability of tolerance at most, whatever the similarities are."""
+    count = np.arange(HASHES + 1)
+    log_choose = np.cumsum(np.log(np.concatenate([[1.0], (HASHES - count[:-1]) / count[1:]])))
+
+    def at_least(s: np.ndarray) -> np.ndarray:
+        p = np.clip(s + (1 - s) / 256, 1e-12, 1 - 1e-12)[:, None]
+        p = np.exp(log_choose + count * np.log(p) + (HASHES - count) * np.log1p(-p))
+        return np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
+
+    s = np.linspace(0, 1, 501)
+    fewest = least_matches(2 * threshold - 1, tolerance)[-1][1]
+    lost = 1 - at_least(np.maximum(s - (1 - threshold), 0))[:, fewest]
+    bad = (at_least(s) * lost[:, None]).max(axis=0)
+    return int(np.argmax(bad <= tolerance)) if (bad <= tolerance).any() else HASHES + 1
+
+
+def _judged(threshold: float, tolerance: float) -> Callable:
+    """Edges a, b, x, y whose signatures x and y may be within twice the distance of threshold,
+    and whether b needs no neighbours but a."""
+    # Two texts that both reach the threshold with a third differ by twice as much at most.
+    checks, near = least_matches(2 * threshold - 1, tolerance), near_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +157,45 @@ def _plausible(threshold: float, tolerance: float) -> Callable:
             live = np.ones(len(x), bool)
             for n, m in checks:
                 live &= same[:, n - 1] >= m
-            yield batch.select([0, 1]).filter(pa.array(live))
+            out = pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "near": pa.array(same[:, -1] >= near)})
+            yield out.filter(pa.array(live))
+
+    return run
+
+
+def _pairwise(threshold: float, tolerance: float) -> Callable:
+    """Edges that tie what the plausible pairs of a bucket tie, or of two blocks of a large one."""
+    checks = least_matches(threshold, tolerance)
+
+    def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        keep = []
+        for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = top(x), top(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep.append(at)
+        return a[keep], b[keep]
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("k", "ascending"), ("node", "ascending")])
+        k, block, nodes = (cell[c].to_numpy() for c in ("k", "block", "node"))
+        low, high = cell["low"][0].as_py(), cell["high"][0].as_py()
+        sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        found = []
+        for s, e in zip(edges, edges[1:], strict=False):
+            own = np.arange(s, e)
+            found.append(spanning(*(_pairs(sig, own, own, checks) if low == high else _pairs(sig, own[block[s:e] == low], own[block[s:e] == high], checks))))
+        a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+        return pa.table({"a": pa.array(nodes[a], pa.binary()), "b": pa.array(nodes[b], pa.binary())})
 
     return run
 
@@ -175,11 +237,8 @@ def _links(threshold: float, tolerance: float, n: int) -> Callable:
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         """Links in one cell: small groups as they are, or two blocks (or one) of a large group."""
-        cell = cell.drop_duplicates("node").sort_values(["root", "node"], ignore_index=True)
+        cell = cell.sort_values(["root", "node"], ignore_index=True)
         words = [t.encode().split() for t in cell["text"]]
-        digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
-        right = np.array([d == bytes(x) for d, x in zip(digests, cell["node"], strict=True)], bool)
-        cell, words = cell[right].reset_index(drop=True), [w for w, r in zip(words, right, strict=True) if r]
         nodes, count = cell["node"].tolist(), np.zeros(len(cell), np.int64)
         parent = list(range(len(cell)))
 
@@ -218,8 +277,8 @@ def _links(threshold: float, tolerance: float, n: int) -> Callable:
     return run
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges a, b from each node to the smallest of its buckets and sub-buckets, if plausible."""
+def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = 256, rounds: int = 8) -> DataFrame:
+    """Plausible edges a, b that tie all nodes of a bucket which may reach threshold."""
     b = F.col("bands")
     rows = nodes.select("node", F.explode(F.arrays_zip(b.alias("k"), F.concat(F.slice(b, 2, HASHES // ROWS - 1), F.slice(b, 1, 1)).alias("sub"))).alias("x"))
     rows = rows.select("node", "x.k", F.xxhash64("x.k", "x.sub").alias("sub"))
@@ -227,12 +286,49 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> Dat
     met = stored(met)
     hubs = met.groupBy("k").agg(F.min("sub_hub").alias("hub"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
     near = rows.join(met.where(F.col("n") > 1).select("k", "sub", "sub_hub"), ["k", "sub"]).select(F.col("sub_hub").alias("a"), F.col("node").alias("b"))
-    wide = rows.join(hubs, "k").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = near.union(wide).where(F.col("a") != F.col("b")).distinct()
+    pool = stored(rows.join(hubs, "k").select("k", "node", "hub").where(F.col("node") != F.col("hub")))
     sig = nodes.select("node", "sig")
-    known = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    # Two texts that both reach the threshold with a third differ by twice as much at most.
-    return known.select("a", "b", "x", "y").mapInArrow(_plausible(2 * threshold - 1, tolerance), "a binary, b binary")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(F.col("a") != F.col("b")).distinct()
+        known = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+        return stored(known.select("a", "b", "x", "y").mapInArrow(_judged(threshold, tolerance), "a binary, b binary, near boolean"))
+
+    def stay(pool: DataFrame, edges: DataFrame) -> DataFrame:
+        """What is left of each bucket, with how many nodes."""
+        tied = edges.where("near").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        left = stored(pool.join(tied, ["hub", "node"], "left_anti").select("k", "node"))
+        sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > 1)
+        return stored(left.join(sizes, "k"))
+
+    out = judged(near.union(pool.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    left, small = stay(pool, out), None
+    out = out.select("a", "b")
+    for _ in range(rounds):
+        large = left.where(F.col("n") > block)
+        if not large.limit(1).count():
+            break
+        rest = left.where(F.col("n") <= block)
+        small = rest if small is None else small.union(rest)
+        edges = judged(large.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        left, out = stay(large.where(F.col("node") != F.col("hub")).select("k", "node", "hub"), edges), out.union(edges.select("a", "b"))
+    left = left if small is None else left.union(small)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    cells = max(1, left.where(F.col("n") <= block).count() // (4 * block))
+    left = left.select("k", "node", blocks.alias("blocks")).join(sig, "node")
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("k"), F.lit(cells))).otherwise(F.xxhash64("k", "low", "high"))
+    left = left.select("k", "node", "sig", "block", "low", "high", cell.alias("cell"), (F.col("blocks") == 1).alias("small"))
+    return out.union(left.groupBy("small", "cell", "low", "high").applyInArrow(_pairwise(threshold, tolerance), "a binary, b binary"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        words = [t.encode().split() for t in texts]
+        nodes = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "text": batch.column(0)})
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
@@ -241,14 +337,15 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: floa
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     features = stored(docs.mapInArrow(_features, f"doc_id {kind}, node binary, bands array<bigint>, sig binary"))
-    nodes = stored(features.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    groups = components(candidate_edges(nodes, threshold, tolerance))
+    nodes = stored(features.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    groups = components(candidate_edges(nodes, threshold, tolerance, block))
 
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = stored(groups.join(sizes, "root").join(nodes.select("node", "doc_id", "sig"), "node").select("node", "doc_id", "sig", "root", blocks.alias("blocks")))
+    members = stored(groups.join(sizes, "root").join(nodes.select("node", "sig"), "node").select("node", "sig", "root", blocks.alias("blocks")))
     cells = max(1, members.where(F.col("blocks") == 1).count() // block)
-    texts = members.join(docs, "doc_id")
+    # Ids may be null or repeated, so each node brings a text of its own.
+    texts = members.join(docs.select("text").mapInArrow(_texts, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")), "node")
     texts = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(F.xxhash64("root", "low", "high"))

@@ -340,6 +340,28 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_unlike_hubs_do_not_part_like_texts(spark):
+    """Only one bucket each, whose smallest node is like none of the others."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(60):
+        sig = rng.integers(0, 256, 128, np.uint8)
+        for copy in range(2 if k % 3 else 1):
+            bands = [k % 2, *rng.integers(10, 1 << 60, 31).tolist()]
+            rows.append((bytearray([copy, k]), bands, bytearray(sig.tobytes())))
+    nodes = spark.createDataFrame(rows, "node binary, bands array<bigint>, sig binary")
+    planted = {(bytes([0, k]), bytes([1, k])) for k in range(60) if k % 3}
+    for block, rounds in ((256, 8), (8, 3), (8, 0)):
+        edges = ngram_join.candidate_edges(nodes, 0.8, 1e-6, block, rounds)
+        assert {tuple(sorted((bytes(r["a"]), bytes(r["b"])))) for r in edges.collect()} == planted
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{name}{j}" for j in range(60)) for name in "abc"]
+    rows = [(None, texts[0]), (None, texts[0] + " end"), (1, texts[1]), (1, texts[2]), (2, texts[1] + " end"), (3, texts[2] + " end")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_links"] for r in got] == [1] * 6
+
+
 # 10: language
 
 
