@@ -206,10 +206,17 @@ def period_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raster_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Masks of 100 pixels made of documents' first bytes over one grid: a binary column per tile."""
-    masks = fx.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("tile"), F.to_date("l_shipdate").alias("date")).agg(F.sort_array(F.collect_list(F.col("l_quantity").cast("int"))).alias("q"))
+    """Masks of 100 pixels made of line items over one grid: a binary column per tile, as many
+    masks of a tile and date as its line items fill."""
+    from pyspark.sql import Window
+
+    lines = fx.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("tile"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("int").alias("quantity"))
+    place = F.row_number().over(Window.partitionBy("tile", "date").orderBy("quantity")) - 1
+    lines = lines.withColumn("mask", F.floor(place / 100).cast("int"))
+    masks = lines.groupBy("tile", "date", "mask").agg(F.sort_array(F.collect_list("quantity")).alias("q"))
     pixel = lambda k: F.chr((F.coalesce(F.get("q", F.pmod(k, F.size("q"))), F.lit(0)) % 10).cast("long"))
-    masks = masks.select(F.lit("T").alias("sat"), "tile", "date", F.encode(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), pixel), ""), "UTF-8").alias("pixels"))
+    sat = F.when(F.col("mask") == 0, "T").otherwise(F.concat(F.lit("T"), F.col("mask")))
+    masks = masks.select(sat.alias("sat"), "tile", "date", F.encode(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), pixel), ""), "UTF-8").alias("pixels"))
     half = "0000" * 50 + "0100" * 50
     grids = masks.select("tile").distinct().select("tile", F.unhex(F.lit(half)).alias("unit"), F.unhex(F.lit("01" * 100)).alias("land"))
     return spatial.raster_counts(masks, grids)

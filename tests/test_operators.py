@@ -186,3 +186,14 @@ def test_stream_counts_each_detection_once(spark, tmp_path):
     old = spark.createDataFrame(rows[:1], schema)
     new = spark.createDataFrame([(0, t, 9.0, 9.0, 7, 0, False)], schema)
     assert [r["lat"] for r in ingest.replace_provisional(old, new).collect()] == [9.0]
+
+
+def test_raster_counts_takes_every_line_item(spark, tmp_path):
+    from panelforge.plans import layer_queries
+
+    lines = spark.createDataFrame([(1, "1995-01-01", q) for q in [1] * 100 + [5] * 100 + [4] * 50], "l_linenumber int, l_shipdate string, l_quantity int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["sat"], r["unit"]): (r["clear"], r["cloud"]) for r in layer_queries.raster_counts(spark, str(tmp_path)).collect()}
+    assert len({sat for sat, _ in got}) == 3
+    # 100 of quantity 1, then 50 of 4 and 50 of 5, then 50 of 5 that fill their mask twice
+    assert (sum(clear for clear, _ in got.values()), sum(cloud for _, cloud in got.values())) == (150, 50)
