@@ -8,11 +8,14 @@ tied to it as well stay in the bucket and meet each other: in further rounds wit
 node while it is large, then pair by pair, in blocks. The components of the edges are the groups
 within which links are sought.
 
-In a group every pair is compared by its MinHash values a few at a time; once the posterior
+In a group pairs are compared by their MinHash values a few at a time; once the posterior
 probability of reaching the threshold is below a tolerance the pair is dropped. What survives
-is verified on the shingle sets. Groups over `block` nodes are cut into blocks and joined block
-by block, so no task gathers a large group. Links are counted where they are found and only
-spanning edges leave the task, so the classes of many near copies don't need all their pairs.
+is verified on the shingle sets. Groups over a block (of texts or of words) are compared with one
+text of theirs first: whatever differs little enough from it is linked with each other for sure,
+by the triangle inequality, and counted without a comparison. Only blocks that hold unsure pairs
+meet each other, so many near copies cost no more than their number, and no task gathers a large
+group. Links are counted where they are found and only spanning edges leave the task, so the
+classes of many near copies don't need all their pairs.
 
 Defined results: null and wordless texts have no shingles: each is alone in its class, without
 links; a text of one to four words is one shingle; repeated rows are in one class; the class id
@@ -29,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
@@ -99,6 +102,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     {
                         "doc_id": ids.slice(at, end - at).take(pa.array(solid)),
                         "node": pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in own], pa.binary()),
+                        "words": pa.array(list(map(len, own)), pa.int64()),
                         "bands": pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), rows),
                         "sig": pa.array([x.tobytes() for x in (sig & np.uint32(255)).astype(np.uint8)], pa.binary()),
                     }
@@ -232,13 +236,36 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[a, b].astype(np.int64)
 
 
+def _cell_sets(texts: list[str], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct shingles of each text, and their numbers."""
+    key, text = shingles([t.encode().split() for t in texts], n)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    sets = [np.unique(key[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return sets, np.array(list(map(len, sets)), np.int64)
+
+
+def _from_hub(threshold: float, n: int) -> Callable:
+    """g of each text of a large group, see join(): whole numbers from its distance to the hub."""
+    part = round(threshold * 1_000_000)
+
+    def run(cell: pa.Table) -> pa.Table:
+        sets, size = _cell_sets(cell["text"].to_pylist(), n)
+        hub = cell["is_hub"].to_pylist().index(True)
+        common = np.array([len(np.intersect1d(x, sets[hub], True)) for x in sets], np.int64)
+        g = (1_000_000 + part) * (size + size[hub] - 2 * common) - (1_000_000 - part) * size
+        out = pa.table({"root": cell["root"], "node": cell["node"], "g": pa.array(g)})
+        return out.filter(pa.array(~np.array(cell["sent"].to_pylist(), bool)))
+
+    return run
+
+
 def _links(threshold: float, tolerance: float, n: int) -> Callable:
     checks = least_matches(threshold, tolerance)
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        """Links in one cell: small groups as they are, or two blocks (or one) of a large group."""
+        """Links in one cell: small groups as they are, or two blocks (or one) of a large group,
+        of which pairs with g + g <= 0 are links already."""
         cell = cell.sort_values(["root", "node"], ignore_index=True)
-        words = [t.encode().split() for t in cell["text"]]
         nodes, count = cell["node"].tolist(), np.zeros(len(cell), np.int64)
         parent = list(range(len(cell)))
 
@@ -249,17 +276,16 @@ def _links(threshold: float, tolerance: float, n: int) -> Callable:
             return x
 
         if len(cell):
-            key, text = shingles(words, n)
-            cuts = np.searchsorted(text, np.arange(len(words) + 1))
-            sets = [np.unique(key[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            size = np.array(list(map(len, sets)))
+            sets, size = _cell_sets(cell["text"].tolist(), n)
             sig = np.frombuffer(b"".join(map(bytes, cell["sig"])), np.uint8).reshape(-1, HASHES)
-            root = cell["root"].to_numpy()
+            root, g = cell["root"].to_numpy(), cell["g"].to_numpy()
             edges = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
             block, low, high = cell["block"].to_numpy(), cell["low"].iloc[0], cell["high"].iloc[0]
             for s, e in zip(edges, edges[1:], strict=False):
                 own = np.arange(s, e)
                 a, b = _pairs(sig, own, own, checks) if low == high else _pairs(sig, own[block[s:e] == low], own[block[s:e] == high], checks)
+                open_ = g[a] + g[b] > 0
+                a, b = a[open_], b[open_]
                 if not len(a):
                     continue
                 common = _common(sets[s:e], a - s, b - s)
@@ -277,6 +303,52 @@ def _links(threshold: float, tolerance: float, n: int) -> Callable:
     return run
 
 
+LINKS_SCHEMA = "node binary, n_links long, to binary"
+
+
+def _large_groups(members: DataFrame, texts: DataFrame, threshold: float, tolerance: float, block: int, block_words: int) -> DataFrame:
+    """node, n_links, to of groups over a block.
+
+    Let D be the number of shingles in which a text differs from the group's hub, and
+    g = (1 + t) D - (1 - t) |shingles|. Two texts differ from each other in D + D shingles at most,
+    so they are linked for sure where g + g <= 0. Those links are counted from the numbers of
+    texts with each g; only blocks of texts, in the order of g, in which some pair isn't sure
+    meet each other.
+    """
+    known = stored(members.join(texts, "node"))
+    n_cells = F.ceil(F.greatest(F.col("n") / block, F.col("words") / block_words)).cast("int")
+    with_cell = known.select("root", "node", "text", F.pmod(F.xxhash64("node"), n_cells).cast("int").alias("cell"), (F.col("node") == F.col("root")).alias("is_hub"), F.lit(False).alias("sent"))
+    hubs = known.where(F.col("node") == F.col("root")).select("root", "node", "text", F.explode(F.sequence(F.lit(0), n_cells - 1)).alias("cell"), F.lit(True).alias("is_hub"), F.lit(True).alias("sent"))
+    placed = stored(with_cell.union(hubs).groupBy("root", "cell").applyInArrow(_from_hub(threshold, 5), "root binary, node binary, g long"))
+
+    # One row for each value of g: no more than texts have shingles.
+    values = placed.groupBy("root", "g").agg(F.count(F.lit(1)).alias("same"))
+    upto = F.sum("same").over(Window.partitionBy("root").orderBy("g"))
+    values = stored(values.withColumn("upto", upto))
+    # For each g the largest value of the group that is -g or less, by one pass over both kinds.
+    asked = values.select("root", (-F.col("g")).alias("at"), F.lit(None).cast("long").alias("upto"), F.col("g").alias("for"))
+    told = values.select("root", F.col("g").alias("at"), "upto", F.lit(None).cast("long").alias("for"))
+    reached = F.coalesce(F.last("upto", ignorenulls=True).over(Window.partitionBy("root").orderBy("at")), F.lit(0))
+    sure = asked.union(told).withColumn("sure", reached).where(F.col("for").isNotNull()).select("root", F.col("for").alias("g"), "sure")
+    least = placed.groupBy("root").agg(F.min(F.struct("g", "node")).alias("low"))
+    per_root = members.groupBy("root").agg(F.first(n_cells).alias("blocks"), F.first("n").alias("n"))
+    spread = values.join(sure, ["root", "g"]).join(least, "root").join(per_root, "root")
+    placed = stored(placed.join(spread, ["root", "g"]))
+    counted = placed.select("node", (F.col("sure") - F.when(F.col("g") <= 0, 1).otherwise(0)).alias("n_links"), F.when(F.col("g") + F.col("low.g") <= 0, F.col("low.node")).otherwise(F.col("node")).alias("to"))
+
+    rank = F.col("upto") - F.col("same") + F.pmod(F.xxhash64("node"), F.col("same"))
+    placed = placed.select("root", "node", "g", F.least(F.floor(rank * F.col("blocks") / F.col("n")), F.col("blocks") - 1).cast("int").alias("block"))
+    tops = placed.groupBy("root", "block").agg(F.max("g").alias("top"))
+    tops = stored(tops)
+    ends = tops.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("block", "top"))).alias("all"))
+    later = F.filter("all", lambda x: (x["block"] >= F.col("block")) & (x["top"] + F.col("top") > 0))
+    cells = tops.join(ends, "root").select("root", F.col("block").alias("low"), F.explode(F.transform(later, lambda x: x["block"])).alias("high"))
+    sides = cells.select("root", "low", "high", F.col("low").alias("block")).union(cells.where(F.col("low") < F.col("high")).select("root", "low", "high", F.col("high").alias("block")))
+    rows = placed.join(sides, ["root", "block"]).join(known.select("node", "text", "sig"), "node").select("node", "root", "text", "sig", "g", "block", "low", "high")
+    met = rows.groupBy("root", "low", "high").applyInPandas(_links(threshold, tolerance, 5), LINKS_SCHEMA)
+    return counted.union(met)
+
+
 def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = 256, rounds: int = 8) -> DataFrame:
     """Plausible edges a, b that tie all nodes of a bucket which may reach threshold."""
     b = F.col("bands")
@@ -331,26 +403,27 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "text": batch.column(0)})
 
 
-def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
+def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512, block_words: int = 400_000) -> DataFrame:
     """One row for each row of df: key, class_id, class_size, n_links (other different texts at
     threshold or more), kept (it is the first of its class)."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    features = stored(docs.mapInArrow(_features, f"doc_id {kind}, node binary, bands array<bigint>, sig binary"))
-    nodes = stored(features.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    groups = components(candidate_edges(nodes, threshold, tolerance, block))
-
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    members = stored(groups.join(sizes, "root").join(nodes.select("node", "sig"), "node").select("node", "sig", "root", blocks.alias("blocks")))
-    cells = max(1, members.where(F.col("blocks") == 1).count() // block)
+    features = stored(docs.mapInArrow(_features, f"doc_id {kind}, node binary, words long, bands array<bigint>, sig binary"))
+    nodes = stored(features.groupBy("node").agg(F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    groups = components(candidate_edges(nodes, threshold, tolerance))
+
+    placed = groups.join(nodes.select("node", "words", "sig"), "node")
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    members = stored(placed.drop("words").join(sizes, "root"))
+    large = (F.col("n") > block) | (F.col("words") > block_words)
+    cells = max(1, members.where(~large).count() // 256)
     # Ids may be null or repeated, so each node brings a text of its own.
-    texts = members.join(docs.select("text").mapInArrow(_texts, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")), "node")
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(F.xxhash64("root", "low", "high"))
-    texts = texts.select("node", "root", "text", "sig", "block", "low", "high", cell.alias("cell"), (F.col("blocks") == 1).alias("small"))
-    found = stored(texts.groupBy("small", "cell", "low", "high").applyInPandas(_links(threshold, tolerance, 5), "node binary, n_links long, to binary"))
+    texts = docs.select("text").mapInArrow(_texts, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
+    zero = F.lit(0)
+    small = members.where(~large).join(texts, "node").select("node", "root", "text", "sig", F.lit(1).cast("long").alias("g"), zero.alias("block"), zero.alias("low"), zero.alias("high"), F.pmod(F.xxhash64("root"), F.lit(cells)).alias("cell"))
+    found = stored(small.groupBy("cell").applyInPandas(_links(threshold, tolerance, 5), LINKS_SCHEMA))
+    if members.where(large).limit(1).count():
+        found = found.union(stored(_large_groups(members.where(large), texts, threshold, tolerance, block, block_words)))
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(found.where(F.col("node") != F.col("to")).select(F.col("node").alias("a"), F.col("to").alias("b")))
     # Stored sides leave both joins to plain shuffles, whose hot keys Spark splits at run time.
