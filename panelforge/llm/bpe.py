@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import release, table
 
 #: No word holds white space, so this marks special tokens in a list of words.
 _MARK = " "
-_CACHE_WORDS, _BLOCK_WORDS, _OUT_ROWS = 250_000, 200_000, 1000
+_CACHE_WORDS, _BLOCK_WORDS, _OUT_ROWS = 150_000, 100_000, 300
 #: Characters that never compose and that all Unicode versions class and lower alike.
 _COMMON = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac\u2122]*")
 _LOADED: dict[str, WordBpe] = {}
@@ -312,7 +312,8 @@ def _encoding(path: str, text: str, ids: str, n_tokens: str, decoded: str | None
                 if decoded:
                     columns[decoded] = pa.array(map(bpe.decode, packed), pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
-        bpe.cache.clear()  # Python workers live on with other tasks
+        bpe.cache.clear()
+        release()
 
     return run
 
