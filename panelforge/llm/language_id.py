@@ -1,19 +1,24 @@
 """Language identification by Bayesian evidence fusion.
 
-Four kinds of evidence are added in log space: the text's likelihood under byte-trigram models
-of the languages, the language that the markup declares, the suffix of the address, and a prior
-for the host. Host priors come from grouped aggregation of the texts' own posteriors and are
-smoothed in two levels, host towards parent domain towards all documents, each with a strength in
-documents; a document's own share is taken out of its host's counts.
+Three kinds of evidence are added in log space: the text's likelihood under byte-trigram models
+of the languages, the language that the markup declares, and a prior for the host. Host priors
+come from grouped aggregation of the texts' own posteriors and are smoothed in three levels:
+host towards parent domain, parent domain towards address suffix, suffix towards all documents,
+each with a strength in documents. What a suffix says is thus counted and not listed. A
+document's own share is taken out of its host's, domain's and suffix's counts.
 
-The models are counted over all labelled rows; labels with less than least_share of them (so at
-most 1/least_share labels remain) aren't languages.
+A background model, by which all trigrams are equally likely, stands for everything that is in
+none of the known languages. It has a small prior share, and its documents are not kept.
+
+The models are counted over all labelled rows, and every label is a language. The model that
+tasks hold stays below most_bytes: with more languages it has fewer bins.
 
 Defined results: texts without letters have no likelihood evidence; null or unknown declared
-languages, suffixes and hosts add nothing; without any evidence the language is null and the
-document is not kept; ties go to the language first in order; repeated rows each count; an
-empty table gives an empty table. Without any labelled row every document is kept, as nothing
-can be said against it.
+languages and null hosts add nothing; without any evidence, or if the background wins, the
+language is null and the document is not kept; ties go to the language first in order; repeated
+rows each count; very long texts are read in blocks of whole texts; an empty table gives an
+empty table; added columns get a leading underscore if the table has their name. Without any
+labelled row every document is kept, as nothing can be said against it.
 """
 
 from __future__ import annotations
@@ -30,15 +35,12 @@ from pyspark.sql import types as T
 from .common import free_name, stored, table, text_or_empty
 
 BINS = 1 << 15
-_BLOCK_BYTES, _ROWS = 1_000_000, 1000
+_BLOCK_BYTES, _ROWS = 250_000, 1000
 #: Bytes that a trigram may hold: letters, and one space for everything else.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-#: Country suffixes of addresses and the language each speaks for.
-SUFFIX_LANGUAGE = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
-
 
 def _trigrams(texts: list[str | None], bins: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, rows, then bin and row of each trigram, for blocks of bounded size."""
@@ -80,15 +82,16 @@ class Model:
         self.languages, self.shares, self.table = languages, shares, table_of
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", least_share: float = 0.001, bins: int = BINS) -> Model:
-    counts = labelled.where(F.col(label).isNotNull() & (F.col(label) != "")).groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(1.0, least_share * total)).orderBy("label").collect()  # at most 1 / least_share rows
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", bins: int = BINS, most_bytes: int = 64 << 20) -> Model:
+    """Every label is a language; bins are halved until the model is within most_bytes."""
+    labelled = labelled.where(F.col(label).isNotNull() & (F.col(label) != "")).select(text_or_empty(text).alias("text"), F.col(label).cast("string").alias("label"))
+    rows = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()  # a row for each language
     languages = [r["label"] for r in rows]
+    while bins > 1024 and bins * len(languages) * 4 > most_bytes:
+        bins //= 2
     if not languages:
         return Model([], [], np.zeros((bins, 0), np.float32))
-    known = labelled.select(text_or_empty(text).alias("text"), F.col(label).cast("string").alias("label")).where(F.col("label").isin(languages))
-    sums = known.mapInArrow(_counting(languages, bins), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bins x languages
+    sums = labelled.mapInArrow(_counting(languages, bins), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bins x languages
     cells = np.zeros(len(languages) * bins)
     cells[sums["cell"]] = sums["n"]
     grid = cells.reshape(len(languages), bins).T + 0.5
@@ -97,18 +100,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", least_shar
 
 
 def likelihoods(model: Model, temper: float):
-    """Log likelihood of a text under each language, times temper (trigrams overlap), and its trigrams."""
+    """Log likelihood of a text under each language and the background, times temper (trigrams overlap)."""
     log_p, bins = model.table, len(model.table)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def log_likelihoods(texts: pd.Series) -> pd.Series:
-        out = np.zeros((len(texts), log_p.shape[1]))
+        out = np.zeros((len(texts), log_p.shape[1] + 1))
         for at, n, bin_of, row in _trigrams(texts.tolist(), bins):
             for k in range(log_p.shape[1]):
                 out[at : at + n, k] = np.bincount(row, log_p[bin_of, k], n)
+            out[at : at + n, -1] = np.bincount(row, minlength=n) * -np.log(bins)
         return pd.Series(list(out * temper), dtype=object)
 
-    return log_likelihoods
+    # Else a filter on what follows from it would have it worked out a second time.
+    return log_likelihoods.asNondeterministic()
 
 
 def _posterior(logs: Column) -> Column:
@@ -118,12 +123,8 @@ def _posterior(logs: Column) -> Column:
     return F.transform(weights, lambda x: x / total)
 
 
-def _evidence(value: Column, model: Model, trust: float) -> Column:
-    """Log evidence of a named language: trust for itself, the rest shared by the others."""
-    n = len(model.languages)
-    other = np.log((1 - trust) / max(1, n - 1)) if n > 1 else 0.0
-    named = F.array(*[F.when(value == x, float(np.log(trust))).otherwise(float(other)) for x in model.languages])
-    return F.when(value.isin(model.languages), named).otherwise(F.array_repeat(F.lit(0.0), n))
+def _added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def identify(
@@ -131,64 +132,86 @@ def identify(
     model: Model,
     text: str = "text",
     host: str | None = None,
-    declared: str | None = None,
+    declared: str | Column | None = None,
     temper: float = 1 / 3,
     trust_declared: float = 0.9,
-    trust_suffix: float = 0.8,
     strength: float = 5.0,
+    unknown: float = 1e-3,
     least: float = 0.5,
-    most_hosts: int = 100_000,
+    most_cells: int = 1_000_000,
 ) -> DataFrame:
     """df's rows with lang_id, lang_p (its posterior) and lang_kept (lang_p > least).
 
-    Host priors are broadcast if there are at most most_hosts, else joined by a shuffle.
+    unknown: prior share of text in none of the languages. Host priors are broadcast if hosts
+    times languages are at most most_cells, else joined by a shuffle.
     """
+    logs = free_name(df, "text_logs")
+    out = fuse(df.withColumn(logs, likelihoods(model, temper)(text_or_empty(text))), logs, model, host, declared, trust_declared, strength, unknown, least, most_cells)
+    return out.drop(logs)
+
+
+def fuse(df: DataFrame, logs: str, model: Model, host: str | None, declared: str | Column | None, trust_declared: float = 0.9, strength: float = 5.0, unknown: float = 1e-3, least: float = 0.5, most_cells: int = 1_000_000) -> DataFrame:
+    """The same for rows that have their text's log likelihoods in column logs."""
     lang_id, lang_p, lang_kept = (free_name(df, c) for c in ("lang_id", "lang_p", "lang_kept"))
     n = len(model.languages)
     if not n:
         return df.withColumns({lang_id: F.lit(None).cast("string"), lang_p: F.lit(None).cast("double"), lang_kept: F.lit(True)})
-    logs, own, prior, of, joined_host, sums, above = (free_name(df, c) for c in ("text_logs", "text_own", "host_prior", "host_of", "joined_host", "host_sums", "parent_sums"))
-    shares = F.array(*map(F.lit, model.shares))
+    own, prior, of, joined_host = (free_name(df, c) for c in ("text_own", "host_prior", "host_of", "joined_host"))
+    levels = [free_name(df, c) for c in ("host_sums", "parent_sums", "suffix_sums")]
+    shares = F.array(*[F.lit(p * (1 - unknown)) for p in model.shares], F.lit(unknown))
+    languages = F.array(*map(F.lit, model.languages))
     name = F.lower(F.col(host).cast("string")) if host else F.lit(None).cast("string")
-    scored = df.withColumn(logs, likelihoods(model, temper)(text_or_empty(text)))
-    scored = scored.withColumn(own, _posterior(F.zip_with(logs, shares, lambda x, p: x + F.log(p)))).withColumn(of, name)
-
-    each = [F.get(F.col(own), F.lit(k)) for k in range(n)]
-    hosts = scored.where(F.col(of).isNotNull()).groupBy(F.col(of).alias(joined_host)).agg(F.array(*map(F.sum, each)).alias(sums))
-    hosts = stored(hosts.withColumn("parent", F.regexp_extract(joined_host, r"([^.]+\.[^.]+)$", 1)))
-    parents = hosts.groupBy("parent").agg(F.array(*[F.sum(F.get(sums, F.lit(k))) for k in range(n)]).alias(above))
-    priors = hosts.join(parents, "parent").drop("parent")
-    small = hosts.count() <= most_hosts
+    scored = df.withColumn(own, _posterior(F.zip_with(logs, shares, lambda x, p: x + F.log(p)))).withColumn(of, name)
+
+    def summed(column: str) -> Column:
+        return F.array(*[F.sum(F.get(F.col(column), F.lit(k))) for k in range(n + 1)])
+
+    hosts = scored.where(F.col(of).isNotNull()).groupBy(F.col(of).alias(joined_host)).agg(summed(own).alias(levels[0]))
+    hosts = stored(hosts.withColumns({"parent": F.regexp_extract(joined_host, r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract(joined_host, r"\.([^.]+)$", 1)}))
+    parents = hosts.groupBy("parent").agg(summed(levels[0]).alias(levels[1]))
+    suffixes = hosts.groupBy("suffix").agg(summed(levels[0]).alias(levels[2]))
+    priors = stored(hosts.join(parents, "parent").join(suffixes, "suffix").drop("parent", "suffix"))
+    small = priors.count() * (n + 1) <= most_cells
     joined = scored.join(F.broadcast(priors) if small else priors, F.col(of) == F.col(joined_host), "left")
 
-    def smoothed(counts: Column, towards: Column) -> Column:
+    def towards(counts: Column, wider: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, towards, lambda c, p: (c + strength * p) / (total + strength))
-
-    def less_own(counts: str) -> Column:
-        return F.zip_with(counts, own, lambda c, p: F.greatest(c - p, F.lit(0.0)))
-
-    of_host = smoothed(less_own(sums), smoothed(less_own(above), shares))
-    joined = joined.withColumn(prior, F.when(F.col(joined_host).isNull(), shares).otherwise(of_host)).drop(joined_host, sums, above)
-
-    suffix = F.regexp_extract(of, r"\.([a-z]+)$", 1)
-    speaks = F.coalesce(*[F.when(suffix == s, x) for s, x in SUFFIX_LANGUAGE.items()])
-    said = F.lower(F.substring_index(F.col(declared).cast("string"), "-", 1)) if declared else F.lit(None).cast("string")
-    parts = [F.col(logs), F.transform(prior, lambda p: F.log(F.greatest(p, F.lit(1e-12)))), _evidence(said, model, trust_declared), _evidence(speaks, model, trust_suffix)]
-    fused = parts[0]
-    for p in parts[1:]:
-        fused = F.zip_with(fused, p, lambda a, b: a + b)
-    nothing = (F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.abs(x)) == 0) & ~F.coalesce(said.isin(model.languages), F.lit(False)) & speaks.isNull()
+        return F.zip_with(counts, wider, lambda c, p: (c + strength * p) / (total + strength))
+
+    smoothed: Column = shares
+    for sums in reversed(levels):
+        others = F.zip_with(sums, own, lambda c, p: F.greatest(c - p, F.lit(0.0)))
+        smoothed = towards(others, smoothed)
+    joined = joined.withColumn(prior, F.when(F.col(joined_host).isNull(), shares).otherwise(smoothed)).drop(joined_host, *levels)
+
+    fused = _added(F.col(logs), F.transform(prior, lambda p: F.log(F.greatest(p, F.lit(1e-12)))))
+    nothing = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.abs(x)) == 0
+    if declared is not None:
+        said = F.lower(F.substring_index((F.col(declared) if isinstance(declared, str) else declared).cast("string"), "-", 1))
+        # trust for the language that is named, the rest shared by the others
+        named = F.transform(F.concat(languages, F.array(F.lit(""))), lambda x: F.when(x == said, float(np.log(trust_declared))).otherwise(float(np.log((1 - trust_declared) / n))))
+        names_one = F.coalesce(F.array_contains(languages, said), F.lit(False))
+        fused = F.when(names_one, _added(fused, named)).otherwise(fused)
+        nothing = nothing & ~names_one
     out = joined.withColumn(own, _posterior(fused))
-    best = F.array_max(own)
-    found = F.get(F.array(*map(F.lit, model.languages)), (F.array_position(own, best) - 1).cast("int"))
-    return out.withColumns({lang_id: F.when(~nothing, found), lang_p: F.when(~nothing, best), lang_kept: ~nothing & (best > least)}).drop(logs, own, prior, of)
+    best = F.array_max(F.slice(own, 1, n))
+    sure = ~nothing & (best >= F.get(own, F.lit(n)))
+    found = F.get(languages, (F.array_position(own, best) - 1).cast("int"))
+    return out.withColumns({lang_id: F.when(sure, found), lang_p: F.when(~nothing, best), lang_kept: ~nothing & (best > least)}).drop(own, prior, of)
+
+
+def declared_in(text: str) -> Column:
+    """The language that the markup in a text declares, null if none does."""
+    return F.nullif(F.regexp_extract(text, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1), F.lit(""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: all documents; sources stand for hosts, labels train the text models."""
+    """op10: all documents; sources stand for hosts, labels train the text models. Of the kinds of
+    evidence, declared language and suffix act where texts hold markup and sources are addresses."""
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, fit(docs), host="source")
+    model = fit(docs)
+    scored = stored(docs.select("doc_id", "source", declared_in("text").alias("said"), likelihoods(model, 1 / 3)(text_or_empty("text")).alias("logs")))
+    found = fuse(scored, "logs", model, host="source", declared="said")
     return found.select("doc_id", F.col("lang_id").alias("lang"), F.col("lang_p").alias("posterior"), F.col("lang_kept").alias("kept"))
 
 
@@ -196,6 +219,7 @@ def page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All web pages: text, declared language, address suffix and host together."""
     pages = table(spark, sf_dir, "pages")
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    pages = pages.select("page_id", body.alias("text"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1).alias("said"), F.regexp_extract("url", r"^[a-z]+://(?:[^/@]*@)?([^/:?#]+)", 1).alias("host"))
-    found = identify(pages, fit(table(spark, sf_dir, "documents")), host="host", declared="said")
+    model = fit(table(spark, sf_dir, "documents"))
+    pages = pages.select("page_id", body.alias("text"), declared_in("html").alias("said"), F.regexp_extract("url", r"^[a-z]+://(?:[^/@]*@)?([^/:?#]+)", 1).alias("host"))
+    found = identify(pages, model, host="host", declared="said")
     return found.select("page_id", "host", "said", F.col("lang_id").alias("lang"), F.col("lang_p").alias("posterior"), F.col("lang_kept").alias("kept"))
