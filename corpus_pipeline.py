@@ -17,7 +17,7 @@ from panelforge.llm.common import free_name, prepare, shared_dir, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the text models come from all labelled documents."""
     prepare(spark)
-    found = language_id.identify(docs, language_id.fit(docs), host="source")
+    found = language_id.identify(docs, language_id.fit(docs), host="source", declared=language_id.declared_in("text"))
     return found.where(F.col(free_name(docs, "lang_kept"))).select(docs.columns)
 
 
