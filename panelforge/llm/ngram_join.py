@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Texts are sets of five-word shingles. Equal texts are one node. Candidates come from bands of
-MinHash values: each node is tied to the smallest node of its bucket and of its sub-bucket, so
-edges grow with the nodes and not with their pairs. Edges between clearly different texts are
+Texts are sets of five-word shingles. Texts of equal words are one node, which has a number.
+Candidates come from bands of MinHash values: each node is tied to the smallest node of its
+bucket, so edges grow with the nodes and not with their pairs. Edges between clearly different texts are
 dropped. Nodes that aren't so close to the smallest one that whatever is close to them must be
 tied to it as well stay in the bucket and meet each other: in further rounds with a new smallest
 node while it is large, then pair by pair, in blocks. The components of the edges are the groups
@@ -101,7 +101,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": ids.slice(at, end - at).take(pa.array(solid)),
-                        "node": pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in own], pa.binary()),
+                        "digest": pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in own], pa.binary()),
                         "words": pa.array(list(map(len, own)), pa.int64()),
                         "bands": pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), rows),
                         "sig": pa.array([x.tobytes() for x in (sig & np.uint32(255)).astype(np.uint8)], pa.binary()),
@@ -199,7 +199,7 @@ def _pairwise(threshold: float, tolerance: float) -> Callable:
             own = np.arange(s, e)
             found.append(spanning(*(_pairs(sig, own, own, checks) if low == high else _pairs(sig, own[block[s:e] == low], own[block[s:e] == high], checks))))
         a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
-        return pa.table({"a": pa.array(nodes[a], pa.binary()), "b": pa.array(nodes[b], pa.binary())})
+        return pa.table({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
 
     return run
 
@@ -303,10 +303,10 @@ def _links(threshold: float, tolerance: float, n: int) -> Callable:
     return run
 
 
-LINKS_SCHEMA = "node binary, n_links long, to binary"
+LINKS_SCHEMA = "node long, n_links long, to long"
 
 
-def _large_groups(members: DataFrame, texts: DataFrame, threshold: float, tolerance: float, block: int, block_words: int) -> DataFrame:
+def _large_groups(known: DataFrame, threshold: float, tolerance: float, block: int, block_words: int) -> DataFrame:
     """node, n_links, to of groups over a block.
 
     Let D be the number of shingles in which a text differs from the group's hub, and
@@ -315,11 +315,10 @@ def _large_groups(members: DataFrame, texts: DataFrame, threshold: float, tolera
     texts with each g; only blocks of texts, in the order of g, in which some pair isn't sure
     meet each other.
     """
-    known = stored(members.join(texts, "node"))
     n_cells = F.ceil(F.greatest(F.col("n") / block, F.col("words") / block_words)).cast("int")
     with_cell = known.select("root", "node", "text", F.pmod(F.xxhash64("node"), n_cells).cast("int").alias("cell"), (F.col("node") == F.col("root")).alias("is_hub"), F.lit(False).alias("sent"))
     hubs = known.where(F.col("node") == F.col("root")).select("root", "node", "text", F.explode(F.sequence(F.lit(0), n_cells - 1)).alias("cell"), F.lit(True).alias("is_hub"), F.lit(True).alias("sent"))
-    placed = stored(with_cell.union(hubs).groupBy("root", "cell").applyInArrow(_from_hub(threshold, 5), "root binary, node binary, g long"))
+    placed = stored(with_cell.union(hubs).groupBy("root", "cell").applyInArrow(_from_hub(threshold, 5), "root long, node long, g long"))
 
     # One row for each value of g: no more than texts have shingles.
     values = placed.groupBy("root", "g").agg(F.count(F.lit(1)).alias("same"))
@@ -331,7 +330,7 @@ def _large_groups(members: DataFrame, texts: DataFrame, threshold: float, tolera
     reached = F.coalesce(F.last("upto", ignorenulls=True).over(Window.partitionBy("root").orderBy("at")), F.lit(0))
     sure = asked.union(told).withColumn("sure", reached).where(F.col("for").isNotNull()).select("root", F.col("for").alias("g"), "sure")
     least = placed.groupBy("root").agg(F.min(F.struct("g", "node")).alias("low"))
-    per_root = members.groupBy("root").agg(F.first(n_cells).alias("blocks"), F.first("n").alias("n"))
+    per_root = known.groupBy("root").agg(F.first(n_cells).alias("blocks"), F.first("n").alias("n"))
     spread = values.join(sure, ["root", "g"]).join(least, "root").join(per_root, "root")
     placed = stored(placed.join(spread, ["root", "g"]))
     counted = placed.select("node", (F.col("sure") - F.when(F.col("g") <= 0, 1).otherwise(0)).alias("n_links"), F.when(F.col("g") + F.col("low.g") <= 0, F.col("low.node")).otherwise(F.col("node")).alias("to"))
@@ -351,20 +350,15 @@ def _large_groups(members: DataFrame, texts: DataFrame, threshold: float, tolera
 
 def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = 256, rounds: int = 8) -> DataFrame:
     """Plausible edges a, b that tie all nodes of a bucket which may reach threshold."""
-    b = F.col("bands")
-    rows = nodes.select("node", F.explode(F.arrays_zip(b.alias("k"), F.concat(F.slice(b, 2, HASHES // ROWS - 1), F.slice(b, 1, 1)).alias("sub"))).alias("x"))
-    rows = rows.select("node", "x.k", F.xxhash64("x.k", "x.sub").alias("sub"))
-    met = rows.groupBy("k", "sub").agg(F.min("node").alias("sub_hub"), F.count(F.lit(1)).alias("n"))
-    met = stored(met)
-    hubs = met.groupBy("k").agg(F.min("sub_hub").alias("hub"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
-    near = rows.join(met.where(F.col("n") > 1).select("k", "sub", "sub_hub"), ["k", "sub"]).select(F.col("sub_hub").alias("a"), F.col("node").alias("b"))
+    rows = nodes.select("node", F.explode("bands").alias("k"))
+    hubs = rows.groupBy("k").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     pool = stored(rows.join(hubs, "k").select("k", "node", "hub").where(F.col("node") != F.col("hub")))
     sig = nodes.select("node", "sig")
 
     def judged(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(F.col("a") != F.col("b")).distinct()
         known = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-        return stored(known.select("a", "b", "x", "y").mapInArrow(_judged(threshold, tolerance), "a binary, b binary, near boolean"))
+        return stored(known.select("a", "b", "x", "y").mapInArrow(_judged(threshold, tolerance), "a long, b long, near boolean"))
 
     def stay(pool: DataFrame, edges: DataFrame) -> DataFrame:
         """What is left of each bucket, with how many nodes."""
@@ -373,7 +367,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
         sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > 1)
         return stored(left.join(sizes, "k"))
 
-    out = judged(near.union(pool.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    out = judged(pool.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     left, small = stay(pool, out), None
     out = out.select("a", "b")
     for _ in range(rounds):
@@ -392,7 +386,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
     left = left.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("k"), F.lit(cells))).otherwise(F.xxhash64("k", "low", "high"))
     left = left.select("k", "node", "sig", "block", "low", "high", cell.alias("cell"), (F.col("blocks") == 1).alias("small"))
-    return out.union(left.groupBy("small", "cell", "low", "high").applyInArrow(_pairwise(threshold, tolerance), "a binary, b binary"))
+    return out.union(left.groupBy("small", "cell", "low", "high").applyInArrow(_pairwise(threshold, tolerance), "a long, b long"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +394,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(0).to_pylist()
         words = [t.encode().split() for t in texts]
         nodes = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "text": batch.column(0)})
+        yield pa.RecordBatch.from_pydict({"digest": pa.array(nodes, pa.binary()), "text": batch.column(0)})
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512, block_words: int = 400_000) -> DataFrame:
@@ -408,29 +402,30 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: floa
     threshold or more), kept (it is the first of its class)."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    features = stored(docs.mapInArrow(_features, f"doc_id {kind}, node binary, words long, bands array<bigint>, sig binary"))
-    nodes = stored(features.groupBy("node").agg(F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    features = stored(docs.mapInArrow(_features, f"doc_id {kind}, digest binary, words long, bands array<bigint>, sig binary"))
+    nodes = features.groupBy("digest").agg(F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     groups = components(candidate_edges(nodes, threshold, tolerance))
 
-    placed = groups.join(nodes.select("node", "words", "sig"), "node")
+    placed = groups.join(nodes.select("node", "digest", "words", "sig"), "node")
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
-    members = stored(placed.drop("words").join(sizes, "root"))
+    members = placed.drop("words").join(sizes, "root")
     large = (F.col("n") > block) | (F.col("words") > block_words)
-    cells = max(1, members.where(~large).count() // 256)
     # Ids may be null or repeated, so each node brings a text of its own.
-    texts = docs.select("text").mapInArrow(_texts, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
-    zero = F.lit(0)
-    small = members.where(~large).join(texts, "node").select("node", "root", "text", "sig", F.lit(1).cast("long").alias("g"), zero.alias("block"), zero.alias("low"), zero.alias("high"), F.pmod(F.xxhash64("root"), F.lit(cells)).alias("cell"))
+    texts = docs.select("text").mapInArrow(_texts, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+    known, zero = stored(members.join(texts, "digest").drop("digest")), F.lit(0)
+    cells = max(1, known.where(~large).count() // 256)
+    small = known.where(~large).select("node", "root", "text", "sig", F.lit(1).cast("long").alias("g"), zero.alias("block"), zero.alias("low"), zero.alias("high"), F.pmod(F.xxhash64("root"), F.lit(cells)).alias("cell"))
     found = stored(small.groupBy("cell").applyInPandas(_links(threshold, tolerance, 5), LINKS_SCHEMA))
-    if members.where(large).limit(1).count():
-        found = found.union(stored(_large_groups(members.where(large), texts, threshold, tolerance, block, block_words)))
+    if known.where(large).limit(1).count():
+        found = found.union(stored(_large_groups(known.where(large), threshold, tolerance, block, block_words)))
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = components(found.where(F.col("node") != F.col("to")).select(F.col("node").alias("a"), F.col("to").alias("b")))
     # Stored sides leave both joins to plain shuffles, whose hot keys Spark splits at run time.
     per_node = stored(links.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links"))
 
-    placed = features.select("doc_id", "node").join(per_node, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed = stored(placed)
+    of = nodes.select("digest", "node").join(per_node, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = stored(features.select("doc_id", "digest").join(stored(of), "digest").drop("digest"))
     firsts = stored(placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     with_words = placed.join(firsts, "root").select("doc_id", "class_id", "class_size", "n_links")
     wordless = docs.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
