@@ -7,8 +7,11 @@ the others are decided by the sketch. A line on min_sites sites or more is boile
 in the document with the smallest id that has it and goes from all others.
 
 Defined results: a null text counts as empty and stays empty; null sites count as one site;
-lines of fewer than min_words words are never boilerplate; repeated rows get equal results; a
-document that had words and has none left is not kept; an empty table gives an empty table.
+lines of any length count, blank ones never; rows that repeat a document get equal results, so
+all rows of the smallest id keep a line; a null id is larger than any other, and if only null
+ids have a line they all keep it; a document that had words and has none left is not kept; very
+long texts are split once and travel as line hashes; an empty table gives an empty table; added
+columns get a leading underscore if the table has their name.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, free_name, stored, table, text_or_empty
 
 
-def _lines(df: DataFrame, text: str, key: str, site: str, min_words: int) -> DataFrame:
+def _lines(df: DataFrame, text: str, key: str, site: str) -> DataFrame:
     """id, row hash, place, 128-bit hash and site of each line that can be boilerplate."""
     body = text_or_empty(text)
     plain = F.trim(F.regexp_replace(F.col("line"), SPACE, " "))
     rows = df.select(F.col(key).alias("id"), F.xxhash64(body).alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(body, "\n")).alias("place", "line"))
-    rows = rows.withColumn("plain", plain).where(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) >= min_words - 1).where(F.col("plain") != "")
+    rows = rows.withColumn("plain", plain).where(F.col("plain") != "")
     return rows.select("id", "row", "place", "site", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"))
 
 
@@ -49,17 +52,17 @@ def without(text: Column, places: Column) -> Column:
     return F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
 
 
-def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", site: str = "source", min_sites: int = 10, min_words: int = 3, band: float = 0.25) -> DataFrame:
+def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", site: str = "source", min_sites: int = 5, band: float = 0.25) -> DataFrame:
     """df's rows with cleaned text; adds n_lines, n_removed and kept."""
     # Hashes are about a tenth of the texts, which would else be split once for each use.
-    lines = stored(_lines(df, text, key, site, min_words))
+    lines = stored(_lines(df, text, key, site))
     found = stored(boilerplate(lines, min_sites, band))
-    places = lines.join(found, ["h1", "h2"]).where(F.col("id") != F.col("first")).groupBy("id", "row").agg(F.collect_set("place").alias("places"))
+    places = lines.join(found, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "row").agg(F.collect_set("place").alias("places"))
     own = {c: free_name(df, f"cut_{c}") for c in ("id", "row", "places")}
     places = places.select([F.col(a).alias(b) for a, b in own.items()])
     n_lines, n_removed, kept = (free_name(df, c) for c in ("n_lines", "n_removed", "kept"))
     body = text_or_empty(text)
-    joined = df.join(places, (F.col(key) == F.col(own["id"])) & (F.xxhash64(body) == F.col(own["row"])), "left")
+    joined = df.join(places, F.col(key).eqNullSafe(F.col(own["id"])) & (F.xxhash64(body) == F.col(own["row"])), "left")
     cut = F.col(own["places"])
     clean = F.when(cut.isNull(), F.col(text)).otherwise(without(body, cut))
     out = joined.withColumns({n_lines: F.size(F.split(body, "\n")).cast("long"), n_removed: F.coalesce(F.size(cut), F.lit(0)).cast("long"), text: clean})
@@ -79,8 +82,8 @@ WITH l AS (
   FROM documents
 ), p AS (SELECT *, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS plain FROM l),
 b AS (
-  SELECT plain, min(doc_id) AS first FROM p WHERE plain <> '' AND len(string_split(plain, ' ')) >= 3
-  GROUP BY plain HAVING count(DISTINCT site) >= 10
+  SELECT plain, min(doc_id) AS first FROM p WHERE plain <> ''
+  GROUP BY plain HAVING count(DISTINCT site) >= 5
 ), c AS (
   SELECT p.doc_id, place, line, b.plain IS NOT NULL AND p.doc_id <> b.first AS cut FROM p LEFT JOIN b ON p.plain = b.plain
 ), g AS (
