@@ -7,8 +7,9 @@ a large group. All other digests meet in an ordinary shuffle. What the summaries
 only slower, never wrong.
 
 Defined results: a null text counts as empty; of equal texts the row with the smallest doc_id
-stays; rows that repeat a doc_id are all returned, each with the group's keep_id, and kept for
-the smallest id; an empty table gives an empty table.
+stays, and if several rows have that id one of them; a null id is larger than any other; all
+rows are returned, each with the group's keep_id; very long texts travel as digests only; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,26 +54,27 @@ def frequent(digests: DataFrame, digest: str, counters: int) -> DataFrame:
 
 
 def groups(digests: DataFrame, digest: str, order: str, counters: int = 1000, least: int = 100) -> DataFrame:
-    """Adds keep_id (smallest order value of the digest) and group_size to each row.
+    """Adds keep_id (smallest order value of the digest), keep_row (row of such a row) and
+    group_size to each row.
 
-    digests: a stored table, as it is read several times. counters: Misra-Gries counters, also
+    digests: a stored table with a number for each row in column row, as it is read several times. counters: Misra-Gries counters, also
     the bound of what is broadcast. least: rows from which a candidate is a verified winner.
     """
-    found = [F.min(order).alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    found = [F.min(order).alias("keep_id"), F.coalesce(F.min_by("row", order), F.min("row")).alias("keep_row"), F.count(F.lit(1)).alias("group_size")]
     candidates = F.broadcast(frequent(digests, digest, counters))
     winners = stored(digests.join(candidates, digest, "left_semi").groupBy(digest).agg(*found).where(F.col("group_size") >= least))
     marked = digests.join(F.broadcast(winners), digest, "left")
-    heavy = marked.where(F.col("keep_id").isNotNull())
-    rest = marked.where(F.col("keep_id").isNull()).drop("keep_id", "group_size")
+    heavy = marked.where(F.col("keep_row").isNotNull())
+    rest = marked.where(F.col("keep_row").isNull()).drop("keep_id", "keep_row", "group_size")
     light = rest.join(rest.groupBy(digest).agg(*found), digest)
     return heavy.unionByName(light)
 
 
 def deduplicate(df: DataFrame, text: str = "text", order: str = "doc_id", counters: int = 1000, least: int = 100) -> DataFrame:
     """One row per row of df: its order value, keep_id, group_size, kept, text_sha256."""
-    digests = stored(with_digest(df.select(order, text), text).select(F.col(order), "text_sha256"))
-    out = groups(digests, "text_sha256", order, counters, least)
-    return out.select(order, "keep_id", "group_size", F.col(order).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    digests = stored(with_digest(df.select(F.col(order).alias("order"), F.col(text).alias("text"))).select("order", F.monotonically_increasing_id().alias("row"), "text_sha256"))
+    out = groups(digests, "text_sha256", "order", counters, least)
+    return out.select(F.col("order").alias(order), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
