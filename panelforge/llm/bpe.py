@@ -7,11 +7,14 @@ batch at once. Only words with a failing pair are merged pair by pair. Words met
 from a bounded cache, so the work grows with the distinct words of a task.
 
 Defined results: a null text encodes as the empty text (no ids); an empty or blank text gives
-no ids; special tokens inside a text become their own id, as the library does by default.
+no ids; special tokens inside a text become their own id, as the library does by default; of
+pairs of equal rank the leftmost merges first; repeated rows are encoded each; very long texts
+are whole; an empty table gives an empty table; columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -43,6 +46,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def is_word_bpe(path: str) -> bool:
+    """Whether a file holds a byte-level BPE vocabulary with word ends, whose white space only separates."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and "Regex" in first.get("pattern", {})
+    return removes and spec["model"].get("type") == "BPE" and bool(spec["model"].get("end_of_word_suffix"))
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

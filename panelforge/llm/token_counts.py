@@ -5,14 +5,19 @@ tokenizer's file. Only distinct contents that the cache lacks are encoded; their
 appended. Copies cost a digest, not an encoding, and a second run over the same corpus encodes
 nothing.
 
+Where the cache is: the query takes the folder that the Spark setting panelforge.token_cache
+names, which lasts from run to run, and a new folder where that is unset.
+
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; repeated rows are all
-returned; an empty table gives an empty table and leaves the cache as it was. If two runs append
-the same digest, the rows are equal and one of them is used.
+returned; very long texts are counted whole; an empty table gives an empty table and leaves the
+cache as it was; other columns are ignored. If two runs append the same digest, the rows are
+equal and one of them is used.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from .bpe import default_path, loaded
-from .common import SPACE, shared_dir, table, text_or_empty
+from .bpe import default_path, is_word_bpe, loaded
+from .common import SPACE, release, shared_dir, stored, table, text_or_empty
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 _OTHERS: dict = {}
@@ -33,12 +38,12 @@ def tokenizer_digest(path: str) -> str:
 
 
 def normalised(text: Column, path: str) -> Column:
-    """Content that decides the count: for the word vocabulary white space only separates."""
-    return F.trim(F.regexp_replace(text, SPACE, " ")) if "word_bpe" in path else text
+    """Content that decides the count: for a word vocabulary white space only separates."""
+    return F.trim(F.regexp_replace(text, SPACE, " ")) if is_word_bpe(path) else text
 
 
 def _count(path: str, texts: pd.Series) -> list[int]:
-    if "word_bpe" in path:
+    if is_word_bpe(path):
         return [len(x) // 4 for x in loaded(path).encode(texts)]
     if path.endswith(".model"):
         import sentencepiece
@@ -57,8 +62,10 @@ def _count(path: str, texts: pd.Series) -> list[int]:
 
 def counter(path: str):
     @F.pandas_udf(T.LongType())
-    def count_tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series(_count(path, texts), dtype="int64")
+    def count_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(_count(path, texts), dtype="int64")
+        release()
 
     return count_tokens
 
@@ -78,19 +85,22 @@ def count_tokens(df: DataFrame, cache: str, text: str = "text", key: str = "doc_
     """key, n_bytes, n_tokens of every row; counts that cache (a Parquet folder) lacks are added to it."""
     spark, path = df.sparkSession, path or default_path()
     version = tokenizer_digest(path)
-    content = df.select(F.col(key), text_or_empty(text).alias("content"))
+    content = df.select(F.col(key).alias("key"), text_or_empty(text).alias("content"))
     content = content.withColumn("plain", normalised(F.col("content"), path)).withColumn("digest", F.sha2(F.col("plain").cast("binary"), 256))
+    rows = stored(content.select("key", F.octet_length("content").cast("long").alias("n_bytes"), "digest"))
     # Copies meet on the map side first, so a large group of copies sends one row from each task.
     distinct = content.groupBy("digest").agg(F.first("plain").alias("plain"))
     known = read_cache(spark, cache, version)
     missing = distinct if known is None else distinct.join(known, "digest", "left_anti")
     added = missing.select("digest", F.lit(version).alias("tokenizer"), counter(path)("plain").alias("n_tokens"))
     added.write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
-    return content.select(key, F.octet_length("content").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select(key, "n_bytes", "n_tokens")
+    # Both sides are stored, so the join is of two plain shuffles and Spark can split a digest
+    # that many rows have; of the cache only this table's counts are read.
+    counts = stored(read_cache(spark, cache, version).join(rows.select("digest").distinct(), "digest", "left_semi"))
+    return rows.join(counts, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
     """op7: tokens of every document."""
-    counts = count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark))
+    counts = count_tokens(table(spark, sf_dir, "documents"), spark.conf.get("panelforge.token_cache", None) or shared_dir(spark))
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
