@@ -84,8 +84,9 @@ def newest_within(rows: DataFrame, limit_bytes: int, year: str = "year") -> Data
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], sort: list[str]) -> None:
-    """Appends a table partitioned by few columns, each task writing sorted rows."""
-    df.repartition(*by).sortWithinPartitions(*by, *sort).write.mode("append").partitionBy(*by).parquet(path)
+    """Appends a table partitioned by few columns, in ranges of the sort columns: a large
+    partition is written by several tasks, each with sorted rows."""
+    df.repartitionByRange(*by, *sort).sortWithinPartitions(*by, *sort).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def only_new(items: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .ordering import running
 
 
 def confusion(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
@@ -28,33 +28,57 @@ def kappa(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return kappa_of(confusion(pairs, a, b, *by), *by)
 
 
+def _uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) from 52 bits of an MD5 over the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def block_draws(blocks: DataFrame, block: str, draws: int, seed: int) -> DataFrame:
+    """draw, block, m: how often each draw takes each block; a draw takes as many blocks as there
+    are, with replacement. The picks are hashes of draw and place, made where they are counted."""
+    numbered_blocks = blocks.select(block).distinct().withColumn("_k", F.row_number().over(Window.orderBy(block)) - 1)  # units or years
+    n = numbered_blocks.count()
+    picks = blocks.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), (F.col("id") % n).alias("j"))
+    picks = picks.withColumn("_k", F.floor(_uniform(str(seed), F.col("draw"), F.col("j")) * n).cast("int"))
+    return picks.groupBy("draw", "_k").agg(F.count(F.lit(1)).alias("m")).join(numbered_blocks, "_k").drop("_k")
+
+
 def kappa_interval(pairs: DataFrame, a: str, b: str, block: str, draws: int = 1000, seed: int = 7, least_rows: int = 20) -> DataFrame:
     """2.5 and 97.5 % quantiles of kappa over draws of whole blocks with replacement; null below
-    two blocks or least_rows rows. The number of blocks (units or years) is what is drawn from."""
-    spark = pairs.sparkSession
-    counts = confusion(pairs, a, b, block).persist()
-    blocks = [r[0] for r in counts.select(block).distinct().orderBy(block).collect()]  # units or years
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    if len(blocks) < 2 or n < least_rows:
-        return spark.createDataFrame([(None, None, 0)], "lo double, hi double, draws int")
-    rng = np.random.default_rng(seed)
-    picks = rng.integers(0, len(blocks), (draws, len(blocks)))
-    weights = [(d, blocks[k], int(m)) for d in range(draws) for k, m in enumerate(np.bincount(picks[d], minlength=len(blocks))) if m]
-    w = spark.createDataFrame(weights, f"draw int, {block} {counts.schema[block].dataType.simpleString()}, m int")
-    drawn = w.join(F.broadcast(counts), block).groupBy("draw", "a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    two blocks or least_rows rows."""
+    counts = confusion(pairs, a, b, block)
+    size = counts.agg(F.count_distinct(block).alias("blocks"), F.sum("n").alias("n")).first()
+    if size["blocks"] < 2 or (size["n"] or 0) < least_rows:
+        return pairs.sparkSession.createDataFrame([(None, None, 0)], "lo double, hi double, draws int")
+    drawn = block_draws(counts, block, draws, seed).join(counts, block).groupBy("draw", "a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
     k = kappa_of(drawn, "draw").where(F.col("kappa").isNotNull())
     return k.agg(F.percentile("kappa", F.lit(0.025)).alias("lo"), F.percentile("kappa", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).cast("int").alias("draws"))
 
 
-def average_rank(column: str, *by: str) -> Column:
-    """Rank from 1, the mean rank on ties."""
-    w, ties = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
+def mean_interval(rows: DataFrame, value: str, block: str, draws: int = 500, seed: int = 11) -> DataFrame:
+    """Mean of value and the 2.5 and 97.5 % quantiles of the means of draws of whole blocks."""
+    sums = rows.where(F.col(value).isNotNull()).groupBy(block).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    means = block_draws(sums, block, draws, seed).join(sums, block).groupBy("draw").agg((F.sum(F.col("total") * F.col("m")) / F.sum(F.col("n") * F.col("m"))).alias("mean"))
+    whole = sums.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+    return whole.crossJoin(means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi")))  # one row each
+
+
+def average_ranks(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """keys, column, and rank of each distinct value: from 1, the mean rank on ties. Values are
+    counted first; the counts are added up in a thousand slices of the key's range."""
+    counts = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    placed = counts.join(ends, keys) if keys else counts.crossJoin(ends)
+    slices = F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("_low"), F.col("_high") - F.col("_low")) * 1000), F.lit(0))
+    upto = running(placed, keys, slices, [column], F.col("_n"), "upto")
+    return upto.select(*keys, column, (F.col("upto") - (F.col("_n") - 1) / 2).alias(f"rank_{column}"))
 
 
 def spearman(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, average_rank(a, *by).alias("ra"), average_rank(b, *by).alias("rb"))
-    return ranked.groupBy(*by).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    keys = list(by)
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    ranked = known.join(average_ranks(known, "a", keys), [*keys, "a"]).join(average_ranks(known, "b", keys), [*keys, "b"])
+    return ranked.groupBy(*keys).agg(F.corr("rank_a", "rank_b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def agreement(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import geo, periods, scores
-from ..operators import export, passes, selection, spatial
+from ..operators import export, ordering, passes, selection, spatial
 from ..sources import fixtures as fx
 from ..sources import observations as obs_source
 from ..sources.fixtures import SQL_DETECTIONS as DET
@@ -155,9 +155,7 @@ def haversine_in_view(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of events within 220 km of a point, in order of arrival for each sensor, with the closest."""
     far = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(23.7), F.lit(90.4))
     f = fx.feed(spark, sf).select("s", "id", F.round(220 - far, 6).alias("margin"))
-    from pyspark.sql import Window
-
-    numbered = f.withColumn("at", F.row_number().over(Window.partitionBy("s").orderBy("id")) - 1).withColumn("inside", F.col("margin") >= 0)
+    numbered = ordering.numbered(f, ["s"], F.floor(F.col("id") / 10_000), ["id"], "at").withColumn("at", F.col("at") - 1).withColumn("inside", F.col("margin") >= 0)
     out = passes.runs(numbered, ["s"], "at", "inside", "margin")
     return out.select("s", *[F.col(c).cast("long").alias(c) for c in ("first", "last", "best")])
 

@@ -366,24 +366,38 @@ def _strata(spark: SparkSession, sf: str) -> DataFrame:
     return fx.units(spark, sf).select("unit", F.element_at(F.array(*map(F.lit, ("forest", "cropland", "other"))), (F.col("unit") % 3 + 1).cast("int")).alias("stratum"))
 
 
+BRIDGES = ((0, 1), (2, 1), (3, 2), (4, 3))
+
+
+def _bridges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rates of all sensors and the models of all four bridges, with the operator's own draws and least rows."""
+    cells = panel.rates(_cells(spark, sf), 0.1, 0.0)
+    pairs = [panel.sensor_pairs(cells, a, b).withColumn("bridge", F.lit(f"{C.SENSORS[a]}-{C.SENSORS[b]}")) for a, b in BRIDGES]
+    return cells, bridge.fit_bridges(reduce(DataFrame.unionByName, pairs), _strata(spark, sf))
+
+
 def nb_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = panel.sensor_pairs(panel.rates(_cells(spark, sf), 0.1, 0.0), 0, 1)
-    out = bridge.fit_bridge(pairs, _strata(spark, sf), draws=8, min_rows=100)
-    return out.select("key", "draw", "level", "n", F.round("alpha", 6).alias("alpha"), *[F.round(F.get("beta", F.lit(k)), 6).alias(f"b{k}") for k in range(5)])
+    out = _bridges(spark, sf)[1]
+    return out.select("bridge", "key", "draw", "level", "n", F.round("alpha", 6).alias("alpha"), *[F.round(F.get("beta", F.lit(k)), 6).alias(f"b{k}") for k in range(5)])
 
 
 def chain_predict(spark: SparkSession, sf: str) -> DataFrame:
-    cells = panel.rates(_cells(spark, sf), 0.1, 0.0)
-    models = bridge.fit_bridge(panel.sensor_pairs(cells, 0, 1), _strata(spark, sf), draws=8, min_rows=100)
-    own = cells.where(F.col("s") == 0).join(_strata(spark, sf), "unit")
-    out = bridge.finish_chain(bridge.apply_link(bridge.start_chain(own, 8), models))
-    return _round(out.select("unit", "year", "p", "d", "mu", "sigma"), "mu", "sigma")
+    """Every sensor on the reference's scale, along its whole chain."""
+    cells, models = _bridges(spark, sf)
+    out = bridge.predict(cells.join(_strata(spark, sf), "unit"), models)
+    return _round(out.select("s", "unit", "year", "p", "d", "mu", "sigma"), "mu", "sigma")
 
 
-def kappa_interval(spark: SparkSession, sf: str) -> DataFrame:
+def _classes(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _judged(spark, sf).join(raw_class(spark, sf).withColumnRenamed("code", "raw"), ["unit", "year", "p"]).where(scores.judged(F.col("code")))
-    pairs = pairs.select("year", scores.class3(F.col("code")).alias("a"), scores.class3(F.col("raw")).alias("b"))
-    return _round(validation.kappa_interval(pairs, "a", "b", "year", draws=200), "lo", "hi")
+    return pairs.select("unit", "year", scores.class3(F.col("code")).alias("a"), scores.class3(F.col("raw")).alias("b"))
+
+
+def kappa_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals over blocks of years and of units."""
+    pairs = _classes(spark, sf).persist()
+    parts = [_round(validation.kappa_interval(pairs, "a", "b", block), "lo", "hi", places=5).withColumn("block", F.lit(block)) for block in ("year", "unit")]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES = {f.__name__: f for f in (period_counts, period_counts_country, frp_stats, kept_vs_excluded, exact_dedupe, import_dedupe_last, proximity_dedupe, static_mask_learn, static_mask_apply, coverage_period, coverage_country, daily_coverage, seen_pct, proxy_coverage, sensor_windows, activity_mask, valid_rates, sensor_pair_join, ratio_bridge, combine, combine_grounded, raw_total, baseline_loo, baseline_all, period_verdicts, raw_class, verdict_histogram, intervals, annual_totals, annual_rank, peak_window, flags, pass_sessions, passes_per_period, kappa, spearman, pearson_bias, coverage80, calibrate_r, nb_bridge, chain_predict, kappa_interval)}
@@ -443,6 +457,15 @@ SELECT n::BIGINT AS n, round(same / n, 6) AS po, round(rk / (n * n), 6) AS pe, r
     "spearman": f"WITH {MONTHLY}, r AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY a) + (count(*) OVER (PARTITION BY year, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY year ORDER BY b) + (count(*) OVER (PARTITION BY year, b) - 1) / 2.0::DOUBLE AS rb FROM mo) SELECT year, round(corr(ra, rb), 6) AS rho, count(*) AS n FROM r GROUP BY year",
     "pearson_bias": f"WITH {MONTHLY} SELECT year, round(corr(a, b), 6) AS pearson, round(avg(a - b), 6) AS bias, count(*) AS n FROM mo GROUP BY year",
     "coverage80": f"WITH {MONTHLY}, z AS (SELECT year, round((a - b) / sqrt(1 / (d_from + 0.5) + 1 / (d_to + 0.5)), 6) AS z FROM mo) SELECT year, round(avg((abs(z) <= {C.Z80!r})::INT::DOUBLE), 6) AS share80, round(avg((abs(z) <= {C.Z95!r})::INT::DOUBLE), 6) AS share95, count(*) AS n FROM z GROUP BY year",
+    "kappa_interval": f"""WITH {VERDICTS}, pa AS (SELECT unit, year, CASE WHEN code = 1 THEN 0 WHEN code IN (5, 6) THEN 2 ELSE 1 END AS a, CASE WHEN n < {MIN_N} THEN 1 WHEN v > q90 THEN 2 WHEN v < q10 THEN 0 ELSE 1 END AS b FROM vd WHERE code BETWEEN 1 AND 6),
+co AS (SELECT 'year' AS block, year AS k, a, b, count(*) AS n FROM pa GROUP BY ALL UNION ALL SELECT 'unit', unit, a, b, count(*) FROM pa GROUP BY ALL),
+bk AS (SELECT block, k, row_number() OVER (PARTITION BY block ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY block) AS blocks FROM (SELECT DISTINCT block, k FROM co)),
+pk AS (SELECT s.block, d, floor(('0x' || substr(md5('7:' || d || ':' || j), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE * s.blocks)::INT AS i FROM (SELECT DISTINCT block, blocks FROM bk) s CROSS JOIN range(1000) AS t(d), LATERAL range(s.blocks) AS u(j)),
+dr AS (SELECT pk.block, d, a, b, sum(n)::DOUBLE AS n FROM pk JOIN bk ON bk.block = pk.block AND bk.i = pk.i JOIN co ON co.block = bk.block AND co.k = bk.k GROUP BY ALL),
+tt AS (SELECT block, d, sum(n) AS t, sum(n) FILTER (a = b) AS same FROM dr GROUP BY ALL),
+mg AS (SELECT block, d, sum(r * c) AS rc FROM (SELECT block, d, a AS x, sum(n) AS r FROM dr GROUP BY ALL) JOIN (SELECT block, d, b AS x, sum(n) AS c FROM dr GROUP BY ALL) USING (block, d, x) GROUP BY ALL),
+ka AS (SELECT block, CASE WHEN coalesce(rc, 0) / (t * t) < 1 THEN (coalesce(same, 0) / t - coalesce(rc, 0) / (t * t)) / (1 - coalesce(rc, 0) / (t * t)) END AS kappa FROM tt LEFT JOIN mg USING (block, d))
+SELECT block, round(quantile_cont(kappa, 0.025), 5) AS lo, round(quantile_cont(kappa, 0.975), 5) AS hi, count(kappa)::INT AS draws FROM ka GROUP BY block""",
     "calibrate_r": f"""WITH {ESTIMATES.format(off='-1')}, j AS (SELECT a.mu AS m1, a.sigma AS s1, b.mu AS m2, b.sigma AS s2, c.mu AS t, c.sigma ** 2 / 8 AS tv FROM e a JOIN e b USING (unit, year, p) JOIN e c USING (unit, year, p) WHERE a.s = 0 AND b.s = 2 AND c.s = 1),
 h AS (SELECT k, avg((abs(t - (m1 / s1 ** 2 + m2 / s2 ** 2) / (1 / s1 ** 2 + 1 / s2 ** 2)) <= {C.Z80!r} * sqrt((1 + k / 10) / (1 / s1 ** 2 + 1 / s2 ** 2) + tv))::INT::DOUBLE) AS share, count(*) AS n FROM j CROSS JOIN range(10) AS r(k) GROUP BY k)
 SELECT CASE WHEN coalesce(max(n), 0) < 10 THEN 0.3 ELSE coalesce((min(k) FILTER (share >= 0.8)) / 10, 0.9) END::DOUBLE AS r, coalesce(max(n), 0) AS n FROM h""",
