@@ -145,3 +145,37 @@ def manifest(rows: DataFrame) -> DataFrame:
     latest = F.max_by(F.struct("year", "period"), F.col("year") * C.PERIODS + F.col("period"))
     out = rows.agg(F.sort_array(F.collect_set("year"), False).alias("years"), latest.alias("latest"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("district")).alias("areas"))
     return out.select("years", F.col("latest.year").alias("year"), F.col("latest.period").alias("period"), "n", "areas")
+
+
+def answer(rows: DataFrame, estimates: DataFrame, areas: DataFrame, s: Selection) -> DataFrame:
+    """One row that answers a selection: its rows, the area's estimate, every area's count and
+    estimate in order, passes by satellite, evidence by satellite, and the fleet's retention."""
+    from dataclasses import replace
+
+    chosen = observations(rows, s).agg(F.array_sort(F.collect_list(F.struct("id", "district", "satellite", "frp"))).alias("rows"))
+    models = overlaid(in_period(estimates, s), s.grounded).where(F.col("district") == s.area)
+    estimate = models.agg(F.first(F.struct("value", "lower", "upper", "probability", "coverage")).alias("estimate"))
+    stats = area_stats(rows, estimates, areas, s).agg(F.array_sort(F.collect_list(F.struct("place", "name", "count", "probability", "coverage"))).alias("stats"))
+    order = F.create_map(*[F.lit(x) for pair in ((n, k) for k, n in enumerate(C.SATELLITES)) for x in pair])
+    seen = in_period(rows, s).where(matches(replace(s, include_low=True, include_excluded=True), any_satellite=True, keep_retiring=True))
+    board = pass_board(seen).withColumns({"k": F.try_element_at(order, F.col("satellite")), "off": F.col("retiring") & F.lit(s.grounded)})
+    passes = board.agg(F.array_sort(F.collect_list(F.struct("k", "satellite", "count", "days", "times", "off"))).alias("passes"))
+    evidence_rows = in_period(rows, s).where(matches(replace(s, include_low=True, include_excluded=True), keep_retiring=True))
+    counts = pass_board(evidence_rows).withColumn("k", F.try_element_at(order, F.col("satellite")))
+    by_satellite = counts.agg(F.array_sort(F.collect_list(F.struct("k", "satellite", "count"))).alias("by_satellite"))
+    out = fleet(rows, s)
+    for part in (chosen, estimate, stats, passes, by_satellite):  # one row each
+        out = out.crossJoin(part)
+    return out
+
+
+def evidence(rows: DataFrame, s: Selection) -> DataFrame:
+    """One JSON document: the selection's parameters and its observations in order of id."""
+    chosen = F.struct(*[F.lit(v).cast("string" if k == "satellite" else "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "int").alias(k) for k, v in vars(s).items()])
+    seen = observations(rows, s).agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("observations"))
+    return seen.select(F.to_json(F.struct(F.lit(1).alias("version"), chosen.alias("selection"), "observations"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def table_rows(rows: DataFrame, most: int = 500) -> DataFrame:
+    """The rows that a table shows: the first in order of time, then id."""
+    return rows.orderBy("date", "id").limit(most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import layer_queries, panel_queries
+from . import layer_queries, panel_queries, report_queries
 
-QUERIES = panel_queries.QUERIES | layer_queries.QUERIES
-ORACLE_SQL = panel_queries.ORACLE_SQL | layer_queries.ORACLE_SQL
+QUERIES = panel_queries.QUERIES | layer_queries.QUERIES | report_queries.QUERIES
+ORACLE_SQL = panel_queries.ORACLE_SQL | layer_queries.ORACLE_SQL | report_queries.ORACLE_SQL

@@ -234,7 +234,7 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     est = panel.combine(panel.estimates(fx.detections(spark, sf)), 0.3)
     b = baseline.leave_one_out(_history(spark, sf), WINDOW).join(est, ["unit", "year", "p"], "left")
     b = b.withColumns({"p_hi": scores.p_above(F.col("mu"), F.col("sigma"), F.col("q90")), "p_lo": scores.p_below(F.col("mu"), F.col("sigma"), F.col("q10"))})
-    return b.withColumn("code", scores.verdict(F.col("mu"), F.col("sigma"), F.col("p_hi"), F.col("p_lo"), F.col("q10"), F.col("top"), F.col("n"), MIN_N, q_min=0.0))
+    return b.withColumn("code", scores.verdict(F.col("mu"), F.col("sigma"), F.col("p_hi"), F.col("p_lo"), F.col("q10"), F.col("top"), F.col("n"), MIN_N))
 
 
 def period_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +247,7 @@ z AS (SELECT bl.*, k.mu, k.sigma, (ln(q90) - mu) / sigma AS zh, (ln(q10) - mu) /
 pr AS (SELECT *, 1 - {_cdf('zh')} AS p_hi0, {_cdf('zl')} AS p_lo0 FROM z),
 vd AS (SELECT *, CASE WHEN mu IS NOT NULL THEN p_hi0 END AS p_hi, CASE WHEN mu IS NOT NULL THEN p_lo0 END AS p_lo,
          CASE WHEN mu IS NULL OR sigma IS NULL THEN 0 WHEN n < {MIN_N} THEN 7 WHEN exp(mu - {C.Z80!r} * sigma) > top THEN 6 WHEN p_hi0 >= 0.9 THEN 5 WHEN p_hi0 >= 0.6 THEN 4
-              WHEN p_lo0 >= 0.9 THEN 1 WHEN p_lo0 >= 0.6 THEN 2 ELSE 3 END AS code
+              WHEN p_lo0 >= 0.9 AND q10 >= {C.Q_MIN} THEN 1 WHEN p_lo0 >= 0.6 AND q10 >= {C.Q_MIN} THEN 2 ELSE 3 END AS code
        FROM pr)"""
 
 
