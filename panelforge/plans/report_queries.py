@@ -163,8 +163,7 @@ def dropped_gate(spark: SparkSession, sf: str) -> DataFrame:
 def export_eligible(spark: SparkSession, sf: str) -> DataFrame:
     cover = panel.coverage_cells(fx.coverage(spark, sf), CELL).select(*CELL, F.round(F.round("coverage", 6), 3).alias("coverage"))
     cells = evaluation.judge(_fleet(spark, sf), _base(spark, sf), MIN_N).join(cover, CELL, "left")
-    out = publish.eligible(cells, 1997)
-    return out.withColumns({"value": F.round("value", 4), "lower": F.round("lower", 4), "upper": F.round("upper", 4), "baselineMedian": F.round("baselineMedian", 4)})
+    return publish.eligible(cells, 1997)
 
 
 def provenance_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,8 +292,8 @@ ac AS (SELECT unit, year, p, bool_or(coalesce(make_date(year, 1, 1) + (p - 1) *
 SELECT v.unit, v.year, v.p, CASE WHEN coalesce(any_one, false) THEN code ELSE -1 END AS code FROM ({_verdicts('fa')}) v LEFT JOIN ac USING (unit, year, p)""",
     "dropped_gate": f"WITH {DET} SELECT s, year, count(*) AS raw, count(*) FILTER (x <> 2) AS kept, round(1 - count(*) FILTER (x <> 2) / count(*), 4) AS dropped, round(1 - count(*) FILTER (x <> 2) / count(*), 4) > {publish.MAX_DROPPED} AS refused FROM det GROUP BY ALL",
     "export_eligible": f"""WITH {HISTORY}, {DD}, {_fleet_sql('fa', '-1')}, {COV}, {_COVER}, v AS (SELECT * FROM ({_verdicts('fa')}) JOIN cv USING (unit, year, p) WHERE code BETWEEN 0 AND 6 AND year >= 1997 AND coverage IS NOT NULL), j AS (SELECT *, code BETWEEN 1 AND 6 AS ok FROM v)
-SELECT unit, year, p - 1 AS period, CASE WHEN ok THEN round(exp(mu), 4) ELSE 0.0 END::DOUBLE AS value, CASE WHEN ok THEN round(exp(mu - {C.Z80!r} * sigma), 4) ELSE 0.0 END::DOUBLE AS lower, CASE WHEN ok THEN round(exp(mu + {C.Z80!r} * sigma), 4) ELSE 0.0 END::DOUBLE AS upper,
-  CASE WHEN ok THEN round(ph, 4) ELSE 0.0 END::DOUBLE AS probability, round(round(coverage, 3) * 100, 1) AS coverage, coalesce(round(q50, 4), 0.0)::DOUBLE AS "baselineMedian" FROM j""",
+SELECT unit, year, p - 1 AS period, CASE WHEN ok THEN round(exp(mu), 5) ELSE 0.0 END::DOUBLE AS value, CASE WHEN ok THEN round(exp(mu - {C.Z80!r} * sigma), 5) ELSE 0.0 END::DOUBLE AS lower, CASE WHEN ok THEN round(exp(mu + {C.Z80!r} * sigma), 5) ELSE 0.0 END::DOUBLE AS upper,
+  CASE WHEN ok THEN round(ph, 4) ELSE 0.0 END::DOUBLE AS probability, round(round(coverage, 3) * 100, 1) AS coverage, coalesce(round(q50, 5), 0.0)::DOUBLE AS "baselineMedian" FROM j""",
     "provenance_text": f"""WITH {pq.WINDOWS} SELECT 'detections through ' || strftime(max("end"), '%Y-%m-%d') || '; coverage proxied from the reference sensor; trained on {pq.FIRST}-{TRAINED}' AS provenance FROM w""",
     "units_order": "SELECT (row_number() OVER (ORDER BY r_name, n_name) - 1)::INT AS idx, n_name AS name, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey",
     "latest_feed": f"WITH {pq.FEED}, m AS (SELECT max(t)::DATE AS newest FROM feed) SELECT s, t::DATE AS day, count(*) AS n, max(t) AS through FROM feed, m WHERE newest - t::DATE < 7 GROUP BY ALL",
