@@ -1,17 +1,30 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of estimated turn tokens place each turn in one window, as a target. A window also
-repeats the conversation's system turn and the turns that begin within `history` tokens before
-it; these carry no loss, so every assistant text is a target exactly once. Turns are never cut: a
-window holds a turn longer than `stride` as a whole.
+Prefix sums of turn tokens deal each turn to one window, as a target. A window holds at most
+budget tokens: its new turns take up to budget - system - history, and it also repeats the
+conversation's system turn (up to system tokens) and the turns before it that have at most
+history tokens together; these carry no loss, so every assistant text is a target exactly once.
+Turns are never cut.
+
+Tokens of a turn are a column of the table, for example the counts of a tokenizer, or else
+measured: one for each four characters begun of the formatted turn, marks and escapes included.
+
+How windows are found: let half be half of what new turns may take. A turn over half is alone in
+its window. The turns between two such turns are dealt by the prefix sum of their tokens in steps
+of half; as none is over half, no window gets over twice half. What is over the budget is only
+defined for turns that can't fit: a turn of more than budget - system - history tokens is alone in
+its window, without history, and a system turn of more than system tokens is repeated nevertheless.
+
+Sums run inside chunks of 256 turn numbers and a row a chunk over the conversation, windows are
+groups of their own, and repeated turns come from joins, so no conversation is one task.
 
 Template: "### role: text</turn>\\n" for each turn. In texts and roles a backslash becomes \\b,
 "### " becomes \\h and "</turn>" becomes \\e (in roles also ":" becomes \\c), which is reversible,
 as every backslash in an escaped text begins one of these codes.
 
 Defined results: a null text or role counts as empty; turns are ordered by turn, then role, then
-text, so ties and repeated rows all stay; a null conv_id is a conversation of its own; an empty
-table gives an empty table; other columns are ignored.
+text, so ties and repeated rows all stay; a null turn is before all others; a null conv_id is a
+conversation of its own; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered, running_sums
 from .common import table
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
@@ -38,42 +52,54 @@ def unescape(text: Column, codes: list[tuple[str, str]] = CODES) -> Column:
     return text
 
 
-def format_windows(turns: DataFrame, stride: int = 1024, history: int = 512) -> DataFrame:
-    """One row for each window: conv_id, window, formatted, loss (character spans, from 0, end
-    exclusive), n_context (turns repeated at its start), n_new, tokens (estimated)."""
-    t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    conversation = Window.partitionBy("conv_id")
-    ordered = conversation.orderBy("turn", "role", "text")
-    head = F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_CODES), F.lit(COLON))
-    t = t.withColumn("place", F.row_number().over(ordered)).withColumn("system", (F.col("place") == 1) & (F.col("role") == "system"))
-    t = t.withColumn("tokens", F.ceil(F.length("text") / 4) + 4)
-    counted = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
-    t = t.withColumn("begin", F.coalesce(F.sum(counted).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("own", F.floor(F.col("begin") / stride)).withColumn("last", F.max("own").over(conversation))
-    upto = F.when(F.col("system"), F.col("last")).otherwise(F.greatest("own", F.floor((F.col("begin") + history) / stride)))
-    t = t.withColumn("window", F.explode(F.sequence("own", upto))).withColumn("new", F.col("window") == F.col("own"))
-    t = t.select("conv_id", "window", "place", "new", "role", "tokens", head.alias("head"), escape(F.col("text")).alias("body"))
-    in_window = Window.partitionBy("conv_id", "window")
+def format_windows(turns: DataFrame, budget: int = 2048, system: int = 512, history: int = 256, tokens: str | None = None) -> DataFrame:
+    """One row for each window: conv_id, window (the place of its first new turn), formatted, loss
+    (character spans, from 0, end exclusive), n_context (turns repeated at its start), n_new,
+    tokens. tokens: a column with each turn's tokens, measured without it."""
+    capacity = budget - system - history
+    half = capacity // 2
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    t = turns.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"), (F.col(tokens).cast("long") if tokens else F.lit(None)).alias("tokens"))
+    order, chunk = ["turn", "role", "text"], F.floor(F.col("turn") / 256)
+    t = numbered(t, ["conv_id"], chunk, order, "place").withColumn("system", (F.col("place") == 1) & (F.col("role") == "system"))
+    t = t.withColumns({"head": F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_CODES), F.lit(COLON)), "body": escape(F.col("text"))}).drop("text")
     size = F.length("head") + F.length("body") + len(END)
-    t = t.withColumn("at", F.coalesce(F.sum(size).over(in_window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("tokens", F.coalesce("tokens", F.ceil(size / 4))).withColumn("counted", F.when(F.col("system"), 0).otherwise(F.col("tokens")))
+    long = F.col("counted") > half
+    t = running_sums(t.withColumn("long", long), ["conv_id"], chunk, ["place"], {"upto": F.col("counted"), "short": F.when(~long, F.col("counted")), "longs": long.cast("long")})
+    t = t.withColumn("begin", F.col("upto") - F.col("counted"))
+    t = t.withColumn("step", F.when(F.col("long"), -1).otherwise(F.floor((F.col("short") - F.col("counted")) / half))).drop("turn", "upto", "short")
+
+    windows = t.groupBy("conv_id", "longs", "step").agg(F.min("place").alias("window"), F.min("begin").alias("start"), F.count(F.lit(1)).cast("int").alias("n_new"), F.max("counted").alias("most"))
+    windows = windows.select(*[F.col(c).alias(f"w_{c}") for c in windows.columns])
+    of_conversation = F.col("conv_id").eqNullSafe(F.col("w_conv_id"))
+    columns = ["conv_id", F.col("w_window").alias("window"), F.col("w_n_new").alias("n_new"), "place", "role", "tokens", "head", "body"]
+    new = t.join(windows, of_conversation & (F.col("longs") == F.col("w_longs")) & (F.col("step") == F.col("w_step"))).select(*columns, F.lit(True).alias("new"))
+    # a turn is repeated in windows that start at most history tokens after its begin: these are
+    # in one of two steps of that width
+    near = windows.where((F.col("w_most") <= capacity) & (F.col("w_start") > 0)).withColumn("w_near", F.floor(F.col("w_start") / max(1, history)))
+    past = t.where(~F.col("system")).withColumn("near", F.explode(F.array(F.floor(F.col("begin") / max(1, history)), F.floor(F.col("begin") / max(1, history)) + 1)))
+    old = past.join(near, of_conversation & (F.col("near") == F.col("w_near")) & (F.col("place") < F.col("w_window")) & (F.col("w_start") - F.col("begin") <= history)).select(*columns, F.lit(False).alias("new"))
+    first = t.where("system").join(windows.where(F.col("w_window") > 1), of_conversation).select(*columns, F.lit(False).alias("new"))
+
+    t = new.unionByName(old).unionByName(first).withColumn("size", F.length("head") + F.length("body") + len(END))
+    in_window = Window.partitionBy("conv_id", "window").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum("size").over(in_window), F.lit(0)))
     segment = F.struct(
         "place",
-        "new",
         F.concat("head", "body", F.lit(END)).alias("piece"),
         (F.col("new") & (F.col("role") == "assistant")).alias("target"),
         (F.col("at") + F.length("head")).alias("from"),
         (F.col("at") + F.length("head") + F.length("body")).alias("to"),
     )
-    w = t.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(segment)).alias("s"), F.sum("tokens").alias("tokens"), F.count_if("new").alias("n_new"))
-    # A window in which no turn begins (a longer turn spans it) would only repeat.
-    w = w.where(F.col("n_new") > 0)
+    w = t.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(segment)).alias("s"), F.sum("tokens").alias("tokens"), F.first("n_new").alias("n_new"))
     return w.select(
         "conv_id",
         "window",
         F.array_join(F.transform("s", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("s", lambda x: x["target"]), lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))).alias("loss"),
         (F.size("s") - F.col("n_new")).cast("int").alias("n_context"),
-        F.col("n_new").cast("int").alias("n_new"),
+        "n_new",
         "tokens",
     )
 
@@ -121,21 +147,22 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
 ), o AS (
-  SELECT *, row_number() OVER w = 1 AND role = 'system' AS system, ceil(length(text) / 4.0)::BIGINT + 4 AS tokens
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
-), b AS (
-  SELECT *, coalesce(sum(CASE WHEN system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM o
-), k AS (
-  SELECT *, start // 1024 AS own, max(start // 1024) OVER (PARTITION BY conv_id) AS last,
+  SELECT *, row_number() OVER w AS place, row_number() OVER w = 1 AND role = 'system' AS system,
          length(replace(replace(replace(replace(role, '\\', '\\b'), '### ', '\\h'), '</turn>', '\\e'), ':', '\\c'))
          + length(replace(replace(replace(text, '\\', '\\b'), '### ', '\\h'), '</turn>', '\\e')) + 14 AS chars
-  FROM b
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), c AS (SELECT *, CASE WHEN system THEN 0 ELSE ceil(chars / 4.0)::BIGINT END AS counted FROM o
+), b AS (
+  SELECT *, coalesce(sum(counted) OVER p, 0)::BIGINT AS start, counted > 640 AS long, coalesce(sum(CASE WHEN counted <= 640 THEN counted ELSE 0 END) OVER p, 0)::BIGINT AS short,
+         (coalesce(sum((counted > 640)::INT) OVER p, 0) + (counted > 640)::INT)::BIGINT AS longs
+  FROM c WINDOW p AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), k AS (SELECT *, CASE WHEN long THEN -1 ELSE short // 640 END AS step FROM b
+), n AS (SELECT conv_id, longs, step, min(place) AS win, min(start) AS start, max(counted) AS most FROM k GROUP BY conv_id, longs, step
 ), x AS (
-  SELECT k.conv_id, chars, win FROM k, LATERAL range(own, 1 + CASE WHEN system THEN last ELSE greatest(own, (start + 512) // 1024) END) AS r(win)
-), f AS (
-  SELECT x.conv_id, sum(chars)::BIGINT AS formatted_chars FROM x
-  WHERE EXISTS (SELECT 1 FROM k WHERE k.conv_id = x.conv_id AND k.own = x.win) GROUP BY x.conv_id
+  SELECT conv_id, chars FROM k
+  UNION ALL SELECT k.conv_id, chars FROM k JOIN n ON n.conv_id = k.conv_id WHERE NOT system AND most <= 1280 AND place < win AND n.start - k.start <= 256
+  UNION ALL SELECT k.conv_id, chars FROM k JOIN n ON n.conv_id = k.conv_id WHERE system AND win > 1
+), f AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM x GROUP BY conv_id
 ), s AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss
