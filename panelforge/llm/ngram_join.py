@@ -167,38 +167,67 @@ def _judged(threshold: float, tolerance: float) -> Callable:
     return run
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs, those that tie what wasn't tied yet."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(at)
+    return a[keep], b[keep]
+
+
+def _ties(sig: np.ndarray, rows: np.ndarray, columns: np.ndarray, checks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that tie what plausible pairs of rows x columns tie: row by row, against columns that
+    aren't tied to the row yet, so where all are alike the first row settles it."""
+    of, out_a, out_b = np.arange(len(sig)), [], []
+    own = len(rows) == len(columns) and (rows == columns).all()
+    for place, row in enumerate(rows):
+        left = columns[place + 1 :] if own else columns
+        left = left[of[left] != of[row]]
+        matches, done = np.zeros(len(left), np.int64), 0
+        for n, m in checks:
+            if not len(left):
+                break
+            matches += (sig[left, done:n] == sig[row, done:n]).sum(axis=1)
+            go = matches >= m
+            left, matches, done = left[go], matches[go], n
+        if len(left):
+            parts, first = np.unique(of[left], return_index=True)
+            out_a.append(np.full(len(parts), row))
+            out_b.append(left[first])
+            of[np.isin(of, parts)] = of[row]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
 def _pairwise(threshold: float, tolerance: float) -> Callable:
     """Edges that tie what the plausible pairs of a bucket tie, or of two blocks of a large one."""
     checks = least_matches(threshold, tolerance)
 
-    def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        keep = []
-        for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            x, y = top(x), top(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                keep.append(at)
-        return a[keep], b[keep]
-
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by([("k", "ascending"), ("node", "ascending")])
         k, block, nodes = (cell[c].to_numpy() for c in ("k", "block", "node"))
         low, high = cell["low"][0].as_py(), cell["high"][0].as_py()
         sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
         edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        found = []
+        found_a, found_b = [], []
         for s, e in zip(edges, edges[1:], strict=False):
-            own = np.arange(s, e)
-            found.append(spanning(*(_pairs(sig, own, own, checks) if low == high else _pairs(sig, own[block[s:e] == low], own[block[s:e] == high], checks))))
-        a, b = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+            own = np.arange(e - s)
+            sides = (own, own) if low == high else (own[block[s:e] == low], own[block[s:e] == high])
+            a, b = _spanning(*_pairs(sig[s:e], *sides, checks)) if e - s <= 64 else _ties(sig[s:e], *sides, checks)
+            found_a.append(a + s)
+            found_b.append(b + s)
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
         return pa.table({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
 
     return run
@@ -348,8 +377,9 @@ def _large_groups(known: DataFrame, threshold: float, tolerance: float, block: i
     return counted.union(met)
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = 256, rounds: int = 8) -> DataFrame:
-    """Plausible edges a, b that tie all nodes of a bucket which may reach threshold."""
+def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int = 1024, rounds: int = 8) -> DataFrame:
+    """Plausible edges a, b that tie all nodes of a bucket which may reach threshold. Rounds end
+    early when a new smallest node settles less than a quarter of what is left."""
     rows = nodes.select("node", F.explode("bands").alias("k"))
     hubs = rows.groupBy("k").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     pool = stored(rows.join(hubs, "k").select("k", "node", "hub").where(F.col("node") != F.col("hub")))
@@ -370,17 +400,20 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
     out = judged(pool.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     left, small = stay(pool, out), None
     out = out.select("a", "b")
+    rows_before = None
     for _ in range(rounds):
         large = left.where(F.col("n") > block)
-        if not large.limit(1).count():
+        rows_left = large.count()
+        if not rows_left or rows_before and rows_left > 0.75 * rows_before:
             break
+        rows_before = rows_left
         rest = left.where(F.col("n") <= block)
         small = rest if small is None else small.union(rest)
         edges = judged(large.select(F.col("hub").alias("a"), F.col("node").alias("b")))
         left, out = stay(large.where(F.col("node") != F.col("hub")).select("k", "node", "hub"), edges), out.union(edges.select("a", "b"))
     left = left if small is None else left.union(small)
     blocks = F.ceil(F.col("n") / block).cast("int")
-    cells = max(1, left.where(F.col("n") <= block).count() // (4 * block))
+    cells = max(1, left.where(F.col("n") <= block).count() // 1024)
     left = left.select("k", "node", blocks.alias("blocks")).join(sig, "node")
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
