@@ -23,7 +23,7 @@ labelled row every document is kept, as nothing can be said against it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,11 +116,19 @@ def likelihoods(model: Model, temper: float):
     return log_likelihoods.asNondeterministic()
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _posterior(logs: Column) -> Column:
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    def weighed(x: Column) -> Column:
+        return _let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+    def shared(weights: Column) -> Column:
+        return _let(F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(weights, lambda v: v / total))
+
+    return _let(_let(logs, weighed), shared)
 
 
 def _added(a: Column, b: Column) -> Column:
@@ -156,7 +164,7 @@ def fuse(df: DataFrame, logs: str, model: Model, host: str | None, declared: str
     n = len(model.languages)
     if not n:
         return df.withColumns({lang_id: F.lit(None).cast("string"), lang_p: F.lit(None).cast("double"), lang_kept: F.lit(True)})
-    own, prior, of, joined_host = (free_name(df, c) for c in ("text_own", "host_prior", "host_of", "joined_host"))
+    own, of, joined_host, result = (free_name(df, c) for c in ("text_own", "host_of", "joined_host", "lang_result"))
     levels = [free_name(df, c) for c in ("host_sums", "parent_sums", "suffix_sums")]
     shares = F.array(*[F.lit(p * (1 - unknown)) for p in model.shares], F.lit(unknown))
     languages = F.array(*map(F.lit, model.languages))
@@ -175,29 +183,36 @@ def fuse(df: DataFrame, logs: str, model: Model, host: str | None, declared: str
     joined = scored.join(F.broadcast(priors) if small else priors, F.col(of) == F.col(joined_host), "left")
 
     def towards(counts: Column, wider: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, wider, lambda c, p: (c + strength * p) / (total + strength))
+        return _let(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x), lambda total: F.zip_with(counts, wider, lambda c, p: (c + strength * p) / (total + strength)))
 
-    smoothed: Column = shares
-    for sums in reversed(levels):
-        others = F.zip_with(sums, own, lambda c, p: F.greatest(c - p, F.lit(0.0)))
-        smoothed = towards(others, smoothed)
-    joined = joined.withColumn(prior, F.when(F.col(joined_host).isNull(), shares).otherwise(smoothed)).drop(joined_host, *levels)
+    def host_prior(mine: Column) -> Column:
+        others = [F.zip_with(sums, mine, lambda c, p: F.greatest(c - p, F.lit(0.0))) for sums in levels]
+        wider = shares
+        for counts in reversed(others):
+            wider = towards(counts, wider)
+        return F.when(F.col(joined_host).isNull(), shares).otherwise(wider)
 
-    fused = _added(F.col(logs), F.transform(prior, lambda p: F.log(F.greatest(p, F.lit(1e-12)))))
     nothing = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.abs(x)) == 0
+    evidence = F.lit(None)
     if declared is not None:
         said = F.lower(F.substring_index((F.col(declared) if isinstance(declared, str) else declared).cast("string"), "-", 1))
         # trust for the language that is named, the rest shared by the others
         named = F.transform(F.concat(languages, F.array(F.lit(""))), lambda x: F.when(x == said, float(np.log(trust_declared))).otherwise(float(np.log((1 - trust_declared) / n))))
         names_one = F.coalesce(F.array_contains(languages, said), F.lit(False))
-        fused = F.when(names_one, _added(fused, named)).otherwise(fused)
-        nothing = nothing & ~names_one
-    out = joined.withColumn(own, _posterior(fused))
-    best = F.array_max(F.slice(own, 1, n))
-    sure = ~nothing & (best >= F.get(own, F.lit(n)))
-    found = F.get(languages, (F.array_position(own, best) - 1).cast("int"))
-    return out.withColumns({lang_id: F.when(sure, found), lang_p: F.when(~nothing, best), lang_kept: ~nothing & (best > least)}).drop(own, prior, of)
+        nothing, evidence = nothing & ~names_one, F.when(names_one, named)
+
+    def decided(posterior: Column) -> Column:
+        best = F.array_max(F.slice(posterior, 1, n))
+        found = F.get(languages, (F.array_position(posterior, best) - 1).cast("int"))
+        sure = ~nothing & (best >= F.get(posterior, F.lit(n)))
+        return F.struct(F.when(sure, found).alias("id"), F.when(~nothing, best).alias("p"), (~nothing & (best > least)).alias("kept"))
+
+    # Each step is bound to a name, as the optimizer would write it out wherever it is used.
+    prior = host_prior(F.col(own))
+    text_and_host = F.zip_with(logs, prior, lambda x, p: x + F.log(F.greatest(p, F.lit(1e-12))))
+    fused = _let(text_and_host, lambda x: F.coalesce(_added(x, evidence), x)) if declared is not None else text_and_host
+    out = joined.withColumn(result, _let(_posterior(fused), decided))
+    return out.withColumns({lang_id: F.col(f"{result}.id"), lang_p: F.col(f"{result}.p"), lang_kept: F.col(f"{result}.kept")}).drop(own, of, joined_host, result, *levels)
 
 
 def declared_in(text: str) -> Column:
