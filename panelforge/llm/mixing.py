@@ -4,11 +4,11 @@ Each source has a mean repetition rate: its share of the target over its share o
 document's number of copies is the Poisson quantile of a uniform number hashed from seed and
 doc_id, so it doesn't depend on partitions, order or retries. Rates over 16 are split into equal
 parts with a hash each (a sum of Poisson numbers is Poisson), so no table of probabilities
-grows. Copies are dealt out by a global sort on a hash of document and copy.
+grows. Copies are in the global order of a hash of document and copy.
 
 Defined results: a null source is a source of its own; rows with one doc_id get the same number
 of copies; a null doc_id hashes as the text "null"; sources without a target weight get none of
-it and are left out; an empty table gives an empty table. Added columns get a leading underscore
+it and are left out; very long texts are moved once; an empty table gives an empty table. Added columns get a leading underscore
 if the table has their name.
 """
 
@@ -34,12 +34,13 @@ def rates(df: DataFrame, source: str, weights: dict[str, float] | None, size: fl
     weights: target share by source, in any unit; None for equal shares. size: rows to make, None
     for as many as there are.
     """
-    counts = stored(df.groupBy(F.col(source).alias("of")).agg(F.count(F.lit(1)).alias("rows")))
-    share: Column = F.lit(1.0)
-    if weights is not None:
-        share = F.lit(0.0)
-        for name, w in weights.items():
-            share = F.when(F.col("of").eqNullSafe(F.lit(name)), float(w)).otherwise(share)
+    counts = df.groupBy(F.col(source).alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    if weights is None:
+        counts = counts.withColumn("share", F.lit(1.0))
+    else:
+        wanted = df.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, share double")
+        counts = counts.join(wanted, F.col("of").cast("string").eqNullSafe(F.col("name")), "left").select("of", "rows", F.coalesce("share", F.lit(0.0)).alias("share"))
+    counts, share = stored(counts), F.col("share")
     total = counts.agg(F.sum("rows").alias("rows"), F.sum(share).alias("shares")).first()
     made, shares = size if size is not None else (total["rows"] or 0), total["shares"] or 1.0
     out = counts.withColumn("rate", share / F.lit(float(shares)) * F.lit(float(made)) / F.col("rows")).where(F.col("rate") > 0)
@@ -64,15 +65,17 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: dic
     table_of = table_of.select([F.col(a).alias(b) for a, b in rate.items()])
     copy, order_key = free_name(df, "copy"), free_name(df, "order_key")
     joined = df.join(F.broadcast(table_of) if small else table_of, F.col(source).eqNullSafe(F.col(rate["of"])))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col(rate["parts"])),
-        F.lit(0),
-        lambda n, j: n + F.size(F.filter(F.col(rate["cdf"]), lambda c: c <= _uniform(str(seed), F.col(key), j))),
-    )
+    # The hashes come first, as inside the search they would be worked out for each entry.
+    uniforms = F.transform(F.sequence(F.lit(1), F.col(rate["parts"])), lambda j: _uniform(str(seed), F.col(key), j))
+    drawn = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(rate["cdf"]), lambda c: c <= u)))
     copies = joined.withColumn(copy, drawn).drop(*rate.values()).where(F.col(copy) > 0)
     copies = copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     copies = copies.withColumn(order_key, F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(copy).cast("string"))))
-    return copies.orderBy(order_key)
+    # The hash is uniform, so equal ranges of it are equal parts of the rows: a global order without
+    # the sample of the rows that a sort would take.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = F.floor(F.conv(F.substring(order_key, 1, 8), 16, 10).cast("double") / float(1 << 32) * parts).cast("int")
+    return copies.repartitionById(parts, ranged).sortWithinPartitions(order_key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
