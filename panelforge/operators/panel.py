@@ -48,6 +48,19 @@ def coverage_cells(daily: DataFrame, keys: list[str] = CELL) -> DataFrame:
     return out.withColumns({"missing": missing, "coverage": F.try_divide("clear", "land")})
 
 
+def unit_land(daily: DataFrame) -> DataFrame:
+    """Largest land area that any sensor saw of a unit on a day."""
+    per_day = daily.groupBy("s", "unit", "date").agg(F.sum("land").alias("land"))
+    return per_day.groupBy("unit").agg(F.max("land").alias("land"))
+
+
+def period_land(daily: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """Land area times days of every unit's periods, the same for all sensors."""
+    frame = spine(daily, first_year, last_year)
+    days = periods.days_in_period(F.col("year"), F.col("p"))
+    return frame.join(unit_land(daily), "unit").select("unit", "year", "p", (F.col("land") * days).alias("land_days"))
+
+
 def daily_coverage(parts: DataFrame, order: list[Column]) -> DataFrame:
     """One row for each satellite, day and unit: repeated (sat, tile, date, unit) rows count once, tiles are added."""
     first = parts.withColumn("_n", F.row_number().over(Window.partitionBy("sat", "tile", "date", "unit").orderBy(*order))).where(F.col("_n") == 1)

@@ -2,49 +2,69 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geo
 
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-UNIT_SCHEMA = T.StructType([T.StructField("unit_idx", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("rings", T.ArrayType(T.ArrayType(POINT)))])
+#: A collection as rows see it; coordinates stay text until their depth is known.
+_COLLECTION = "type string, features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
+_POLYGON, _MULTI = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+
+
+def districts(texts: DataFrame, column: str = "value") -> DataFrame:
+    """place, name, rings (all shells and holes, as points x and y) and wrong (null: usable) of
+    each feature of collections given as JSON texts, by functions of the JVM alone."""
+    features = texts.select(F.from_json(column, _COLLECTION).alias("c")).select(F.col("c.type").alias("kind"), F.posexplode_outer("c.features").alias("place", "f"))
+    shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    # one polygon is a list of one polygon
+    nested = F.when(shape == "Polygon", F.from_json(F.concat(F.lit("["), text, F.lit("]")), _MULTI)).when(shape == "MultiPolygon", F.from_json(text, _MULTI))
+    rows = features.withColumn("polygons", nested).withColumn("flat", F.flatten("polygons"))
+    usable = lambda q: (F.size(q) >= 2) & F.coalesce(~F.isnan(q[0]) & ~F.isnan(q[1]) & (F.abs(q[0]) <= 180) & (F.abs(q[1]) <= 90), F.lit(False))
+    closed = lambda r: F.slice(F.get(r, F.lit(0)), 1, 2) == F.slice(F.get(r, F.size(r) - 1), 1, 2)
+    wrong = (
+        F.when(F.coalesce(F.col("kind") != "FeatureCollection", F.lit(True)) | F.col("place").isNull(), "no feature collection")
+        .when(F.col("polygons").isNull() | (F.size("polygons") == 0), "no polygon")
+        .when(F.exists("polygons", lambda p: F.coalesce(F.size(p) < 1, F.lit(True))), "a polygon without rings")
+        .when(F.exists("flat", lambda r: F.coalesce((F.size(r) < 4) | F.exists(r, lambda q: ~usable(q)), F.lit(True))), "a ring out of range")
+        .when(F.exists("flat", lambda r: ~F.coalesce(closed(r), F.lit(False))), "an open ring")
+    )
+    named = F.coalesce(*[F.nullif(F.try_element_at("f.properties", F.lit(k)), F.lit("")) for k in ("shapeName", "name", "district")], F.lit("Unnamed area"))
+    points = F.transform("flat", lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    return rows.select("place", named.alias("name"), points.alias("rings"), wrong.alias("wrong"))
 
 
 def units_from_geojson(spark: SparkSession, text: str) -> DataFrame:
-    """Districts of a FeatureCollection: unit_idx in order, name, rings (all shells and holes)."""
-    rows = []
-    for k, f in enumerate(check_boundaries(json.loads(text))["features"]):
-        g, p = f["geometry"], f.get("properties") or {}
-        polygons = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
-        name = p.get("shapeName") or p.get("name") or p.get("district") or "Unnamed area"
-        rows.append((k, str(name), [[(float(q[0]), float(q[1])) for q in ring] for polygon in polygons for ring in polygon]))
-    return spark.createDataFrame(rows, UNIT_SCHEMA)
-
-
-def check_boundaries(collection: dict) -> dict:
-    """The collection if all its polygons are closed rings of four points or more within range."""
-    if not isinstance(collection, dict) or collection.get("type") != "FeatureCollection" or not isinstance(collection.get("features"), list):
-        raise ValueError("a FeatureCollection is expected")
-    for f in collection["features"]:
-        g = f.get("geometry") or {}
-        if g.get("type") not in ("Polygon", "MultiPolygon") or not g.get("coordinates"):
-            raise ValueError("districts must be polygons with coordinates")
-        for polygon in [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]:
-            if not polygon:
-                raise ValueError("a polygon has no rings")
-            for ring in polygon:
-                if len(ring) < 4 or any(len(q) < 2 or not (np.isfinite(q[0]) and np.isfinite(q[1]) and abs(q[0]) <= 180 and abs(q[1]) <= 90) for q in ring):
-                    raise ValueError("a ring has invalid coordinates")
-                if ring[0][:2] != ring[-1][:2]:
-                    raise ValueError("a ring is not closed")
-    return collection
+    """Districts of a FeatureCollection: unit_idx in order, name, rings; raises ValueError if any
+    isn't made of closed rings of four points or more within range."""
+    rows = districts(spark.createDataFrame([(text,)], "value string"))
+    bad = rows.where(F.col("wrong").isNotNull()).select("wrong").first()
+    if bad:
+        raise ValueError(f"boundaries: {bad['wrong']}")
+    return rows.select(F.col("place").cast("int").alias("unit_idx"), "name", "rings")
+
+
+def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
+    """Districts of the GeoJSON files below a path; those that aren't usable are left out."""
+    rows = districts(spark.read.text(path, wholetext=True))
+    return rows.where(F.col("wrong").isNull()).select(F.col("place").cast("int").alias("unit_idx"), "name", "rings")
+
+
+def parent_by_cells(units: DataFrame, parents: DataFrame, cell: float) -> DataFrame:
+    """unit_idx and the parent that most of the unit's cell centres are in (the first on ties):
+    the parent of largest overlap, to the size of a cell."""
+    boxes = with_boxes(units)
+    low = lambda c: F.floor(F.col(c) / cell)
+    centres = boxes.withColumn("gx", F.explode(F.sequence(low("west"), low("east")))).withColumn("gy", F.explode(F.sequence(low("south"), low("north"))))
+    centres = centres.withColumns({"lon": (F.col("gx") + 0.5) * cell, "lat": (F.col("gy") + 0.5) * cell}).where(geo.in_rings(F.col("lon"), F.col("lat"), F.col("rings")))
+    placed = assign(centres.select(F.col("unit_idx").alias("unit"), "lon", "lat"), parents)
+    votes = placed.where(F.col("unit_idx").isNotNull()).groupBy("unit", "unit_idx", "unit_name").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("unit").agg(F.max_by("unit_name", F.struct("n", -F.col("unit_idx"))).alias("parent"))
+    return units.select("unit_idx").join(best, F.col("unit_idx") == F.col("unit"), "left").select("unit_idx", "parent")
 
 
 def with_boxes(units: DataFrame) -> DataFrame:

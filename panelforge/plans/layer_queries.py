@@ -209,7 +209,7 @@ def raster_counts(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     lines = fx.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("tile"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("int").alias("quantity"))
-    place = F.row_number().over(Window.partitionBy("tile", "date").orderBy("quantity")) - 1
+    place = F.row_number().over(Window.partitionBy("tile", "date").orderBy("quantity")) - 1  # equal quantities are equal pixels
     lines = lines.withColumn("mask", F.floor(place / 100).cast("int"))
     masks = lines.groupBy("tile", "date", "mask").agg(F.sort_array(F.collect_list("quantity")).alias("q"))
     pixel = lambda k: F.chr((F.coalesce(F.get("q", F.pmod(k, F.size("q"))), F.lit(0)) % 10).cast("long"))
@@ -273,4 +273,8 @@ SELECT unit, pixels, land, coalesce(stratum, 'other') AS stratum FROM n LEFT JOI
     "gates": f"WITH {panel_queries.VERDICTS} SELECT count(*) FILTER (n / 20.0 NOT BETWEEN 0 AND 1.0001) AS bad_coverage, count(*) FILTER (p_hi NOT BETWEEN 0 AND 1) AS bad_p_hi, count(*) FILTER (p_lo NOT BETWEEN 0 AND 1) AS bad_p_lo, count(*) FILTER (code NOT BETWEEN -1 AND 8) AS bad_code, count(mu) AS n_harmonized FROM vd",
     "csv_export": f"""WITH {OBS} SELECT '"24","90","' || strftime(date, '%Y-%m-%d') || '","' || CASE WHEN time_known THEN strftime(date, '%H%M') ELSE '' END || '","' || satellite || '","''=S""x","n","' || round(frp)::BIGINT || '","' || district || '","' || excluded || '"' AS value FROM obs WHERE {_HERE} AND {KEPT} AND {NEWER}""",
     "period_labels": f"WITH {DET} SELECT DISTINCT year, p, make_date(year, 1, 1) + (p - 1) * 8 AS first_day, least(make_date(year, 1, 1) + (p - 1) * 8 + 7, make_date(year, 12, 31)) AS last_day, (CASE WHEN p < 46 THEN 8 ELSE dayofyear(make_date(year, 12, 31)) - 360 END)::INT AS days FROM det",
+    "raster_counts": """WITH l AS (SELECT l_linenumber AS tile, l_shipdate::DATE AS date, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_linenumber, l_shipdate::DATE ORDER BY l_quantity::INT) - 1 AS pos FROM lineitem),
+m AS (SELECT tile, date, pos // 100 AS mask, list(q ORDER BY q) AS qs FROM l GROUP BY ALL),
+x AS (SELECT tile, date, mask, i, coalesce(qs[i % len(qs) + 1], 0) % 10 AS v FROM m, range(100) AS r(i))
+SELECT CASE WHEN mask = 0 THEN 'T' ELSE 'T' || mask END AS sat, tile::INT AS tile, date, (CASE WHEN i < 50 THEN 0 ELSE 1 END)::INT AS unit, count(*) FILTER (v IN (5, 7, 8, 9)) AS clear, count(*) FILTER (v = 4) AS cloud, count(*) AS land FROM x GROUP BY ALL""",
 }

@@ -155,6 +155,11 @@ def published_codes(spark: SparkSession, sf: str) -> DataFrame:
     return publish.published_codes(cells.select(*CELL, "code"), pq.activity_mask(spark, sf))
 
 
+def period_land(spark: SparkSession, sf: str) -> DataFrame:
+    out = panel.period_land(fx.coverage(spark, sf), pq.FIRST, pq.LAST)
+    return out.withColumn("land_days", F.round("land_days", 4))
+
+
 def dropped_gate(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.detections(spark, sf)
     return publish.dropped_gate(export.reconcile(d, d.where(F.col("x") != 2), ["s", "year"]))
@@ -206,7 +211,7 @@ def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     return selection.table_rows(layer.observations(spark, sf).where(F.col("year") == layer.CHOICE.year)).select("id", "district", "satellite", "date")
 
 
-QUERIES = {f.__name__: f for f in (continuity, reference_control, national_series, sigma_scale, rescaled_sigmas, interval_split, step_change, quiet_cells, cloud_artifact, verdicts_kept, snapshot_shape, detections_shape, daily_shape, meta_document, published_codes, dropped_gate, export_eligible, provenance_text, units_order, latest_feed, tile_cover, selection_answer, evidence_document, table_rows)}
+QUERIES = {f.__name__: f for f in (continuity, reference_control, national_series, sigma_scale, rescaled_sigmas, interval_split, step_change, quiet_cells, cloud_artifact, verdicts_kept, snapshot_shape, detections_shape, daily_shape, meta_document, published_codes, period_land, dropped_gate, export_eligible, provenance_text, units_order, latest_feed, tile_cover, selection_answer, evidence_document, table_rows)}
 
 
 def _verdicts(source: str, more: str = "") -> str:
@@ -290,6 +295,8 @@ SELECT (SELECT string_agg(concat_ws(':', s, start::DATE, "end"::DATE), ',' ORDER
     "published_codes": f"""WITH {HISTORY}, {DD}, {_fleet_sql('fa', '-1')}, {pq.WINDOWS.removeprefix(DET + ',').lstrip()}, c AS (SELECT s, unit, year, p, count(DISTINCT date) AS n_days FROM cov GROUP BY ALL),
 ac AS (SELECT unit, year, p, bool_or(coalesce(make_date(year, 1, 1) + (p - 1) * 8 >= start AND least(make_date(year, 1, 1) + (p - 1) * 8 + 7, make_date(year, 12, 31)) <= "end" AND n_days > 0, false)) AS any_one FROM c LEFT JOIN w USING (s) GROUP BY ALL)
 SELECT v.unit, v.year, v.p, CASE WHEN coalesce(any_one, false) THEN code ELSE -1 END AS code FROM ({_verdicts('fa')}) v LEFT JOIN ac USING (unit, year, p)""",
+    "period_land": f"""WITH {COV}, d AS (SELECT s, unit, date, sum(land) AS land FROM cov GROUP BY ALL), u AS (SELECT unit, max(land) AS land FROM d GROUP BY unit)
+SELECT unit, y::INT AS year, q::INT AS p, round(land * CASE WHEN q < 46 THEN 8 ELSE dayofyear(make_date(y::INT, 12, 31)) - 360 END, 4) AS land_days FROM u CROSS JOIN range({pq.FIRST}, {pq.LAST + 1}) AS a(y) CROSS JOIN range(1, 47) AS b(q)""",
     "dropped_gate": f"WITH {DET} SELECT s, year, count(*) AS raw, count(*) FILTER (x <> 2) AS kept, round(1 - count(*) FILTER (x <> 2) / count(*), 4) AS dropped, round(1 - count(*) FILTER (x <> 2) / count(*), 4) > {publish.MAX_DROPPED} AS refused FROM det GROUP BY ALL",
     "export_eligible": f"""WITH {HISTORY}, {DD}, {_fleet_sql('fa', '-1')}, {COV}, {_COVER}, v AS (SELECT * FROM ({_verdicts('fa')}) JOIN cv USING (unit, year, p) WHERE code BETWEEN 0 AND 6 AND year >= 1997 AND coverage IS NOT NULL), j AS (SELECT *, code BETWEEN 1 AND 6 AS ok FROM v)
 SELECT unit, year, p - 1 AS period, CASE WHEN ok THEN round(exp(mu), 5) ELSE 0.0 END::DOUBLE AS value, CASE WHEN ok THEN round(exp(mu - {C.Z80!r} * sigma), 5) ELSE 0.0 END::DOUBLE AS lower, CASE WHEN ok THEN round(exp(mu + {C.Z80!r} * sigma), 5) ELSE 0.0 END::DOUBLE AS upper,
