@@ -86,5 +86,5 @@ def test_kappa_and_ranks(spark):
     k = validation.kappa(pairs, "a", "b").first()
     assert abs(k["kappa"] - (0.8 - 0.36) / (1 - 0.36)) < 1e-12
     assert validation.kappa(spark.createDataFrame([(1, 1)], "a int, b int"), "a", "b").first()["kappa"] is None
-    ranks = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double").select(validation.average_rank("v").alias("r"))
-    assert sorted(r["r"] for r in ranks.collect()) == [1.0, 2.5, 2.5, 4.0]
+    ranks = validation.average_ranks(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double"), "v", [])
+    assert sorted((r["v"], r["rank_v"]) for r in ranks.collect()) == [(1.0, 1.0), (2.0, 2.5), (5.0, 4.0)]

@@ -7,22 +7,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import constants as C
-from panelforge.operators import baseline, bridge, dedupe, export, panel, passes, selection, spatial, staticmask
+from panelforge.operators import baseline, bridge, dedupe, evaluation, export, graph, ordering, panel, passes, publish, selection, spatial, staticmask, validation, workspace
 from panelforge.operators.selection import Selection
 from panelforge.plans import layer_queries
+from panelforge.sources import feeds
 from panelforge.sources import observations as source
 from panelforge.streaming import ingest
 
 
 def test_normalise_both_families(spark):
-    rows = [("24.0", "90.0", "2020-02-01", "730", "Aqua", "20", "3.0", "D", "0"), ("24.0", "90.1", "2020-02-01", "1630", "Terra", "85", None, "N", None)]
     names = "latitude string, longitude string, acq_date string, acq_time string, satellite string, confidence string, frp string, daynight string, type string"
-    got = source.normalize(spark.createDataFrame(rows, names), "T+A").collect()
-    assert [(r["s"], r["conf"], r["night"], r["frp"], r["type"]) for r in got] == [(1, 0, False, 3.0, 0), (0, 2, True, 0.0, -1)]
-    assert got[0]["t"] == dt.datetime(2020, 2, 1, 7, 30)
-    rows = [("24", "90", "2020-02-01", "0000", "N20", "l", "1", "N", "0"), ("24", "90", "2020-02-01", "0001", "?", "high", "1", "D", "2")]
-    got = source.normalize(spark.createDataFrame(rows, names), "N").collect()
-    assert [(r["s"], r["conf"], r["type"]) for r in got] == [(3, 0, 0), (2, 2, 2)]
+    modis = [("21.55", "88.9", "2011-07-19", "5", "terra", "29.9", "x", "N", "2"), ("-3", "91", "2011-07-19", "2359", "A", "30", "12.25", "D", ""), ("0", "0", "2011-07-20", None, "?", "80", "0", "", "3")]
+    got = source.normalize(spark.createDataFrame(modis, names), "T+A").collect()
+    assert [(r["s"], r["conf"], r["night"], r["frp"], r["type"]) for r in got] == [(0, 0, True, 0.0, 2), (1, 1, False, 12.25, -1), (1, 2, False, 0.0, 3)]
+    assert [r["t"] for r in got] == [dt.datetime(2011, 7, 19, 0, 5), dt.datetime(2011, 7, 19, 23, 59), dt.datetime(2011, 7, 20)]
+    viirs = [("1", "2", "2022-12-31", "10", sat, conf, "1e2", "D", None) for sat, conf in (("N", "nominal"), ("N20", "L"), ("N21", "h"), ("other", ""))]
+    got = source.normalize(spark.createDataFrame(viirs, names), "J1").collect()
+    assert [(r["s"], r["conf"], r["frp"], r["type"]) for r in got] == [(2, 1, 100.0, -1), (3, 0, 100.0, -1), (4, 2, 100.0, -1), (3, 1, 100.0, -1)]
 
 
 def test_proximity_keeps_the_strongest_of_a_chain(spark):
@@ -63,24 +64,49 @@ def test_peak_and_rank(spark):
     assert {r["year"]: r["rank"] for r in baseline.rank(years).collect()} == {2001: 2, 2002: None, 2003: 3, 2004: 1}
 
 
-def test_count_regression_recovers_its_parameters():
-    rng = np.random.default_rng(0)
-    n = 30_000
-    x, offset = rng.normal(size=n), np.log(rng.uniform(0.5, 4, n))
-    design = np.column_stack([np.ones(n), x, rng.uniform(size=n), rng.normal(size=n), rng.normal(size=n)])
-    mean = np.exp(offset + 0.3 + 0.8 * x)
-    y = rng.poisson(mean * rng.gamma(2.0, 0.5, n)).astype(float)
-    beta, alpha = bridge.fit_counts(y, design, offset, np.ones(n))
-    assert abs(beta[0] - 0.3) < 0.06 and abs(beta[1] - 0.8) < 0.06 and abs(alpha - 0.5) < 0.12
-    twice = np.concatenate([np.arange(500), np.arange(100)])
-    weights = np.ones(500)
-    weights[:100] = 2
-    assert np.allclose(bridge.fit_counts(y[twice], design[twice], offset[twice], np.ones(600))[0], bridge.fit_counts(y[:500], design[:500], offset[:500], weights)[0])
+def bridge_pairs(rng, n, years=range(2001, 2007), slope=0.8, level=0.3, shape=2.0):
+    rows = []
+    for k in range(n):
+        rho, clear, ns, angle = float(np.exp(rng.normal())), float(rng.uniform(500, 4000)), float(rng.uniform()), float(rng.uniform(0, 6))
+        mean = clear / 1000 * np.exp(level) * rho**slope
+        rows.append(("A-B", k % 40, int(rng.choice(list(years))), int(rng.poisson(mean * rng.gamma(shape, 1 / shape))), clear, rho, ns, float(np.sin(angle)), float(np.cos(angle))))
+    return rows
+
+
+PAIRS = "bridge string, unit int, year int, d_to int, clear_to double, rho_from double, ns_from double, sn double, cs double"
+
+
+def test_bridges_are_posterior_modes(spark):
+    """Brute force over the gathered rows: the gradient of the posterior is 0 at every draw's fit."""
+    rows = bridge_pairs(np.random.default_rng(0), 3000) + [("B-C", *r[1:]) for r in bridge_pairs(np.random.default_rng(1), 100)]
+    strata = spark.createDataFrame([(u, "forest" if u < 20 else None) for u in range(40)], "unit int, stratum string")
+    got = bridge.fit_bridges(spark.createDataFrame(rows, PAIRS).repartition(5), strata, draws=4).collect()
+    assert {(r["bridge"], r["key"], r["level"]) for r in got} == {("A-B", "pool", 1), ("A-B", "forest", 0)} and len(got) == 8
+    for r in got:
+        own = [x for x in rows[:3000] if r["key"] == "pool" or x[1] < 20]
+        assert r["n"] == len(own)
+        years = bridge.year_draws(sorted({x[2] for x in own}), 4, [bridge.SEED, *f"A-B|{r['key']}".encode()])
+        assert all(sum(w[d] for w in years.values()) == 6 for d in range(4))
+        y, clear, rho, ns, sn, cs = (np.array([x[k] for x in own], float) for k in range(3, 9))
+        x, w = np.column_stack([np.ones(len(y)), np.log(rho), ns, sn, cs]), np.array([years[row[2]][r["draw"]] for row in own], float)
+        beta, mean = np.array(r["beta"]), clear / 1000 * np.exp(x @ np.array(r["beta"]))
+        gradient = x.T @ (w * (y - mean) / (1 + r["alpha"] * mean)) - bridge.PRIOR_PRECISION * (beta - bridge.PRIOR_MEAN)
+        assert np.abs(gradient).max() < 1e-3
+        if r["draw"] == 0 and r["key"] == "pool":
+            assert abs(beta[0] - 0.3) < 0.2 and abs(beta[1] - 0.8) < 0.1 and abs(r["alpha"] - 0.5) < 0.2
+
+
+def test_a_bridge_without_a_fit_takes_the_ratio():
+    draws = bridge.Draws(bridge.year_draws([2001, 2002], 3, [1]), 200)
+    draws.failed[1] = True
+    assert draws.settle(np.array([2.0, 3.0, 4.0]), 0) == 0 and np.allclose(draws.beta[1], [np.log(3), 1, 0, 0, 0]) and draws.alpha[1] == 0.1
+    draws.failed[0] = True
+    assert draws.settle(np.array([2.0, 3.0, 4.0]), 0) == 3 and np.allclose(draws.beta[:, 0], np.log([2, 3, 4]))
 
 
 def test_chain_of_one_link(spark):
     cells = spark.createDataFrame([(0, 4, 2.0, 0.5, 0.1, 0.2, "forest")], "unit int, d int, rho double, ns double, sn double, cs double, stratum string")
-    models = spark.createDataFrame([("pool", b, [0.0, 1.0, 0.0, 0.0, 0.0], 0.2, 1, 200) for b in range(5)], bridge.SCHEMA)
+    models = spark.createDataFrame([("A-B", "pool", b, [0.0, 1.0, 0.0, 0.0, 0.0], 0.2, 1, 200) for b in range(5)], bridge.SCHEMA)
     r = bridge.finish_chain(bridge.apply_link(bridge.start_chain(cells, 5), models)).first()
     assert abs(r["mu"] - np.log(2.01)) < 1e-12 and abs(r["sigma"] - np.sqrt(1 / 4.5 + 0.2)) < 1e-12
 
@@ -107,8 +133,21 @@ def test_points_footprints_and_rasters(spark):
     masks = spark.createDataFrame([("T", 1, dt.date(2020, 1, 1), bytearray(mask))], "sat string, tile int, date date, pixels binary")
     grids = spark.createDataFrame([(1, bytearray(grid.tobytes()), bytearray([1] * 11 + [0]))], "tile int, unit binary, land binary")
     assert {(r["unit"], r["clear"], r["cloud"], r["land"]) for r in spatial.raster_counts(masks, grids).collect()} == {(0, 2, 1, 4), (1, 2, 2, 4)}
+    one = '{"type":"FeatureCollection","features":[{"properties":{},"geometry":{"type":"%s","coordinates":%s}}]}'
+    for kind, ring in (("Polygon", "[[[0,0],[1,1],[0,0]]]"), ("Polygon", "[[[0,0],[1,1],[1,0],[0,9]]]"), ("Polygon", "[[[0,0],[1,91],[1,0],[0,0]]]"), ("Polygon", "[]"), ("Point", "[0,0]"), ("MultiPolygon", "[[]]")):
+        with pytest.raises(ValueError):
+            spatial.units_from_geojson(spark, one % (kind, ring))
     with pytest.raises(ValueError):
-        spatial.check_boundaries({"type": "FeatureCollection", "features": [{"geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [0, 0]]]}}]})
+        spatial.units_from_geojson(spark, '{"type":"Feature"}')
+    assert spatial.units_from_geojson(spark, one % ("Polygon", "[[[0,0],[1,1],[1,0],[0,0]]]")).first()["name"] == "Unnamed area"
+
+
+def test_parent_of_largest_overlap(spark):
+    box = lambda w, s, e, n: [[(w, s), (e, s), (e, n), (w, n), (w, s)]]
+    schema = "unit_idx int, name string, rings array<array<struct<x:double,y:double>>>"
+    units = spark.createDataFrame([(0, "a", box(0.0, 0.0, 3.0, 1.0)), (1, "b", box(5.0, 0.0, 6.0, 1.0))], schema)
+    parents = spark.createDataFrame([(0, "left", box(-1.0, -1.0, 1.0, 2.0)), (1, "right", box(1.0, -1.0, 4.0, 2.0))], schema)
+    assert {(r["unit_idx"], r["parent"]) for r in spatial.parent_by_cells(units, parents, 0.25).collect()} == {(0, "right"), (1, None)}
 
 
 def test_every_filter_combination(spark, data):
@@ -179,10 +218,15 @@ def test_stream_counts_each_detection_once(spark, tmp_path):
     schema = "s int, t timestamp, lat double, lon double, unit int, x int, night boolean"
     rows = [(0, t, 1.0, 1.0, 7, 0, False), (0, t, 1.0, 1.0, 7, 0, False), (0, t, 1.0, 2.0, 7, 1, True)]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = ingest.period_counts(ingest.detections_stream(spark, str(tmp_path / "in"), schema))
-    ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    r = spark.read.parquet(str(tmp_path / "out")).first()
+    folder = lambda n: str(tmp_path / n)
+    run = lambda: ingest.start(ingest.detections_stream(spark, folder("in"), schema), folder("rows"), folder("out"), folder("cp")).awaitTermination(120)
+    run()
+    r = spark.read.parquet(folder("out")).first()
     assert (r["p"], r["d"], r["ex_static"]) == (2, 1, 1)
+    later = [(0, t, 1.0, 3.0, 7, 0, False), (0, t + dt.timedelta(days=8), 1.0, 1.0, 7, 0, True)]
+    spark.createDataFrame(later, schema).write.mode("append").parquet(folder("in"))
+    run()
+    assert {(r["p"], r["d"], r["dn"]) for r in spark.read.parquet(folder("out")).collect()} == {(2, 2, 0), (3, 1, 1)}
     old = spark.createDataFrame(rows[:1], schema)
     new = spark.createDataFrame([(0, t, 9.0, 9.0, 7, 0, False)], schema)
     assert [r["lat"] for r in ingest.replace_provisional(old, new).collect()] == [9.0]
@@ -197,3 +241,125 @@ def test_raster_counts_takes_every_line_item(spark, tmp_path):
     assert len({sat for sat, _ in got}) == 3
     # 100 of quantity 1, then 50 of 4 and 50 of 5, then 50 of 5 that fill their mask twice
     assert (sum(clear for clear, _ in got.values()), sum(cloud for _, cloud in got.values())) == (150, 50)
+
+
+def test_passes_on_a_stream(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1, 23) + dt.timedelta(minutes=m)
+    schema = "id int, s string, start timestamp, end timestamp, night boolean, units array<int>"
+    first, second = [(1, "A", t(50), t(55), True, [3]), (2, "A", t(300), t(305), True, [4])], [(3, "A", t(62), t(67), True, [5])]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.start_passes(ingest.granules_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "rows"), str(tmp_path / "out"), str(tmp_path / "cp"), 10).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("t").collect()
+    # the granule after midnight came later and belongs to the pass of the day before
+    assert [(r["n_granules"], r["units"], r["day"].day) for r in got] == [(2, [3, 5], 1), (1, [4], 2)]
+
+
+def test_long_chains_settle(spark):
+    rng = np.random.default_rng(5)
+    place = rng.permutation(1000).tolist()
+    edges = spark.createDataFrame([(place[k], place[k + 1]) for k in range(999)] + [(5000, 5001)], "a long, b long")
+    assert {r["root"] for r in graph.components(edges).collect()} == {0, 5000}
+    t = dt.datetime(2024, 1, 1)
+    points = [(k, "N", t, 24.0 + 0.001 * k, 90.0, 1.0) for k in range(200)] + [(200 + k, "N", t, 24.0, 90.0, 9.0) for k in range(50)] + [(300, "N", t, None, 90.0, 1.0)]
+    got = dedupe.proximity(spark.createDataFrame(points, "id long, s string, t timestamp, lat double, lon double, frp double")).collect()
+    assert {(r["id"], r["group_root"], r["group_size"]) for r in got} == {(200, 0, 250), (300, 300, 1)}
+
+
+def test_running_sums_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 7 == 0 else int(k % 3), int(rng.integers(0, 500)), k, int(rng.integers(0, 9))) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, at int, id int, v int").repartition(7)
+    got = {r["id"]: (r["n"], r["total"]) for r in ordering.running(ordering.numbered(df, ["g"], F.floor(F.col("at") / 50), ["at", "id"], "n"), ["g"], F.floor(F.col("at") / 50), ["at", "id"], F.col("v"), "total").collect()}
+    for g in (None, 0, 1, 2):
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            total += r[3]
+            assert got[r[2]] == (n, total)
+
+
+def test_sessions_over_midnight_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(300):
+        begin = start + dt.timedelta(minutes=int(rng.integers(0, 6000)))
+        rows.append((k, "AB"[k % 2], begin, begin + dt.timedelta(minutes=int(rng.integers(0, 90))), bool(k % 3), [k % 5]))
+    got = passes.sessions(spark.createDataFrame(rows, "id int, s string, start timestamp, end timestamp, night boolean, units array<int>"), 20).collect()
+    for s in "AB":
+        sizes, before = [], None
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[3], r[0])):
+            if before is None or (r[2] - before).total_seconds() > 20 * 60:
+                sizes.append(0)
+            sizes[-1] += 1
+            before = r[3]
+        assert [r["n_granules"] for r in sorted((r for r in got if r["s"] == s), key=lambda r: r["pass"])] == sizes
+
+
+def test_kappa_interval_of_whole_blocks(spark):
+    """Two blocks, one all alike and one all apart: a draw is one, the other, or both."""
+    rows = [(1, a, a) for a in (0, 1) for _ in range(20)] + [(2, a, 1 - a) for a in (0, 1) for _ in range(20)]
+    r = validation.kappa_interval(spark.createDataFrame(rows, "year int, a int, b int"), "a", "b", "year", draws=200).first()
+    assert (r["lo"], r["hi"], r["draws"]) == (-1.0, 1.0, 200)
+    assert validation.kappa_interval(spark.createDataFrame(rows[:40], "year int, a int, b int"), "a", "b", "year").first()["lo"] is None
+
+
+def test_low_verdicts_need_a_meaningful_baseline(spark):
+    cells = spark.createDataFrame([(1, 2000, 1, -3.0, 0.1), (2, 2000, 1, -3.0, 0.1)], "unit int, year int, p int, mu double, sigma double")
+    base = spark.createDataFrame([(1, 2000, 1, 0.4, 1.0, 2.0, 3.0, 30), (2, 2000, 1, 0.6, 1.0, 2.0, 3.0, 30)], "unit int, year int, p int, q10 double, q50 double, q90 double, top double, n int")
+    assert {r["unit"]: r["code"] for r in evaluation.judge(cells, base).collect()} == {1: C.TYPICAL, 2: C.LOW}
+
+
+def test_pages_feeds_and_regions(spark, tmp_path):
+    for name, text in {"a": "latitude,longitude,acq_date\n24,90,2024-01-01\n", "b": "acq_date, Longitude,latitude\r\n2024-01-02,91,25\r\n\r\n2024-01-03,92\r\n", "c": "Invalid key.", "d": ""}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = sorted((r["latitude"], r["longitude"], r["acq_date"], r["satellite"]) for r in feeds.read_pages(spark, str(tmp_path)).where("latitude is not null").collect())
+    assert got == [("24", "90", "2024-01-01", None), ("25", "91", "2024-01-02", None)]
+    rows, warnings = feeds.union_of(spark, {"one": str(tmp_path / "a.csv"), "two": str(tmp_path / "none.csv"), "three": str(tmp_path / "c.csv")})
+    assert [r["feed"] for r in rows.collect()] == ["one"] and [w.split()[0] for w in warnings] == ["two", "three"]
+    with pytest.raises(ValueError):
+        feeds.union_of(spark, {"three": str(tmp_path / "c.csv")})
+    config = json.dumps({"x": {"name": "X", "tz": "Asia/Dhaka", "bbox": [88, 20, 93, 27]}, "y": {"name": "Y", "tz": "UTC", "bbox": [9, 0, 1, 2]}})
+    region = feeds.Region.parse(config, "x")
+    assert region.inside(spark.createDataFrame([(90.0, 24.0), (80.0, 24.0)], "lon double, lat double")).count() == 1
+    for bad in ("y", "z"):
+        with pytest.raises(ValueError):
+            feeds.Region.parse(config, bad)
+    assert feeds.check_upload(spark, str(tmp_path / "c.csv")) == 12
+    with pytest.raises(ValueError):
+        feeds.check_upload(spark, str(tmp_path / "a.csv"), 10)
+
+
+def test_orbits(spark):
+    lines = ["AQUA", "1 27424U 02022A   24001.50000000  .00001000  00000-0  20000-3 0  9990", "2 27424  98.2000 100.0000 0001500  80.0000 280.0000 14.57100000100000"]
+    r = feeds.orbits(spark.createDataFrame([("f", k, v) for k, v in enumerate([*lines, "BROKEN", "x", "y"])], "file string, place int, value string")).collect()
+    assert [(x["name"], x["number"], x["inclination"], x["eccentricity"], x["mean_motion"]) for x in r] == [("AQUA", 27424, 98.2, 0.00015, 14.571)]
+    assert r[0]["epoch"] == dt.datetime(2024, 1, 1, 12)
+
+
+def test_workspaces(spark, tmp_path):
+    root, file = str(tmp_path / "saved"), tmp_path / "up.csv"
+    file.write_text("latitude,longitude,acq_date,satellite\n21,88.2,2024-01-01,N\n24,91,2024-01-01,N\n")
+    units = spatial.units_from_geojson(spark, layer_queries.SQUARE)
+    saved = workspace.import_file(spark, root, str(file), boundaries=units)
+    assert {r["district"] for r in workspace.load(spark, root, saved).collect()} == {"ring", "wide"}
+    other = workspace.save(root, workspace.load(spark, root, saved))
+    assert other != saved
+    for bad in ("../x", "default", saved.upper()):
+        with pytest.raises(ValueError):
+            workspace.load(spark, root, bad)
+    with pytest.raises(ValueError):
+        workspace.import_file(spark, root, str(tmp_path / "up.txt")) if (tmp_path / "up.txt").write_text("x") else None
+    fresh, warnings = workspace.refresh(spark, root, {"a": str(file), "b": str(tmp_path / "none")})
+    assert workspace.load(spark, root, fresh).count() == 2 and len(warnings) == 1
+
+
+def test_shapes(spark):
+    with pytest.raises(ValueError):
+        publish.check_shape(spark.createDataFrame([(2001,)], "year int"), "daily")
+    stages = spark.createDataFrame([("a", True, "t"), ("b", False, "t")], "stage string, ok boolean, at string")
+    r = publish.health(stages).first()
+    assert not r["ok"] and r["stages"]["b"]["ok"] is False
+    seen = spark.createDataFrame([(dt.date(2024, 2, 29), 3, 50)], "date date, unit int, seen int")
+    r = publish.daily(seen, spark.createDataFrame([(2,), (3,)], "unit int")).first()
+    assert (r["year"], r["days"], r["units"]) == (2024, 366, [2, 3]) and r["seen"][1][59] == 50 and sum(map(sum, r["seen"])) == 50 - 731
