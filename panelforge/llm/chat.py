@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import numbered, running_sums
-from .common import table
+from .common import stored, table
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
 CODES = [("\\", "\\b"), ("### ", "\\h"), ("</turn>", "\\e")]
@@ -66,9 +66,11 @@ def format_windows(turns: DataFrame, budget: int = 2048, system: int = 512, hist
     size = F.length("head") + F.length("body") + len(END)
     t = t.withColumn("tokens", F.coalesce("tokens", F.ceil(size / 4))).withColumn("counted", F.when(F.col("system"), 0).otherwise(F.col("tokens")))
     long = F.col("counted") > half
-    t = running_sums(t.withColumn("long", long), ["conv_id"], chunk, ["place"], {"upto": F.col("counted"), "short": F.when(~long, F.col("counted")), "longs": long.cast("long")})
+    # Stored, as the sums and then windows, their turns and repeats all start from these rows.
+    t = running_sums(stored(t.withColumn("long", long)), ["conv_id"], chunk, ["place"], {"upto": F.col("counted"), "short": F.when(~long, F.col("counted")), "longs": long.cast("long")})
     t = t.withColumn("begin", F.col("upto") - F.col("counted"))
     t = t.withColumn("step", F.when(F.col("long"), -1).otherwise(F.floor((F.col("short") - F.col("counted")) / half))).drop("turn", "upto", "short")
+    t = stored(t)
 
     windows = t.groupBy("conv_id", "longs", "step").agg(F.min("place").alias("window"), F.min("begin").alias("start"), F.count(F.lit(1)).cast("int").alias("n_new"), F.max("counted").alias("most"))
     windows = windows.select(*[F.col(c).alias(f"w_{c}") for c in windows.columns])

@@ -50,7 +50,8 @@ def _trigrams(texts: list[str | None], bins: int) -> Iterator[tuple[int, int, np
         held += len(part[-1]) + 2
         if held > _BLOCK_BYTES or k == len(texts) - 1:
             size = np.fromiter(map(len, part), np.int64, len(part)) + 2
-            b = _FOLD[np.frombuffer(b"  ".join(part) + b"  ", np.uint8)].astype(np.uint32)
+            # two spaces stand before each text, so no trigram holds letters of two texts
+            b = _FOLD[np.frombuffer(b"  " + b"  ".join(part) + b"  ", np.uint8)].astype(np.uint32)
             code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
             row = np.repeat(np.arange(len(part), dtype=np.int32), size)[: len(code)]
             solid = (b[:-2] != 32) | (b[1:-1] != 32)

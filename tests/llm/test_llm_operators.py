@@ -85,6 +85,35 @@ def test_cache_grows_by_misses_only(spark, tmp_path):
     assert other.count() == 3 and spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
 
 
+def test_the_query_hits_a_lasting_cache(spark, data, tmp_path, monkeypatch):
+    spark.conf.set("panelforge.token_cache", str(tmp_path / "lasting"))
+    try:
+        first = sorted(map(tuple, token_counts.query(spark, data).collect()))
+        rows = spark.read.parquet(str(tmp_path / "lasting")).count()
+        monkeypatch.setattr(token_counts, "counter", lambda path: lambda text: F.raise_error(F.lit("encoded again")).cast("long"))
+        assert sorted(map(tuple, token_counts.query(spark, data).collect())) == first
+        assert spark.read.parquet(str(tmp_path / "lasting")).count() == rows
+    finally:
+        spark.conf.unset("panelforge.token_cache")
+
+
+def test_the_kind_of_a_tokenizer_is_in_its_file(spark, tmp_path):
+    import shutil
+
+    folder = os.path.dirname(bpe.default_path())
+    (tmp_path / "word_bpe").mkdir()
+    renamed, other = str(tmp_path / "renamed.json"), str(tmp_path / "word_bpe" / "bytes.json")
+    shutil.copy(bpe.default_path(), renamed)
+    shutil.copy(os.path.join(folder, "byte_bpe_50k.json"), other)
+    assert bpe.is_word_bpe(renamed) and not bpe.is_word_bpe(other) and not bpe.is_word_bpe(os.path.join(folder, "piece_bpe_32k.model"))
+    from tokenizers import Tokenizer
+
+    text = "Two  words\nand\t more"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for path in (renamed, other):
+        assert token_counts.count_tokens(df, str(tmp_path / "c"), path=path).first()["n_tokens"] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
 # 2: quality
 
 
@@ -114,11 +143,14 @@ def test_quality_verdicts_on_held_out_labels(spark):
 
 
 def test_lines_near_the_threshold_are_counted_exactly(spark):
-    rows = [(k, f"shared by few sites\nown text {k}", f"s{k % 9}") for k in range(40)] + [(100 + k, f"shared by more sites\nbody number {k}", f"s{k % 10}") for k in range(40)]
+    rows = [(k, f"shared by few sites\nown text {k}\nHome", f"s{k % 4}") for k in range(40)] + [(100 + k, f"shared by more sites\nbody number {k}\nLog in", f"s{k % 5}") for k in range(40)]
+    rows += [(None, "Log in\nnameless", "s0"), (None, "only\nnameless", "s1")]
     got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()}
-    assert out[3] == ("shared by few sites\nown text 3", 0)
-    assert out[100] == ("shared by more sites\nbody number 0", 0) and out[101] == ("body number 1", 1)
+    out = {(r["doc_id"], r["source"]): (r["text"], r["n_removed"]) for r in got.collect()}
+    assert out[3, "s3"] == ("shared by few sites\nown text 3\nHome", 0)
+    # one-word lines count as well, and a null id is after all others
+    assert out[100, "s0"] == ("shared by more sites\nbody number 0\nLog in", 0) and out[101, "s1"] == ("body number 1", 2)
+    assert out[None, "s0"] == ("nameless", 1) and out[None, "s1"] == ("only\nnameless", 0)
 
 
 # 4: mixing
@@ -163,7 +195,8 @@ def test_heavy_hitters_are_found_and_light_ones_stay_right(spark):
 
 def test_scores(spark, data):
     got = {r["doc_id"]: r for r in context_mixing.query(spark, data).collect()}
-    docs = {k: [*context_mixing.tokens(t), None] for k, t in texts_of(spark, data).items()}
+    lower = bytes(range(256)).lower()
+    docs = {k: [*(t or "").encode().translate(lower).split(), None] for k, t in texts_of(spark, data).items()}
     train = Counter(w for k, ws in docs.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
     n, v = sum(train.values()), len(train)
     for key, words in docs.items():
@@ -172,90 +205,83 @@ def test_scores(spark, data):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in train for w in words), n)
         assert abs(r["base_score"] - sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words)) < 1e-6 * len(words)
         assert r["score"] < 0
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def lm_codes(bits=3, leaves=(4, 1, 0, 2)):
+    return context_mixing.Codes(["a", "b", "c", "d"], [50, 20, 5, 1], 10, 7, bits, np.array(leaves))
 
 
 def test_word_codes_are_a_complete_prefix_code():
-    codes = context_mixing.Codes([b"a", b"b", b"c", b"d"], [50, 20, 5, 1], 10, 7)
-    assert sum(2.0 ** -int(n) for n in codes.length) == 1
-    node, bit, depth, token = codes.expand(np.array([0, 4, 5, 3]))
-    assert len(node) == codes.length[[0, 4, 5, 3]].sum() and set(bit.tolist()) == {0, 1}
-    p = 1.0
-    for k in np.flatnonzero(token == 0):
-        up = 1 / (1 + math.exp(-codes.odds[node[k]]))
-        p *= up if bit[k] else 1 - up
+    codes = lm_codes()
+    places = np.arange(5 + 8)
+    which, code, length = codes.of(places)
+    assert sum(2.0 ** -int(n) for n in length) == 1 and (which == codes.escape).sum() == 8
+    assert (np.diff(code.astype(object)) > 0).all()  # places follow the codes' order
+    p, at = 1.0, codes.place["a"]
+    for depth in range(int(length[at])):
+        p /= 1 + math.exp(-codes.favour(codes.start[which[[at]]], code[[at]], depth)[0])
     assert abs(p - 50.5 / 96) < 1e-6
 
 
+def test_node_counts_equal_brute_force():
+    rng, codes = np.random.default_rng(2), lm_codes()
+    events = sorted({(int(rng.integers(0, 4)) << 16 | int(rng.integers(0, 3)), int(rng.integers(0, 13))) for _ in range(100)})
+    context, place = np.array([c for c, _ in events], np.uint64), np.array([p for _, p in events])
+    n = rng.integers(0, 5, len(events))
+    bits = ["".join(str(int(c) >> (63 - k) & 1) for k in range(int(size))) for c, size in zip(*codes.of(place)[1:], strict=True)]
+    seen = 0
+    for depth, at, one, one_next, two, two_next, _ in context_mixing.Events(codes, context, place, n).depths():
+        for k, e in enumerate(at):
+            def total(size, shift, e=e):
+                return sum(int(n[j]) for j in range(len(events)) if context[j] >> np.uint64(shift) == context[e] >> np.uint64(shift) and bits[j][:size] == bits[e][:size])
+            assert (one[k], one_next[k], two[k], two_next[k]) == (total(depth, 16), total(depth + 1, 16), total(depth, 0), total(depth + 1, 0))
+            seen += 1
+    assert seen == sum(map(len, bits))
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    codes = lm_codes()
+    context, place = np.repeat(np.array([5 << 16, 5 << 16 | 1], np.uint64), 13), np.tile(np.arange(13), 2)
+    n = np.array([9, 0, 3, 0, 0, 1, 0, 0, 2, 0, 0, 0, 4] + [0] * 13)
+    p = np.exp(context_mixing.range_scores(codes, context, place, n) / context_mixing._UNIT)
+    assert np.abs(p.reshape(2, 13).sum(axis=1) - 1).max() < 1e-4
+
+
+def test_scores_do_not_depend_on_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    one, other = ({r["doc_id"]: (r["score"], r["base_score"]) for r in context_mixing.score(docs.repartition(n), words=500, per_range=9000, cap=500).collect()} for n in (1, 7))
+    assert one == other
+
+
 def test_mixing_beats_its_codes_on_regular_text(spark):
-    rows = [(k, "one two three four five six seven eight nine ten " * 8 + f"x{k % 5}") for k in range(200)]
-    r = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), words=64, slots=1 << 12).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r["s"] > 0.25 * r["b"]
-
-
-def test_all_training_texts_and_whole_counts_are_learned_from():
-    keys = [k for k in range(70) if zlib.crc32(str(k).encode()) % 7 not in (2, 3)]
-    words = [w for w in (b"word%d" % k for k in range(50)) if zlib.crc32(w) % 7 != 3]
-    codes = context_mixing.Codes([b"a", b"b"], [50, 20], 10, 7)
-    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(keys), "text": pa.array(["a b c"] * len(keys))})
-    packed = list(context_mixing._pack(codes)(iter([texts])))
-    sent = pa.Table.from_batches(list(context_mixing._sent(1)(iter(packed))))
-    fitted = context_mixing._fit_weights(codes)(pa.Table.from_batches(packed), context_mixing._summed(codes)(sent))
-    assert sum(fitted["seen"].to_pylist()) == len(keys) * codes.length[[0, 1, 2, 3]].sum()
-    rare = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array([100] * len(words))})
-    counts = next(context_mixing._count_letters(64)(iter([rare])))
-    letters = sum(8 * (len(w) + 1) for w in words)
-    assert sum(counts["zeros"].to_pylist()) + sum(counts["ones"].to_pylist()) == 3 * 100 * letters
-    spelled = next(context_mixing._fit_spelling(np.full((3, 64, 2), 1000, np.float32))(iter([rare])))
-    assert sum(spelled["seen"].to_pylist()) == letters
-
-
-def test_context_counts_are_exact_for_any_number_of_ranges(spark):
-    rows = [(k, " ".join(f"w{k * j * j % 97}" for j in range(60))) for k in range(150)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    one, many = ({r["doc_id"]: r["score"] for r in context_mixing.score(docs, words=64, slots=n).collect()} for n in (1 << 20, 1 << 8))
-    assert max(abs(one[k] - many[k]) for k in one) < 1e-3
-    codes = context_mixing.Codes([b"a", b"b"], [50, 20], 10, 7)
-    words = [[("a", "b", f"r{(k + j) % 30}")[j % 3] for j in range(40)] for k in range(40)]
-    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40)), "text": pa.array(list(map(" ".join, words)))})
-    packed = [b for k in (0, 20) for b in context_mixing._pack(codes)(iter([texts.slice(k, 20)]))]
-    sent = pa.Table.from_batches(list(context_mixing._sent(1)(iter(packed))))
-    pairs = Counter((a, b) for k, ws in enumerate(words) if zlib.crc32(str(k).encode()) % 7 != 2 for a, b in zip(ws, [*ws[1:], ""], strict=True))
-    found = context_mixing._summed(codes)(sent)
-    for block in packed:
-        mine = found.filter(pa.compute.equal(found["block"], block.column("block")[0]))
-        b = context_mixing.Block(codes, pa.Table.from_batches([block]), mine)
-        flat = [w for size, ws in zip(b.size, words[:20] if block is packed[0] else words[20:], strict=True) for w in [*ws, None]]
-        for at in range(1, len(flat)):
-            if flat[at] is None or flat[at - 1] is None:
-                continue
-            pair, here = b.of[0][at], b.start[b.of[0][at]]
-            first = codes.bit[codes.start[b.symbols[at]]]
-            after = [(w, n) for (a, w), n in pairs.items() if a == flat[at - 1]]
-            same = sum(n for w, n in after if codes.bit[codes.start[codes.symbol.get(w.encode(), codes.escape)]] == first)
-            assert b.same[here] == same
-            if flat[at].startswith("r"):
-                rare = [n for w, n in after if w.startswith("r")]
-                assert b.rare[:, pair].tolist() == [pairs[flat[at - 1], flat[at]], sum(rare), len(rare)]
-
-
-def test_rare_words_are_contexts_and_have_contexts(spark):
-    """Words without symbol that always follow each other: nearly certain but for the first."""
-    rows = [(k, " ".join(f"q{(k % 50) * 7 + j}" for j in range(7))) for k in range(1000)]
-    r = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), words=4).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r["s"] > 0.4 * r["b"]
+    """Frequent words, then words without a code that always follow each other."""
+    for words, texts in ((64, ["one two three four five six seven eight nine ten " * 8 + f"x{k % 5}" for k in range(200)]), (4, [" ".join(f"q{(k % 50) * 7 + j}" for j in range(7)) for k in range(1000)])):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        r = context_mixing.score(df, words=words).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+        assert r["s"] > 0.4 * r["b"]
 
 
 # 8: chat
 
 
-def test_windows_repeat_history_without_loss(spark):
-    turns = [(1, 0, "system", "be brief")] + [(1, k, "user" if k % 2 else "assistant", f"{k} " * 60) for k in range(1, 30)]
-    w = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), stride=200, history=80)
-    rows = w.orderBy("window").collect()
-    assert len(rows) > 3 and all(r["formatted"].startswith("### system: be brief</turn>\n") for r in rows)
-    assert all(r["n_context"] >= 2 for r in rows[1:]) and sum(r["n_new"] for r in rows) == len(turns)
-    loss = [r["formatted"][x["from"] : x["to"]] for r in rows for x in r["loss"]]
-    assert loss == [t for _, _, role, t in turns if role == "assistant"]
+def test_windows_keep_their_budget_without_loss(spark):
+    rng = np.random.default_rng(1)
+    turns = [(c, k, "system" if k == 0 else "user" if k % 2 else "assistant", "be brief" if k == 0 else f"{k} " * int(rng.integers(1, 300))) for c in (1, 2) for k in range(60)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    w = chat.format_windows(df, budget=700, system=100, history=150).persist()
+    for c in (1, 2):
+        rows = w.where(f"conv_id = {c}").orderBy("window").collect()
+        assert len(rows) > 3 and all(r["formatted"].startswith("### system: be brief</turn>\n") for r in rows)
+        assert all(r["tokens"] <= 700 for r in rows) and sum(r["n_new"] for r in rows) == 60 and any(r["n_context"] >= 2 for r in rows)
+        loss = [r["formatted"][x["from"] : x["to"]] for r in rows for x in r["loss"]]
+        assert loss == [t for d, _, role, t in turns if role == "assistant" and d == c]
+    # a turn over the budget is alone, without history; given tokens count instead of characters
+    big = df.where("conv_id = 1").withColumn("n", F.when(F.col("turn") == 7, 5000).otherwise(20))
+    rows = {r["window"]: r for r in chat.format_windows(big, 700, 100, 150, tokens="n").collect()}
+    assert (rows[8]["tokens"], rows[8]["n_new"], rows[8]["n_context"]) == (5020, 1, 1)
+    assert all(r["tokens"] <= 700 for k, r in rows.items() if k != 8)
 
 
 def test_escapes_are_reversible(spark):
@@ -317,7 +343,7 @@ def test_near_copies_equal_brute_force(spark):
     texts |= {key: "", key + 1: None, key + 2: "a b c", key + 3: "a  b\tc"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     expected = brute_classes(texts)
-    for block in (256, 8):  # 8: groups are cut into blocks
+    for block in (512, 8):  # 8: groups are cut into blocks, and sure links are counted
         got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(df, block=block).collect()}
         assert got == expected
 
@@ -347,12 +373,44 @@ def test_unlike_hubs_do_not_part_like_texts(spark):
         sig = rng.integers(0, 256, 128, np.uint8)
         for copy in range(2 if k % 3 else 1):
             bands = [k % 2, *rng.integers(10, 1 << 60, 31).tolist()]
-            rows.append((bytearray([copy, k]), bands, bytearray(sig.tobytes())))
-    nodes = spark.createDataFrame(rows, "node binary, bands array<bigint>, sig binary")
-    planted = {(bytes([0, k]), bytes([1, k])) for k in range(60) if k % 3}
-    for block, rounds in ((256, 8), (8, 3), (8, 0)):
+            rows.append((copy * 100 + k, bands, bytearray(sig.tobytes())))
+    nodes = spark.createDataFrame(rows, "node long, bands array<bigint>, sig binary")
+    planted = {(k, 100 + k) for k in range(60) if k % 3}
+    for block, rounds in ((256, 8), (8, 0)):
         edges = ngram_join.candidate_edges(nodes, 0.8, 1e-6, block, rounds)
-        assert {tuple(sorted((bytes(r["a"]), bytes(r["b"])))) for r in edges.collect()} == planted
+        assert {tuple(sorted((r["a"], r["b"]))) for r in edges.collect()} == planted
+
+
+def test_ties_equal_pairs():
+    """Row by row against what isn't tied yet gives the same components as all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (6, 128), np.uint8)
+    sig = np.array([np.where(rng.random(128) < 0.9, base[k % 6], rng.integers(0, 256, 128)) for k in range(90)], np.uint8)
+    checks, own = ngram_join.least_matches(0.8, 1e-6), np.arange(90)
+    for rows, columns in ((own, own), (own[:40], own[40:])):
+        def parts(pairs):
+            of = list(range(90))
+            for a, b in zip(*map(list, pairs), strict=True):
+                x, y = of[a], of[b]
+                of = [min(x, y) if o in (x, y) else o for o in of]
+            return of
+        assert parts(ngram_join._ties(sig, rows, columns, checks)) == parts(ngram_join._pairs(sig, rows, columns, checks))
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs at similarities from 0.80 to 0.85 among unlike texts: at least 0.99 are found."""
+    rng, rows, expected = np.random.default_rng(9), [], 0
+    for k in range(300):
+        words = [f"w{k}x{j}" for j in range(400)]
+        other = list(words)
+        for place in rng.choice(np.arange(10, 390, 12), rng.integers(6, 9), replace=False):
+            other[place] = f"y{k}x{place}"
+        a, b = ({tuple(t[j : j + 5]) for j in range(396)} for t in (words, other))
+        assert 0.79 < len(a & b) / len(a | b) < 0.9
+        expected += len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count() / 2
+    assert 0.99 * expected <= found <= expected
 
 
 def test_near_copies_with_null_and_repeated_ids(spark):
@@ -380,10 +438,47 @@ def test_held_out_texts_are_identified(spark):
     assert r["right"] > 0.98
 
 
-def test_evidence_besides_the_text(spark):
-    rows = [("aaa bbb", "x"), ("ccc ddd", "y")] * 30
-    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
-    asked = [(1, "", "x", None), (2, "", None, None), (3, "", None, "one.example.org"), *[(10 + k, "ccc ddd", None, "one.example.org") for k in range(9)]]
-    got = {r["id"]: r for r in language_id.identify(spark.createDataFrame(asked, "id int, text string, said string, host string"), model, host="host", declared="said").collect()}
-    assert got[1]["lang_id"] == "x" and got[2]["lang_id"] is None and not got[2]["lang_kept"]
-    assert got[10]["lang_id"] == "y"
+def test_posteriors_equal_brute_force(spark):
+    """Text, declared language and host, domain and suffix priors, by plain Python."""
+    rows = [("aaa bbb", "x"), ("ccc ddd", "y"), ("eee", "z")] * 20 + [("rare fff", "w")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), bins=1 << 10)
+    assert model.languages == ["w", "x", "y", "z"]  # one row is enough
+    asked = [(1, "", "x-XX", None), (2, "", None, None), (3, "a", None, "one.example.org"), (4, None, None, "two.other.net"), (5, "zq jk qq", None, "b.example.org"), (6, "aaa", "?", "host")]
+    asked += [(10 + k, "ccc ddd", None, f"h{k % 2}.example.org") for k in range(9)] + [(30, "bbb ccc", "y", "H0.example.org"), (31, "rare fff", None, "c.org")]
+    df = spark.createDataFrame(asked, "id int, text string, said string, host string").withColumn("lang_id", F.lit("clash"))
+    got = {r["id"]: r for r in language_id.identify(df, model, host="host", declared="said").collect()}
+    n, unknown, strength = 4, 1e-3, 5.0
+    shares = [p * (1 - unknown) for p in model.shares] + [unknown]
+
+    def logs(text):
+        out = np.zeros(n + 1)
+        for _, _, bins, _ in language_id._trigrams([text], 1 << 10):
+            out[:n] += model.table[bins].sum(axis=0, dtype=float)
+            out[n] -= len(bins) * np.log(1 << 10)
+        return out / 3
+
+    def share(values):
+        e = np.exp(np.array(values) - max(values))
+        return e / e.sum()
+
+    own = {k: share(logs(t) + np.log(shares)) for k, t, _, _ in asked}
+    ends = lambda host: [host, ".".join(host.split(".")[-2:]) if "." in host else "", host.split(".")[-1] if "." in host else ""]
+    for key, text, said, host in asked:
+        prior = np.array(shares)
+        if host:
+            for level in (2, 1, 0):
+                members = [k for k, _, _, h in asked if h and k != key and ends(h.lower())[level] == ends(host.lower())[level]]
+                counts = sum((own[k] for k in members), np.zeros(n + 1))
+                prior = (counts + strength * prior) / (counts.sum() + strength)
+        total = logs(text) + np.log(prior)
+        named = (said or "").split("-")[0] in model.languages
+        if named:
+            total += [np.log(0.9) if x == said.split("-")[0] else np.log(0.1 / n) for x in [*model.languages, ""]]
+        r, p = got[key], share(total)
+        if not np.abs(logs(text)).sum() and not named:
+            assert r["_lang_id"] is None and r["lang_p"] is None and not r["lang_kept"]
+            continue
+        assert abs(r["lang_p"] - p[:n].max()) < 1e-5 and r["lang_kept"] == (p[:n].max() > 0.5)
+        assert r["_lang_id"] == (model.languages[int(p[:n].argmax())] if p[:n].max() >= p[n] else None)
+    assert got[5]["_lang_id"] is None and got[31]["_lang_id"] == "w" and got[30]["_lang_id"] == "y"
+    assert len(language_id.fit(spark.createDataFrame(rows, "text string, lang string"), most_bytes=40_000).table) == 2048

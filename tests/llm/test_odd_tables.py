@@ -11,7 +11,7 @@ CASES = {
     "quality": (lambda d, tmp: quality.rate(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))), 1),
     "lines": (lambda d, tmp: line_dedup.deduplicate(d), 1),
     "exact": (lambda d, tmp: exact_dedup.deduplicate(d), 1),
-    "scores": (lambda d, tmp: context_mixing.score(d, words=16, slots=1 << 10), 1),
+    "scores": (lambda d, tmp: context_mixing.score(d, words=16, per_range=9000, cap=500), 1),
     "counts": (lambda d, tmp: token_counts.count_tokens(d, f"{tmp}/cache"), 1),
     "near": (lambda d, tmp: ngram_join.join(d), 1),
     "language": (lambda d, tmp: language_id.identify(d, language_id.fit(d), host="source"), 1),
