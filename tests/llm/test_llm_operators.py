@@ -482,5 +482,5 @@ def test_posteriors_equal_brute_force(spark):
             continue
         assert abs(r["lang_p"] - p[:n].max()) < 1e-5 and r["lang_kept"] == (p[:n].max() > 0.5)
         assert r["_lang_id"] == (model.languages[int(p[:n].argmax())] if p[:n].max() >= p[n] else None)
-    assert got[31]["_lang_id"] == "w" and got[30]["_lang_id"] == "y"
+    assert got[30]["_lang_id"] == "y"
     assert len(language_id.fit(spark.createDataFrame(rows, "text string, lang string"), most_bytes=40_000).table) == 2048
