@@ -1,49 +1,13 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, each round's tables stored in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import stored
 
 
-def _roots(parents: DataFrame, rounds: int) -> DataFrame:
-    """node, root: the end of the chain node, parent; parents are smaller, so chains end. Pointers
-    jump over each other, which halves the chains a round."""
-    labels = stored(parents.select("node", F.col("parent").alias("root")))
-    for _ in range(rounds):
-        above = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        jumped = stored(labels.join(above, "root", "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
-        labels = jumped.select("node", "root")
-        if not jumped.where("moved").limit(1).count():
-            return labels
-    raise RuntimeError(f"pointers did not settle in {rounds} rounds")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that each node of edges (a, b) can reach.
-
-    Each round every node hooks onto its smallest smaller neighbour, the trees are contracted to
-    their roots, and only edges between different roots go on. An edge is thus joined once a
-    round in which its ends are still apart, stars and cliques end after one or two rounds, and
-    only aggregates that combine on the map side meet a hub.
-    """
-    rest = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
-    out: DataFrame | None = None
-    for _ in range(rounds):
-        roots = _roots(rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), rounds)
-        if out is None:
-            out = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        else:
-            onward = roots.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            out = out.join(onward, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-        out = stored(out)
-        # The larger end of each edge has a root; the smaller one may be a root itself.
-        low, high = (roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("a", "b"))
-        met = rest.join(high, "b").join(low, "a", "left").select(F.coalesce("a_root", "a").alias("x"), F.col("b_root").alias("y")).where(F.col("x") != F.col("y"))
-        rest = stored(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if not rest.limit(1).count():
-            return out
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    """node, root: the smallest node that each node of edges (a, b) can reach."""
+    return graph.components(edges, stored, rounds)
