@@ -3,6 +3,14 @@
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's
 result as Parquet in the cluster's shared folder and hands the reread table to the next. All
 stages but the last return the columns of documents.
+
+Defined results, by stage: language_id rejects null, blank and letterless texts (no evidence) and
+text in no language; line_dedup keeps a line of many sources in the smallest id, a null id is the
+largest, and documents that only had such lines go; near_duplicates keeps one row of the smallest id
+of each class, and of rows without an id one for each text; mixing gives rows with one id the same
+number of copies, a null source is a source; bpe_encoding gives blank texts no ids. Ties go to the
+smallest id, or language first in order. Very long texts are whole in every stage, an empty table
+stays empty, and other columns are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
