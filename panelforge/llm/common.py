@@ -15,6 +15,7 @@ from ..session import ship
 
 #: The white space of the text contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
+_MADE: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -46,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         root = "file://" + os.path.join(tempfile.gettempdir(), "panelforge-checkpoints")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -57,6 +60,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> int:
+    """Deletes the folders that this application's operators have made, and returns how many. For
+    when their results are written: a result that is still read needs its tables."""
+    hadoop, made = spark.sparkContext._jsc.hadoopConfiguration(), _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return len(made)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have yet."""
     name, taken = base, {c.lower() for c in df.columns}

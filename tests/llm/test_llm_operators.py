@@ -484,3 +484,14 @@ def test_posteriors_equal_brute_force(spark):
         assert r["_lang_id"] == (model.languages[int(p[:n].argmax())] if p[:n].max() >= p[n] else None)
     assert got[30]["_lang_id"] == "y"
     assert len(language_id.fit(spark.createDataFrame(rows, "text string, lang string"), most_bytes=40_000).table) == 2048
+
+
+def test_stored_tables_can_be_removed(spark):
+    from panelforge.llm import common
+
+    made = dict(common._MADE)
+    common._MADE.clear()
+    kept = common.stored(spark.range(3))
+    path = common._MADE[spark.sparkContext.applicationId][0]
+    assert kept.count() == 3 and common.remove_stored(spark) == 1 and not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+    common._MADE.update(made)
