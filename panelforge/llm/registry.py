@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, context_mixing, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, token_counts
+from . import bpe, chat, collocations, context_mixing, exact_dedup, language_id, line_dedup, mixing, ngram_join, periodic_runs, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_windows": chat.query,
     "op9_ngram_join": ngram_join.query,
     "op10_language_id": language_id.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_substring_dedup": substring_dedup.query,
+    "op13_collocations": collocations.query,
     "language_id_pages": language_id.page_query,
 }
 
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op4_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_chat_windows": chat.SQL,
+    "op11_periodic_runs": periodic_runs.SQL,
+    "op12_substring_dedup": substring_dedup.SQL,
+    "op13_collocations": collocations.SQL,
 }
