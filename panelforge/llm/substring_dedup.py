@@ -261,7 +261,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
-), s AS (SELECT row, doc_id, unnest(range(len(w) - 12)) AS i, unnest(list_transform(range(len(w) - 12), lambda i: w[i + 1:i + 13])) AS win FROM d WHERE len(w) >= 13),
+), s AS (SELECT row, doc_id, unnest(range(len(w) - 12)) AS i, unnest(list_transform(range(len(w) - 12), lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS win FROM d WHERE len(w) >= 13),
 e AS (SELECT win, min(doc_id) AS earliest FROM s GROUP BY win),
 gone AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS i FROM s JOIN e USING (win) WHERE earliest < doc_id),
 x AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
