@@ -13,6 +13,8 @@ Z80, Z95 = 1.2815515655446004, 1.959963984540054
 STATIC_GRID, STATIC_DETECTIONS, STATIC_DAYS, STATIC_MONTHS, STATIC_YEARS = 0.0036, 5, 5, 3, 2
 STATIC_TRAIN = (2012, 2022)
 DEDUPE_KM, KM_PER_DEGREE, EARTH_KM = 0.2, 111.32, 6371.0
+#: WGS 84.
+ELLIPSOID_M, FLATTENING = 6378137.0, 1 / 298.257223563
 SPHERE_M, TILE_M, TILE_PIXELS = 6371007.181, 1111950.5197665233, 1200
 CHAINS = {"T": ("T", "A"), "A": ("A",), "N": ("N", "A"), "J1": ("J1", "N", "A"), "J2": ("J2", "J1", "N", "A")}
 NOT_ACTIVE, NOT_OBSERVED, LOW, MAYBE_LOW, TYPICAL, MAYBE_HIGH, HIGH, RECORD, INSUFFICIENT, PENDING = range(-1, 9)

@@ -17,8 +17,8 @@ _POLYGON, _MULTI = "array<array<array<double>>>", "array<array<array<array<doubl
 
 
 def districts(texts: DataFrame, column: str = "value") -> DataFrame:
-    """place, name, rings (all shells and holes, as points x and y) and wrong (null: usable) of
-    each feature of collections given as JSON texts, by functions of the JVM alone."""
+    """place, name, rings (all shells and holes, as points x and y), polygons (the same rings, shell
+    first in each) and wrong (null: usable) of each feature of collections given as JSON texts, by functions of the JVM alone."""
     features = texts.select(F.from_json(column, _COLLECTION).alias("c")).select(F.col("c.type").alias("kind"), F.posexplode_outer("c.features").alias("place", "f"))
     shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     # one polygon is a list of one polygon
@@ -34,8 +34,9 @@ def districts(texts: DataFrame, column: str = "value") -> DataFrame:
         .when(F.exists("flat", lambda r: ~F.coalesce(closed(r), F.lit(False))), "an open ring")
     )
     named = F.coalesce(*[F.nullif(F.try_element_at("f.properties", F.lit(k)), F.lit("")) for k in ("shapeName", "name", "district")], F.lit("Unnamed area"))
-    points = F.transform("flat", lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
-    return rows.select("place", named.alias("name"), points.alias("rings"), wrong.alias("wrong"))
+    ring = lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))
+    points, nested = F.transform("flat", ring), F.transform("polygons", lambda p: F.transform(p, ring))
+    return rows.select("place", named.alias("name"), points.alias("rings"), nested.alias("polygons"), wrong.alias("wrong"))
 
 
 def units_from_geojson(spark: SparkSession, text: str) -> DataFrame:

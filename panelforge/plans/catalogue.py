@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import layer_queries, panel_queries, report_queries
+from . import geometry_queries, layer_queries, panel_queries, report_queries
 
-QUERIES = panel_queries.QUERIES | layer_queries.QUERIES | report_queries.QUERIES
-ORACLE_SQL = panel_queries.ORACLE_SQL | layer_queries.ORACLE_SQL | report_queries.ORACLE_SQL
+QUERIES = panel_queries.QUERIES | layer_queries.QUERIES | report_queries.QUERIES | geometry_queries.QUERIES
+ORACLE_SQL = panel_queries.ORACLE_SQL | layer_queries.ORACLE_SQL | report_queries.ORACLE_SQL | geometry_queries.ORACLE_SQL
