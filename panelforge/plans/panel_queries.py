@@ -80,6 +80,14 @@ def proximity_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.proximity(_lattice(spark, sf), radius_km=0.2).select("id", "s", "frp", "group_root", "group_size")
 
 
+def proximity_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs within 200 m of points spread finely over places at 24 N 90 E, 60 N 25 E and 35 S 150 W."""
+    f, k = fx.feed(spark, sf), F.col("id")
+    south, west = (F.element_at(F.array(*map(F.lit, at)), (k % 3 + 1).cast("int")) for at in ((24.0, 60.0, -35.0), (90.0, 25.0, -150.0)))
+    points = f.select("id", "s", F.date_trunc("month", "t").alias("t"), (south + k * 7919 % 401 * 0.0001).alias("lat"), (west + k * 5381 % 397 * 0.0001).alias("lon"))
+    return dedupe.close_pairs(points)
+
+
 def static_mask_learn(spark: SparkSession, sf: str) -> DataFrame:
     return staticmask.learn(_static_cells(spark, sf), (1995, 2000))
 
@@ -400,7 +408,7 @@ def kappa_interval(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (period_counts, period_counts_country, frp_stats, kept_vs_excluded, exact_dedupe, import_dedupe_last, proximity_dedupe, static_mask_learn, static_mask_apply, coverage_period, coverage_country, daily_coverage, seen_pct, proxy_coverage, sensor_windows, activity_mask, valid_rates, sensor_pair_join, ratio_bridge, combine, combine_grounded, raw_total, baseline_loo, baseline_all, period_verdicts, raw_class, verdict_histogram, intervals, annual_totals, annual_rank, peak_window, flags, pass_sessions, passes_per_period, kappa, spearman, pearson_bias, coverage80, calibrate_r, nb_bridge, chain_predict, kappa_interval)}
+QUERIES = {f.__name__: f for f in (period_counts, period_counts_country, frp_stats, kept_vs_excluded, exact_dedupe, import_dedupe_last, proximity_dedupe, proximity_pairs, static_mask_learn, static_mask_apply, coverage_period, coverage_country, daily_coverage, seen_pct, proxy_coverage, sensor_windows, activity_mask, valid_rates, sensor_pair_join, ratio_bridge, combine, combine_grounded, raw_total, baseline_loo, baseline_all, period_verdicts, raw_class, verdict_histogram, intervals, annual_totals, annual_rank, peak_window, flags, pass_sessions, passes_per_period, kappa, spearman, pearson_bias, coverage80, calibrate_r, nb_bridge, chain_predict, kappa_interval)}
 
 _K = "round(mu, 6) AS mu, round(sigma, 6) AS sigma"
 ORACLE_SQL = {
@@ -417,6 +425,10 @@ ed AS (SELECT a.id AS a, b.id AS b FROM xy a JOIN xy b ON a.s = b.s AND a.h = b.
 re AS (SELECT id AS n, id AS m FROM xy UNION SELECT re.n, ed.b FROM re JOIN ed ON ed.a = re.m),
 ro AS (SELECT n AS id, min(m) AS group_root FROM re GROUP BY n)
 SELECT id, s, frp, group_root, count(*) OVER (PARTITION BY group_root) AS group_size FROM xy JOIN ro USING (id) QUALIFY row_number() OVER (PARTITION BY group_root ORDER BY frp DESC, id) = 1""",
+    "proximity_pairs": f"""WITH {FEED},
+pt AS (SELECT id, s, date_trunc('month', t) AS m, [24.0, 60.0, -35.0][id % 3 + 1] + id * 7919 % 401 * 0.0001::DOUBLE AS lat, [90.0, 25.0, -150.0][id % 3 + 1] + id * 5381 % 397 * 0.0001::DOUBLE AS lon FROM feed),
+xy AS (SELECT id, s, m, lon * 111.32 * cos(radians(lat)) AS x, lat * 111.32 AS y FROM pt)
+SELECT a.id AS a, b.id AS b FROM xy a JOIN xy b ON a.s = b.s AND a.m = b.m AND a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.2""",
     "static_mask_learn": f"WITH {STATIC.format(years=2)} SELECT * FROM m",
     "static_mask_apply": f"WITH {STATIC.format(years=4)} SELECT id, EXISTS (SELECT 1 FROM m WHERE (m.cx = c.cx AND m.cy = c.cy) OR (coarse AND abs(m.cx - c.cx) <= 1 AND abs(m.cy - c.cy) <= 1)) AS static FROM c",
     "coverage_period": f"WITH {COV} SELECT s, unit, year, p, {AREAS} FROM cov GROUP BY ALL",
