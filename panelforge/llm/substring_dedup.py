@@ -43,7 +43,7 @@ from .words import blocks, numbered, ordered, packed, spans
 
 WINDOW, GRAM = 13, 5
 #: Bits of the two tables (16 MB each), and windows from which a bucket is a large one.
-BITS, LARGE = 27, 100_000
+BITS, LARGE = 27, 20_000
 _BLOCK, _NULL = 1 << 19, (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,9 +118,9 @@ def _has(bits: np.ndarray, least: np.ndarray, n_bits: int) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _sent(window: int, gram: int, n_bits: int, some, many):
-    """A row for each string that may repeat something, or for each of its windows where its bucket
-    is a large one."""
+def _sent(window: int, gram: int, n_bits: int, some, many, from_large: bool):
+    """A row for each string that may repeat something, of buckets that aren't large, or of large
+    ones a row for each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, hot = np.frombuffer(some.value, np.uint64), np.frombuffer(many.value, np.uint64)
@@ -128,20 +128,18 @@ def _sent(window: int, gram: int, n_bits: int, some, many):
             keys, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "hash"))
             for top, _, words, ends in blocks(batch.column("text").cast(pa.binary()).to_pylist(), _BLOCK):
                 least, text, first, windows = strings(words, ends, window, gram)
-                may = np.flatnonzero(_has(often, least, n_bits))
+                may = np.flatnonzero(_has(hot, least, n_bits) if from_large else _has(often, least, n_bits) & ~_has(hot, least, n_bits))
                 least, text, first, windows = least[may], text[may], first[may], windows[may]
-                large = _has(hot, least, n_bits)
-                # windows of large buckets one by one
-                n = np.where(large, windows, 1)
+                n = windows if from_large else np.ones_like(windows)
                 of = np.repeat(np.arange(len(n)), n)
                 start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                end = start + window - 1 + np.where(large, 1, windows)[of]
+                end = start + window - 1 + (1 if from_large else windows[of])
                 for a in range(0, len(of), 20_000):
                     b = min(len(of), a + 20_000)
                     row = text[of[a:b]]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "large": large[of[a:b]], "bucket": least[of[a:b]].view(np.int64), "key": keys[top + row], "hash": hashes[top + row], "at": (start[a:b] - ends[row]).astype(np.int32),
+                            "bucket": least[of[a:b]].view(np.int64), "key": keys[top + row], "hash": hashes[top + row], "at": (start[a:b] - ends[row]).astype(np.int32),
                             "words": pa.array([b" ".join(words[p:q]) for p, q in zip(start[a:b].tolist(), end[a:b].tolist())], pa.binary()),
                         }
                     )
@@ -205,11 +203,15 @@ def _sorting(window: int, at_once: int):
 def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS, large: int = LARGE) -> DataFrame:
     """key, hash, begin and end (word numbers) of what goes from each text. docs: key, hash, text."""
     spark = docs.sparkSession
-    some, many = (spark.sparkContext.broadcast(b) for b in shared(docs, window, gram, bits, large))
-    rows = stored(docs.mapInArrow(_sent(window, gram, bits, some, many), "large boolean, bucket long, key long, hash long, at int, words binary"))
-    here = rows.where(~F.col("large")).drop("large").repartition("bucket").sortWithinPartitions("bucket")
+    tables = shared(docs, window, gram, bits, large)
+    some, many = map(spark.sparkContext.broadcast, tables)
+    schema = "bucket long, key long, hash long, at int, words binary"
+    # Strings are made for their shuffle alone; only windows of large buckets are used twice, and stored.
+    here = docs.mapInArrow(_sent(window, gram, bits, some, many, False), schema).repartition("bucket").sortWithinPartitions("bucket")
     found = here.mapInArrow(_sorting(window, 16 << 20), "key long, hash long, begin int, end int")
-    one = rows.where("large").select("words", "key", "hash", "at")
+    if not np.frombuffer(tables[1], np.int64).any():
+        return found
+    one = stored(docs.mapInArrow(_sent(window, gram, bits, some, many, True), schema).drop("bucket"))
     earliest = one.groupBy("words").agg(F.min("key").alias("earliest"), F.max("key").alias("latest")).where(F.col("earliest") < F.col("latest")).drop("latest")
     apart = one.join(earliest, "words").where(F.col("earliest") < F.col("key"))
     return found.unionByName(apart.select("key", "hash", F.col("at").alias("begin"), (F.col("at") + window).alias("end")))
