@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import passes
+from panelforge.operators import passes, versions
 from panelforge.streaming import keyed_passes
 
 GRANULE = "id long, s string, start timestamp, end timestamp, night boolean, units array<int>"
@@ -33,3 +33,72 @@ def test_keyed_passes_equal_passes_of_the_whole_feed(spark, tmp_path, batches):
     got = sorted((r["s"], r["t"], r["night"], r["n_granules"], r["units"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     want = sorted((r["s"], r["t"], r["night"], r["n_granules"], r["units"]) for r in passes.sessions(spark.createDataFrame(rows, schema), 20).collect())
     assert got == want
+
+
+ROWS = "date date, s int, id long, frp double"
+
+
+def _table(spark, tmp_path):
+    return versions.VersionedTable(spark, str(tmp_path / "t"), ROWS, ["date", "s"])
+
+
+def _ids(table):
+    return sorted((r["date"].day, r["s"], r["id"]) for r in table.read().collect())
+
+
+def test_final_rows_replace_provisional_ones_in_streams(spark, tmp_path):
+    table = _table(spark, tmp_path)
+    day = lambda k: dt.date(2024, 5, k)
+    feeds = {"nrt": [(day(1), 0, 1, 1.0), (day(1), 1, 2, 1.0), (day(2), 0, 3, 1.0)], "sp": [(day(1), 0, 11, 1.0), (day(1), 0, 12, 1.0)]}
+    for name, rank in (("nrt", versions.PROVISIONAL), ("sp", versions.FINAL)):
+        spark.createDataFrame(feeds[name], ROWS).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(ROWS).parquet(str(tmp_path / name))
+        versions.start_replacing(stream, table, str(tmp_path / f"cp-{name}"), name, rank).awaitTermination(120)
+    assert _ids(table) == [(1, 0, 11), (1, 0, 12), (1, 1, 2), (2, 0, 3)]
+    # provisional rows that come later don't replace final ones, and a day of another sensor is new
+    table.commit(spark.createDataFrame([(day(1), 0, 21, 1.0), (day(1), 1, 22, 1.0)], ROWS), "late", versions.PROVISIONAL)
+    assert _ids(table) == [(1, 0, 11), (1, 0, 12), (1, 1, 22), (2, 0, 3)]
+    assert sorted((r["date"].day, r["id"]) for r in table.read(1).collect()) == [(1, 1), (1, 2), (2, 3)]
+    assert {r["_batch"] for r in table.done().collect()} == {"nrt-0", "sp-0", "late"} and table.vacuum() == []
+    table.commit(spark.createDataFrame([(day(2), 0, 31, 1.0), (day(1), 1, 32, 1.0)], ROWS), "all", versions.FINAL)
+    assert table.vacuum() == ["late", "nrt-0"] and _ids(table) == [(1, 0, 11), (1, 0, 12), (1, 1, 32), (2, 0, 31)]
+
+
+def test_a_write_that_stops_before_its_manifest_is_never_seen(spark, tmp_path, monkeypatch):
+    table = _table(spark, tmp_path)
+    rows = lambda k: spark.createDataFrame([(dt.date(2024, 5, 1), 0, k, 1.0)], ROWS)
+    table.commit(rows(1), "a")
+    with monkeypatch.context() as m:
+        m.setattr(versions.VersionedTable, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.commit(rows(2), "b")
+    assert _ids(table) == [(1, 0, 1)] and table.done().count() == 1
+    assert table.commit(rows(2), "b") == 2 and table.commit(rows(9), "b") == 2 and _ids(table) == [(1, 0, 2)]
+    # another writer publishes the next version in between: both are kept in order
+    publish, other = versions.VersionedTable._publish, _table(spark, tmp_path)
+
+    def late(self, entries, version):
+        monkeypatch.setattr(versions.VersionedTable, "_publish", publish)
+        other.commit(rows(3), "c")
+        return publish(self, entries, version)
+
+    monkeypatch.setattr(versions.VersionedTable, "_publish", late)
+    assert table.commit(rows(4), "d") == 4 and _ids(table) == [(1, 0, 4)]
+
+
+def test_a_stage_goes_on_where_it_stopped(spark, tmp_path):
+    table = versions.VersionedTable(spark, str(tmp_path / "t"), "item long, twice long", ["item"])
+    items, seen = spark.range(10).withColumnRenamed("id", "item"), []
+
+    def work(rows):
+        seen.append(rows.count())
+        if len(seen) == 2:
+            raise OSError("lost")
+        return rows.select("item", (F.col("item") * 2).alias("twice"))
+
+    with pytest.raises(OSError):
+        versions.run_stage(items, table, "item", work, at_once=4)
+    assert table.read().count() == 4
+    assert versions.run_stage(items, table, "item", work, at_once=4) == 2 and seen == [4, 4, 4, 2]
+    assert sorted((r["item"], r["twice"]) for r in table.read().collect()) == [(k, 2 * k) for k in range(10)]
+    assert versions.run_stage(items, table, "item", work, at_once=4) == 0
