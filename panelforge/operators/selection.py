@@ -147,6 +147,21 @@ def manifest(rows: DataFrame) -> DataFrame:
     return out.select("years", F.col("latest.year").alias("year"), F.col("latest.period").alias("period"), "n", "areas")
 
 
+def full_manifest(rows: DataFrame, estimates: DataFrame, areas: DataFrame, whole: str, this_year: int | None = None) -> DataFrame:
+    """One row: years of rows and estimates from the latest, the latest period of both, counts, whether
+    there are estimates, the latest year that may be asked for, and the names of all areas (name of
+    areas, district of rows and estimates): the whole area first, the others as a reader's language
+    orders them, with accents after plain letters and capitals after small ones only on ties."""
+    both = rows.select("year", "period", "district").withColumn("_e", F.lit(0)).unionByName(estimates.select("year", "period", "district").withColumn("_e", F.lit(1)))
+    at = both.groupBy("year", "period").agg(F.sum("_e").alias("e"), F.count(F.lit(1)).alias("n"))  # 46 rows a year
+    latest = F.max_by(F.struct("year", "period"), F.col("year") * C.PERIODS + F.col("period"))
+    now = F.lit(this_year) if this_year is not None else F.year(F.current_date())
+    out = at.agg(F.sort_array(F.collect_set("year"), False).alias("years"), latest.alias("latest"), F.coalesce(F.sum(F.col("n") - F.col("e")), F.lit(0)).alias("observation_count"), F.coalesce(F.sum("e"), F.lit(0)).alias("estimate_count"), F.greatest(F.max("year"), now).alias("max_year"))
+    names = both.select(F.col("district").alias("name")).unionByName(areas.select("name")).where((F.col("name") != "") & (F.col("name") != whole)).distinct()
+    ordered = names.agg(F.array_sort(F.collect_list(F.struct(F.collate("name", "UNICODE").alias("k"), "name"))).alias("names")).select(F.concat(F.array(F.lit(whole)), F.col("names.name")).alias("areas"))
+    return out.crossJoin(ordered).select("years", "latest", "observation_count", "estimate_count", (F.col("estimate_count") > 0).alias("has_estimates"), "max_year", "areas")  # one row each
+
+
 def answer(rows: DataFrame, estimates: DataFrame, areas: DataFrame, s: Selection) -> DataFrame:
     """One row that answers a selection: its rows, the area's estimate, every area's count and
     estimate in order, passes by satellite, evidence by satellite, and the fleet's retention."""

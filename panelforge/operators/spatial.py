@@ -112,23 +112,50 @@ def touching(footprints: DataFrame, units: DataFrame, cell: float = 1.0) -> Data
     return near.where(ring_in | unit_in | cut).select("id", "unit_idx")
 
 
+def grid_runs(grids: DataFrame) -> DataFrame:
+    """tile and its stretches of pixels of one district on land, as arrays start, length and unit. grids:
+    tile, unit (little-endian int16 of each pixel, negative outside), land (bytes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for tile, units, land in zip(batch["tile"], batch["unit"], batch["land"]):
+                unit = np.frombuffer(units, "<i2").astype(np.int32)
+                unit = np.where((np.frombuffer(land, np.uint8) > 0) & (unit >= 0), unit, -1)
+                edge = np.flatnonzero(np.diff(unit, prepend=-2, append=-2))
+                start, size, inside = edge[:-1], np.diff(edge), unit[edge[:-1]] >= 0
+                out.append((tile, start[inside], size[inside], unit[start[inside]]))
+            yield pd.DataFrame(out, columns=["tile", "start", "length", "unit"])
+
+    return grids.select("tile", "unit", "land").mapInPandas(run, "tile int, start array<int>, length array<int>, unit array<int>")
+
+
 def raster_counts(masks: DataFrame, grids: DataFrame, clear: tuple[int, ...] = (5, 7, 8, 9), cloud: tuple[int, ...] = (4,)) -> DataFrame:
     """Clear, cloudy and land pixels of every mask and unit. masks: sat, tile, date, pixels
-    (bytes); grids: tile, unit (little-endian int16 of each pixel, negative outside), land (bytes)."""
+    (bytes); grids: as for grid_runs.
+
+    Each grid is read once and meets the masks as runs, a small part of its size; a run's pixels are
+    counted as a difference of the mask's running sums."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.zeros((2, 256), np.int32)
+        wanted[0, list(clear)], wanted[1, list(cloud)] = 1, 1
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                pixel, unit = np.frombuffer(row.pixels, np.uint8), np.frombuffer(row.unit, "<i2")
-                inside = (np.frombuffer(row.land, np.uint8) > 0) & (unit >= 0)
-                n = int(unit.max(initial=-1)) + 1
-                tally = lambda m, unit=unit, n=n: np.bincount(unit[m], minlength=n)
-                land, seen, hidden = tally(inside), tally(inside & np.isin(pixel, clear)), tally(inside & np.isin(pixel, cloud))
-                out += [(row.sat, row.tile, row.date, u, int(seen[u]), int(hidden[u]), int(land[u])) for u in np.flatnonzero(land)]
-            yield pd.DataFrame(out, columns=["sat", "tile", "date", "unit", "clear", "cloud", "land"])
-
-    return masks.join(grids, "tile").select("sat", "tile", "date", "pixels", "unit", "land").mapInPandas(count, "sat string, tile int, date date, unit int, clear long, cloud long, land long")
+                pixel = np.frombuffer(row.pixels, np.uint8)
+                units, of = np.unique(row.unit, return_inverse=True)
+                sums = [np.bincount(of, row.length, len(units))]
+                for kind in wanted:
+                    total = np.concatenate(([0], np.cumsum(kind[pixel])))
+                    sums.append(np.bincount(of, total[row.start + row.length] - total[row.start], len(units)))
+                land, seen, hidden = (s.astype(np.int64) for s in sums)
+                out.append(pd.DataFrame({"sat": row.sat, "tile": row.tile, "date": row.date, "unit": units, "clear": seen, "cloud": hidden, "land": land}))
+            if out:
+                yield pd.concat(out)
+
+    met = masks.join(grid_runs(grids), "tile").select("sat", "tile", "date", "pixels", "start", "length", "unit")
+    return met.mapInPandas(count, "sat string, tile int, date date, unit int, clear long, cloud long, land long")
 
 
 def land_strata(pixels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import overlay
+from ..operators import mosaic, overlay
 from ..sources import fixtures as fx
 
 #: Corners of a district and of a parent as multiples of its size (thousandths), and holes of some.
@@ -54,6 +54,21 @@ def overlap_areas(spark: SparkSession, sf: str) -> DataFrame:
     return both.where(F.col("unit_idx") < F.col("other")).select("unit_idx", "other", F.round("overlap", 8).alias("overlap")).where(F.col("overlap") > 0)
 
 
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as pixels: some have no data, and some blocks are missing."""
+    x, y = (F.col("l_partkey") % 96).cast("int"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 64).cast("int")
+    klass = F.element_at(F.array(*map(F.lit, (0, 10, 10, 40, 80, 95))), (F.col("l_quantity").cast("int") % 6 + 1))
+    return fx.table(spark, sf, "lineitem").select(x.alias("x"), y.alias("y"), klass.alias("klass")).where((F.shiftright("x", 4) + F.shiftright("y", 4)) % 5 != 0)
+
+
+def mosaic_mode(spark: SparkSession, sf: str) -> DataFrame:
+    return mosaic.pyramid(_pixels(spark, sf), 4)
+
+
+def mosaic_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    return mosaic.tiles(mosaic.pyramid(_pixels(spark, sf), 3).where("level > 0"), 8).select("level", "tx", "ty", F.array_join(F.transform("pixels", lambda p: p.cast("string")), ",").alias("pixels"))
+
+
 def _corners(name: str, corners) -> str:
     rows = [f"('{name}', {k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (a, b) in enumerate(zip(corners, (*corners[1:], corners[0])))]
     return ", ".join(rows)
@@ -97,8 +112,18 @@ ev AS (
 ), par2 AS (SELECT a, b, y, top, x, na, nb, lead(x) OVER (PARTITION BY a, b, y, top ORDER BY x, na + nb) AS next FROM par),
 area AS (SELECT a, b, sum((next - x) * (top - y)) AS overlap FROM par2 WHERE na % 2 = 1 AND nb % 2 = 1 GROUP BY a, b)"""
 
-QUERIES = {"polygon_area": polygon_area, "overlap_parent": overlap_parent, "overlap_areas": overlap_areas}
+#: The class of each cell from its pixels, level by level on its own.
+MOSAIC_SQL = """px AS (
+  SELECT (l_partkey % 96)::INT AS x, ((l_suppkey * 7 + l_linenumber) % 64)::INT AS y, [0, 10, 10, 40, 80, 95][l_quantity::INT % 6 + 1] AS klass FROM lineitem WHERE ((l_partkey % 96) // 16 + ((l_suppkey * 7 + l_linenumber) % 64) // 16) % 5 <> 0
+), n AS (SELECT level, x >> level AS x, y >> level AS y, klass, count(*) AS n FROM px, (SELECT unnest(range(5))::INT AS level) GROUP BY ALL),
+m AS (SELECT level, x, y, klass FROM n QUALIFY row_number() OVER (PARTITION BY level, x, y ORDER BY klass = 0, n DESC, klass) = 1)"""
+
+QUERIES = {"mosaic_mode": mosaic_mode, "mosaic_tiles": mosaic_tiles, "polygon_area": polygon_area, "overlap_parent": overlap_parent, "overlap_areas": overlap_areas}
 ORACLE_SQL = {
+    "mosaic_mode": f"WITH {MOSAIC_SQL} SELECT * FROM m",
+    "mosaic_tiles": f"""WITH {MOSAIC_SQL}, b AS (SELECT level, min(x // 8) AS x0, max(x // 8) AS x1, min(y // 8) AS y0, max(y // 8) AS y1 FROM m WHERE level BETWEEN 1 AND 3 GROUP BY level),
+f AS (SELECT level, tx, ty, c.at FROM (SELECT level, unnest(range(x0, x1 + 1)) AS tx, y0, y1 FROM b) JOIN LATERAL (SELECT unnest(range(y0, y1 + 1)) AS ty) ON true, (SELECT unnest(range(64)) AS at) c)
+SELECT f.level, tx, ty, string_agg(coalesce(klass, 0), ',' ORDER BY f.at) AS pixels FROM f LEFT JOIN m ON m.level = f.level AND m.x = tx * 8 + f.at % 8 AND m.y = ty * 8 + f.at // 8 GROUP BY ALL""",
     "polygon_area": AREA_SQL,
     "overlap_parent": "WITH " + OVERLAP_SQL.format(match="b.kind = 'p'", kind="p")
     + """, best AS (SELECT a, max_by({'b': b, 'o': overlap}, {'o': round(overlap, 12), 'k': -b}) AS m FROM area WHERE overlap > 1e-12 GROUP BY a)

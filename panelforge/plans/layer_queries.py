@@ -95,6 +95,20 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"), "year", "period", "n", F.array_join("areas", ",").alias("areas"))
 
 
+def _accented(name, k):
+    """Names with accents and small letters in places."""
+    return F.when(k % 4 == 0, F.lower(name)).when(k % 4 == 1, F.concat(F.lit("\u00e9"), name)).when(k % 4 == 2, F.concat(F.lit("Zo\u00eb "), name)).otherwise(name)
+
+
+def full_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    rows, models = observations(spark, sf), estimates(spark, sf).where("year < 2000").withColumn("year", F.col("year") + 3)
+    k = F.substring_index("district", "_", -1).cast("int")
+    accented = lambda d: d.withColumn("district", _accented(F.col("district"), k))
+    m = selection.full_manifest(accented(rows), accented(models), fx.units(spark, sf).select(F.col("parent").alias("name")), "Whole land", 2026)
+    text = lambda c: F.array_join(F.transform(c, lambda y: y.cast("string")), ",")
+    return m.select(text("years").alias("years"), F.col("latest.year").alias("year"), F.col("latest.period").alias("period"), "observation_count", "estimate_count", "has_estimates", "max_year", text("areas").alias("areas"))
+
+
 def model_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Estimates that an import would refuse, after spoiling every seventh district and year."""
     e = estimates(spark, sf).withColumn("lower", F.when((F.length("district") + F.col("year")) % 7 == 0, F.col("value") + 1).otherwise(F.col("lower")))
@@ -220,7 +234,7 @@ def raster_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.raster_counts(masks, grids)
 
 
-QUERIES = {f.__name__: f for f in (select_observations, area_stats, calendar, calendar_all, pass_board, fleet_retention, adjusted_retention, manifest, model_checks, import_observations, normalized_feed, reconciliation, pip_assign, mercator_tiles, haversine_in_view, terrarium, solar_zenith, land_strata, export_series, gates, csv_export, period_labels, raster_counts)}
+QUERIES = {f.__name__: f for f in (select_observations, area_stats, calendar, calendar_all, pass_board, fleet_retention, adjusted_retention, manifest, full_manifest, model_checks, import_observations, normalized_feed, reconciliation, pip_assign, mercator_tiles, haversine_in_view, terrarium, solar_zenith, land_strata, export_series, gates, csv_export, period_labels, raster_counts)}
 
 _HERE = f"year = {CHOICE.year} AND period = {CHOICE.period}"
 ORACLE_SQL = {
@@ -242,6 +256,11 @@ SELECT *, CASE WHEN total > 0 THEN floor(100 * kept / total + 0.5)::BIGINT END A
     "adjusted_retention": f"""WITH {OBS}, h AS (SELECT CASE WHEN probability >= 0.8 THEN 2 WHEN probability >= 0.6 THEN 1 ELSE 0 END = CASE WHEN gprobability >= 0.8 THEN 2 WHEN gprobability >= 0.6 THEN 1 ELSE 0 END AS same FROM est WHERE year BETWEEN 1998 AND 2001 AND g AND coverage >= 30)
 SELECT count(*) AS held, CASE WHEN count(*) > 0 THEN floor(100 * count(*) FILTER (same) / count(*) + 0.5)::BIGINT END AS adjusted_retention FROM h""",
     "manifest": f"WITH {OBS} SELECT array_to_string(list_reverse_sort(list(DISTINCT year)), ',') AS years, arg_max(year, year * 46 + period) AS year, arg_max(period, year * 46 + period) AS period, count(*) AS n, array_to_string(list_sort(list(DISTINCT district)), ',') AS areas FROM obs",
+    "full_manifest": f"""WITH {OBS}, na AS (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN '\u00e9' || n_name WHEN 2 THEN 'Zo\u00eb ' || n_name ELSE n_name END AS name FROM nation),
+e AS (SELECT year + 3 AS year, period, district FROM est WHERE year < 2000), b AS (SELECT year, period, district, 0 AS e FROM obs UNION ALL SELECT year, period, district, 1 FROM e),
+a AS (SELECT DISTINCT coalesce(na.name, b.district) AS name FROM b LEFT JOIN na ON n_name = district UNION SELECT r_name FROM region)
+SELECT array_to_string(list_reverse_sort(list(DISTINCT year)), ',') AS years, arg_max(year, year * 46 + period) AS year, arg_max(period, year * 46 + period) AS period, count_if(e = 0)::BIGINT AS observation_count, sum(e)::BIGINT AS estimate_count,
+  sum(e) > 0 AS has_estimates, greatest(max(year), 2026) AS max_year, (SELECT 'Whole land,' || string_agg(name, ',' ORDER BY name COLLATE en) FROM a) AS areas FROM b""",
     "model_checks": f"WITH {OBS} SELECT district, (year + 10)::INT AS year, period FROM est WHERE (length(district) + year) % 7 = 0",
     "import_observations": f"""WITH {FEED}, r AS (SELECT CASE WHEN id % 11 IN (0, 1) THEN 'coordinates' WHEN id % 11 = 5 THEN 'satellite' WHEN id % 11 = 2 THEN 'date' WHEN id % 11 = 3 THEN 'time' END AS rejected,
   CASE id % 11 WHEN 5 THEN NULL WHEN 6 THEN 'S-NPP' ELSE 'NOAA-20' END AS satellite, id % 11 = 7 OR k % 101 < 30 AS low_confidence, id % 11 = 8 AS excluded, id % 11 <> 4 AS time_known,
