@@ -29,11 +29,15 @@ def counts(detections: DataFrame, keys: list[str] = CELL) -> DataFrame:
     )
 
 
-def with_country(cells: DataFrame, sums: list[str], keys: list[str] = CELL) -> DataFrame:
-    """Adds the country as unit -1: sums of the units, null where all are null."""
+def with_country(cells: DataFrame, sums: list[str], keys: list[str] = CELL, least: tuple[str, ...] = (), units: DataFrame | None = None) -> DataFrame:
+    """Adds the country as unit -1: sums of the units, null where all are null. least: counts of which
+    the country has the smallest of all units, 0 where a unit (of units) has no row."""
     rest = [k for k in keys if k != "unit"]
-    whole = cells.groupBy(*rest).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("unit", F.lit(COUNTRY))
-    return cells.select(*keys, *sums).unionByName(whole.select(*keys, *sums))
+    whole = cells.groupBy(*rest).agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], F.count_distinct("unit").alias("_units"))
+    if least:
+        n = units.select(F.count_distinct("unit").alias("_all"))  # one row
+        whole = whole.crossJoin(F.broadcast(n)).withColumns({c: F.when(F.col("_units") < F.col("_all"), 0).otherwise(F.col(c)) for c in least})
+    return cells.select(*keys, *sums, *least).unionByName(whole.withColumn("unit", F.lit(COUNTRY)).select(*keys, *sums, *least))
 
 
 def power(detections: DataFrame, keys: list[str] = CELL) -> DataFrame:

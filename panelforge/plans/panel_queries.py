@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import periods, scores
-from ..operators import baseline, bridge, dedupe, panel, passes, staticmask, validation
+from ..operators import baseline, bridge, dedupe, harmonize, panel, passes, staticmask, validation
 from ..sources import fixtures as fx
 from ..sources.fixtures import SQL_COVERAGE as COV
 from ..sources.fixtures import SQL_DETECTIONS as DET
@@ -148,6 +148,14 @@ w AS (SELECT s, CASE WHEN s < 2 THEN greatest(make_date({FIRST}, 1, 1), coalesce
       FROM (SELECT s, min(t)::DATE AS fd, max(year) AS ly FROM det GROUP BY s) LEFT JOIN (SELECT s, min(date) AS fc FROM cov GROUP BY s) USING (s))"""
 
 
+def country_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of the first region and their country, which is active where all of its units are seen."""
+    units = fx.units(spark, sf).where("unit < 3")
+    cells = panel.coverage_cells(fx.coverage(spark, sf).join(F.broadcast(units.select("unit")), "unit"))
+    whole = panel.with_country(cells, ["clear", "land"], least=("n_days",), units=units)
+    return _round(panel.active(whole, sensor_windows(spark, sf)), "clear", "land", places=4)
+
+
 def activity_mask(spark: SparkSession, sf: str) -> DataFrame:
     cells = panel.coverage_cells(fx.coverage(spark, sf)).select(*panel.CELL, "n_days")
     return panel.active(cells, sensor_windows(spark, sf))
@@ -377,11 +385,18 @@ def _strata(spark: SparkSession, sf: str) -> DataFrame:
 BRIDGES = ((0, 1), (2, 1), (3, 2), (4, 3))
 
 
+#: Models by application and tables: queries that need them share one fit.
+_FITTED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _bridges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Rates of all sensors and the models of all four bridges, with the operator's own draws and least rows."""
     cells = panel.rates(_cells(spark, sf), 0.1, 0.0)
-    pairs = [panel.sensor_pairs(cells, a, b).withColumn("bridge", F.lit(f"{C.SENSORS[a]}-{C.SENSORS[b]}")) for a, b in BRIDGES]
-    return cells, bridge.fit_bridges(reduce(DataFrame.unionByName, pairs), _strata(spark, sf))
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _FITTED:
+        pairs = [panel.sensor_pairs(cells, a, b).withColumn("bridge", F.lit(f"{C.SENSORS[a]}-{C.SENSORS[b]}")) for a, b in BRIDGES]
+        _FITTED[at] = bridge.fit_bridges(reduce(DataFrame.unionByName, pairs), _strata(spark, sf))
+    return cells, _FITTED[at]
 
 
 def nb_bridge(spark: SparkSession, sf: str) -> DataFrame:
@@ -396,6 +411,15 @@ def chain_predict(spark: SparkSession, sf: str) -> DataFrame:
     return _round(out.select("s", "unit", "year", "p", "d", "mu", "sigma"), "mu", "sigma")
 
 
+def harmonized_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of the fleet's estimates, each sensor's brought to the reference's scale by its bridges."""
+    cells, models = _bridges(spark, sf)
+    spine = panel.spine(fx.units(spark, sf), FIRST, LAST)
+    out = harmonize.verdicts(cells.join(_strata(spark, sf), "unit"), models, spine, WINDOW, (1993, 1997), min_n=MIN_N)
+    out = out.select("unit", "year", "p", "mu", "sigma", "n_used", "q10", "q50", "q90", "top", F.col("n").cast("long").alias("n"), "p_hi", "p_lo", "code")
+    return _round(out, "mu", "sigma", "q10", "q50", "q90", "top", "p_hi", "p_lo")
+
+
 def _classes(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _judged(spark, sf).join(raw_class(spark, sf).withColumnRenamed("code", "raw"), ["unit", "year", "p"]).where(scores.judged(F.col("code")))
     return pairs.select("unit", "year", scores.class3(F.col("code")).alias("a"), scores.class3(F.col("raw")).alias("b"))
@@ -408,7 +432,7 @@ def kappa_interval(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (period_counts, period_counts_country, frp_stats, kept_vs_excluded, exact_dedupe, import_dedupe_last, proximity_dedupe, proximity_pairs, static_mask_learn, static_mask_apply, coverage_period, coverage_country, daily_coverage, seen_pct, proxy_coverage, sensor_windows, activity_mask, valid_rates, sensor_pair_join, ratio_bridge, combine, combine_grounded, raw_total, baseline_loo, baseline_all, period_verdicts, raw_class, verdict_histogram, intervals, annual_totals, annual_rank, peak_window, flags, pass_sessions, passes_per_period, kappa, spearman, pearson_bias, coverage80, calibrate_r, nb_bridge, chain_predict, kappa_interval)}
+QUERIES = {f.__name__: f for f in (period_counts, period_counts_country, frp_stats, kept_vs_excluded, exact_dedupe, import_dedupe_last, proximity_dedupe, proximity_pairs, static_mask_learn, static_mask_apply, coverage_period, coverage_country, daily_coverage, seen_pct, proxy_coverage, sensor_windows, country_activity, activity_mask, valid_rates, sensor_pair_join, ratio_bridge, combine, combine_grounded, raw_total, baseline_loo, baseline_all, period_verdicts, raw_class, verdict_histogram, intervals, annual_totals, annual_rank, peak_window, flags, pass_sessions, passes_per_period, kappa, spearman, pearson_bias, coverage80, calibrate_r, nb_bridge, chain_predict, harmonized_verdicts, kappa_interval)}
 
 _K = "round(mu, 6) AS mu, round(sigma, 6) AS sigma"
 ORACLE_SQL = {
@@ -437,6 +461,9 @@ SELECT a.id AS a, b.id AS b FROM xy a JOIN xy b ON a.s = b.s AND a.m = b.m AND a
     "seen_pct": f"WITH {COV}, a AS (SELECT sat, date, unit, round(sum(clear), 4) AS clear, sum(land) AS land FROM cov GROUP BY ALL) SELECT sat, date, unit, coalesce(CASE WHEN land <> 0 THEN round_even(100 * clear / land, 0)::INT END, -1) AS seen FROM a",
     "proxy_coverage": f"WITH {COV}, n AS (SELECT s, false AS proxy, year, land FROM cov WHERE s < 3), a AS (SELECT * FROM n UNION ALL SELECT v.s, true, year, land FROM n CROSS JOIN (VALUES (3), (4)) v(s) WHERE n.s = 1) SELECT s, proxy, year, round(sum(land), 4) AS land, count(*) AS n FROM a GROUP BY ALL",
     "sensor_windows": f"WITH {WINDOWS} SELECT * FROM w",
+    "country_activity": f"""WITH {WINDOWS}, c AS (SELECT s, unit, year, p, sum(clear) AS clear, sum(land) AS land, count(DISTINCT date) AS n_days FROM cov WHERE unit < 3 GROUP BY ALL),
+k AS (SELECT * FROM c UNION ALL SELECT s, -1, year, p, sum(clear), sum(land), CASE WHEN count(*) < 3 THEN 0 ELSE min(n_days) END FROM c GROUP BY s, year, p)
+SELECT s, unit, year, p, round(clear, 4) AS clear, round(land, 4) AS land, n_days, coalesce(make_date(year, 1, 1) + (p - 1) * 8 >= start AND least(make_date(year, 1, 1) + (p - 1) * 8 + 7, make_date(year, 12, 31)) <= "end" AND n_days > 0, false) AS active FROM k LEFT JOIN w USING (s)""",
     "activity_mask": f"""WITH {WINDOWS}, c AS (SELECT s, unit, year, p, count(DISTINCT date) AS n_days FROM cov GROUP BY ALL)
 SELECT c.*, coalesce(make_date(year, 1, 1) + (p - 1) * 8 >= start AND least(make_date(year, 1, 1) + (p - 1) * 8 + 7, make_date(year, 12, 31)) <= "end" AND n_days > 0, false) AS active FROM c LEFT JOIN w USING (s)""",
     "valid_rates": f"WITH {RATES} SELECT s, unit, year, p, d, round(rho, 6) AS rho, round(ns, 6) AS ns, round(sn, 6) AS sn, round(cs, 6) AS cs FROM ra",
