@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import mosaic, overlay
+from ..operators import mosaic, overlay, simplify
 from ..sources import fixtures as fx
 
 #: Corners of a district and of a parent as multiples of its size (thousandths), and holes of some.
@@ -54,6 +54,37 @@ def overlap_areas(spark: SparkSession, sf: str) -> DataFrame:
     return both.where(F.col("unit_idx") < F.col("other")).select("unit_idx", "other", F.round("overlap", 8).alias("overlap")).where(F.col("overlap") > 0)
 
 
+def land_parcels(spark: SparkSession, sf: str) -> DataFrame:
+    """A parcel for each customer on a grid forty wide, with winding borders that neighbours share."""
+    k = F.col("c_custkey")
+    cells = fx.table(spark, sf, "customer").select(k.alias("unit_idx"), (k % 40).cast("int").alias("i"), F.floor(k / 40).cast("int").alias("j"))
+    bend = lambda i, j, s: ((i * 31 + j * 17 + s * s * 7) % 11 - 5) * 0.002
+
+    def side(i, j, across: bool, back: bool):
+        """Eight points from the corner (i, j) to the next one, without the last."""
+        def point(s):
+            off = F.when(s == 0, 0.0).otherwise(bend(i, j, s if across else s + 3))
+            x, y = (i + s / 8, j + off) if across else (i + off, j + s / 8)
+            return F.struct((88 + x * 0.1).alias("x"), (20 + y * 0.1).alias("y"))
+
+        steps = F.sequence(F.lit(8), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(7))
+        corner = lambda s: F.when(s == 8, point_at(i + (1 if across else 0), j + (0 if across else 1))).otherwise(point(s))
+        return F.transform(steps, corner)
+
+    point_at = lambda i, j: F.struct((88 + i * 0.1).alias("x"), (20 + j * 0.1).alias("y"))
+    i, j = F.col("i"), F.col("j")
+    ring = F.concat(side(i, j, True, False), side(i + 1, j, False, False), side(i, j + 1, True, True), side(i, j, False, True), F.array(point_at(i, j)))
+    return cells.select("unit_idx", F.array(F.array(ring)).alias("polygons"))
+
+
+def simplified_borders(spark: SparkSession, sf: str) -> DataFrame:
+    """Points and area of each parcel before and after its borders are simplified."""
+    parcels = land_parcels(spark, sf)
+    count = lambda c: F.size(F.flatten(F.flatten(c)))
+    sized = lambda d, s: d.select("unit_idx", count("polygons").cast("long").alias(f"points_{s}"), F.round(geo.area_km2(F.col("polygons")), 4).alias(f"area_{s}"))
+    return sized(parcels, "before").join(sized(simplify.simplified(parcels, least=4e-6), "after"), "unit_idx")
+
+
 def _pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as pixels: some have no data, and some blocks are missing."""
     x, y = (F.col("l_partkey") % 96).cast("int"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 64).cast("int")
@@ -118,7 +149,7 @@ MOSAIC_SQL = """px AS (
 ), n AS (SELECT level, x >> level AS x, y >> level AS y, klass, count(*) AS n FROM px, (SELECT unnest(range(5))::INT AS level) GROUP BY ALL),
 m AS (SELECT level, x, y, klass FROM n QUALIFY row_number() OVER (PARTITION BY level, x, y ORDER BY klass = 0, n DESC, klass) = 1)"""
 
-QUERIES = {"mosaic_mode": mosaic_mode, "mosaic_tiles": mosaic_tiles, "polygon_area": polygon_area, "overlap_parent": overlap_parent, "overlap_areas": overlap_areas}
+QUERIES = {"mosaic_mode": mosaic_mode, "mosaic_tiles": mosaic_tiles, "simplified_borders": simplified_borders, "polygon_area": polygon_area, "overlap_parent": overlap_parent, "overlap_areas": overlap_areas}
 ORACLE_SQL = {
     "mosaic_mode": f"WITH {MOSAIC_SQL} SELECT * FROM m",
     "mosaic_tiles": f"""WITH {MOSAIC_SQL}, b AS (SELECT level, min(x // 8) AS x0, max(x // 8) AS x1, min(y // 8) AS y0, max(y // 8) AS y1 FROM m WHERE level BETWEEN 1 AND 3 GROUP BY level),
