@@ -463,15 +463,19 @@ def range_scores(codes: Codes, context: np.ndarray, place: np.ndarray, n: np.nda
 
     def settle(held: list[tuple]) -> None:
         """Learns from depths that share their gates, then scores them, a batch that fits in the
-        processor's cache at a time. Batches are spread over the contexts."""
+        processor's cache at a time. Batches are of events that training texts have, and spread over
+        the contexts, so what other texts have changes nothing."""
         for depth, at, *seen in held:
-            times = n[at].astype(np.float32)
-            own = np.minimum(times, 1)
-            steps = -(-len(at) // _BATCH)
+            trained = np.flatnonzero(n[at] > 0)
+            if not len(trained):
+                continue
+            times = n[at[trained]].astype(np.float32)
+            own, known = np.minimum(times, 1), [a[trained] for a in seen]
+            steps = -(-len(trained) // _BATCH)
             stride = next(k for k in range(steps * 5 // 8 + 1, steps + 2) if gcd(k, steps) == 1)
             for k in range(steps):
                 part = slice(k * stride % steps * _BATCH, (k * stride % steps + 1) * _BATCH)
-                mixer.learn(*_inputs(depth, tuple(a[part] for a in seen), own[part]), times[part])
+                mixer.learn(*_inputs(depth, tuple(a[part] for a in known), own[part]), times[part])
         for depth, at, *seen in held:
             for k in range(0, len(at), _BATCH):
                 part = slice(k, k + _BATCH)
@@ -566,7 +570,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = W
     frequent, counts = top["word"].to_pylist(), top["n"].to_pylist()
     total = (seen["tokens"] or 0) + ends
     others, n_rare = total - ends - sum(counts), seen["words"] - len(frequent)
-    bits = min(30, max(1, (2 * max(1, n_rare) - 1).bit_length()))
+    bits = min(30, max(1, (4 * max(1, n_rare) - 1).bit_length()))
     leaf_bits = min(bits, _LEAF_BITS)
     rare = vocabulary
     if frequent:

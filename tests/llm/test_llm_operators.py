@@ -495,3 +495,11 @@ def test_stored_tables_can_be_removed(spark):
     path = common._MADE[spark.sparkContext.applicationId][0]
     assert kept.count() == 3 and common.remove_stored(spark) == 1 and not os.path.exists(path.removeprefix("file:").replace("//", "/"))
     common._MADE.update(made)
+
+
+def test_held_out_texts_change_no_score_of_training_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    whole = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in context_mixing.score(docs).collect() if not r["held_out"]}
+    trained = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2")
+    alone = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in context_mixing.score(trained).collect()}
+    assert whole == alone and len(alone) > 800
