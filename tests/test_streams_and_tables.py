@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import passes, versions
+from panelforge.operators import passes, spatial, versions
+from panelforge.sources import rasters
 from panelforge.streaming import keyed_passes
 
 GRANULE = "id long, s string, start timestamp, end timestamp, night boolean, units array<int>"
@@ -102,3 +103,31 @@ def test_a_stage_goes_on_where_it_stopped(spark, tmp_path):
     assert versions.run_stage(items, table, "item", work, at_once=4) == 2 and seen == [4, 4, 4, 2]
     assert sorted((r["item"], r["twice"]) for r in table.read().collect()) == [(k, 2 * k) for k in range(10)]
     assert versions.run_stage(items, table, "item", work, at_once=4) == 0
+
+
+def test_rasters_read_wanted_bands_only(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    bands = {}
+    for sat, tile, first in (("MOD", 2606, 1), ("MOD", 2506, 1), ("MYD", 2606, 9)):
+        days = [dt.date(2024, 3, first + k) for k in range(8)]
+        for day in days:
+            bands[sat, tile, day] = rng.integers(0, 10, 12, dtype=np.uint8).tobytes()
+        rasters.write_file(str(tmp_path / sat / f"{tile}.bands") if (tmp_path / sat).mkdir(exist_ok=True) is None else "", sat, tile, days[0], [bands[sat, tile, d] for d in days], 4)
+    # a file whose bands don't fit its days is refused, others aren't read as rasters
+    rasters.write_file(str(tmp_path / "MYD" / "wrong.bands"), "MYD", 2506, dt.date(2024, 3, 9), [b"\0" * 12] * 7, 4, last=dt.date(2024, 3, 16))
+    (tmp_path / "MYD" / "notes.txt").write_text("none")
+    rasters.register(spark)
+    whole = spark.read.format("rasters").load(str(tmp_path))
+    assert {(r["sat"], r["tile"], r["date"]): r["pixels"] for r in whole.collect()} == {k: bytearray(v) for k, v in bands.items()}
+    some = whole.where("sat = 'MOD' AND tile IN (2606, 2607) AND date >= DATE '2024-03-05' AND date < DATE '2024-03-07' AND length(pixels) > 3")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    # only what the source can't judge is left to Spark
+    assert "2606" not in plan.split("BatchScan")[0] and "length" in plan and some.rdd.getNumPartitions() == 1
+    assert sorted(r["date"].day for r in some.collect()) == [5, 6]
+    reader = rasters.RasterReader(str(tmp_path))
+    rest = list(reader.pushFilters([rasters.EqualTo(("sat",), "MOD"), rasters.GreaterThan(("date",), dt.date(2024, 3, 7)), rasters.GreaterThan(("width",), 3)]))
+    assert [p.bands for p in reader.partitions()] == [[7], [7]] and len(rest) == 1
+    assert whole.where("sat = 'none'").count() == 0
+    grids = spark.createDataFrame([(2606, np.array([0] * 6 + [1] * 4 + [-1] * 2, "<i2").tobytes(), bytes([1] * 11 + [0]))], "tile int, unit binary, land binary")
+    got = {(r["sat"], r["date"], r["unit"]): (r["clear"], r["cloud"], r["land"]) for r in spatial.raster_counts(whole.select("sat", "tile", "date", "pixels"), grids).collect()}
+    assert len(got) == 32 and all(got[s, d, 0] == (sum(p in (5, 7, 8, 9) for p in v[:6]), sum(p == 4 for p in v[:6]), 6) for (s, t, d), v in bands.items() if t == 2606)
