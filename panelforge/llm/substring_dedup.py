@@ -12,11 +12,12 @@ Three passes over the texts:
 * Counts: windows and packed strings of each minimiser are summed up. From the sums two tables of
   bits are made, of a fixed size: minimisers that are there more than once, and minimisers of so
   many windows that they would make a bucket too large for one task.
-* Strings: a string whose minimiser is there once can't repeat anything and stays at home. A
-  string of a large bucket is cut into its windows, which travel one by one by their own words:
-  their least keys come from an aggregation with map-side sums, then they are joined. All others
-  go to their buckets. Bits that several minimisers share only send more than needed, or in another
-  way, with the same result.
+* Strings: a string whose minimiser is there once can't repeat anything and stays at home. Strings
+  of large buckets are dealt by all their words instead of their minimiser: an aggregation with
+  map-side sums leaves each different string once, with its least key, and rows of larger keys lose
+  the whole string. Only different strings are cut into windows, which are dealt by their own words,
+  and what they lose goes to the rows of their least key. All other strings go to their buckets. Bits
+  that several minimisers share only send more than needed, or in another way, with the same result.
 * Texts are joined with the stretches to be removed.
 
 Defined results: a null, empty or blank text has no words, and a text shorter than a window loses
@@ -43,7 +44,7 @@ from .words import blocks, numbered, ordered, packed, spans
 
 WINDOW, GRAM = 13, 5
 #: Bits of the two tables (16 MB each), and windows from which a bucket is a large one.
-BITS, LARGE = 27, 20_000
+BITS, LARGE = 27, 100_000
 _BLOCK, _NULL = 1 << 19, (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,8 +120,7 @@ def _has(bits: np.ndarray, least: np.ndarray, n_bits: int) -> np.ndarray:
 
 
 def _sent(window: int, gram: int, n_bits: int, some, many, from_large: bool):
-    """A row for each string that may repeat something, of buckets that aren't large, or of large
-    ones a row for each of its windows."""
+    """A row for each string that may repeat something, of large buckets or of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, hot = np.frombuffer(some.value, np.uint64), np.frombuffer(many.value, np.uint64)
@@ -130,16 +130,13 @@ def _sent(window: int, gram: int, n_bits: int, some, many, from_large: bool):
                 least, text, first, windows = strings(words, ends, window, gram)
                 may = np.flatnonzero(_has(hot, least, n_bits) if from_large else _has(often, least, n_bits) & ~_has(hot, least, n_bits))
                 least, text, first, windows = least[may], text[may], first[may], windows[may]
-                n = windows if from_large else np.ones_like(windows)
-                of = np.repeat(np.arange(len(n)), n)
-                start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                end = start + window - 1 + (1 if from_large else windows[of])
-                for a in range(0, len(of), 20_000):
-                    b = min(len(of), a + 20_000)
-                    row = text[of[a:b]]
+                start, end = first, first + window - 1 + windows
+                for a in range(0, len(start), 20_000):
+                    b = min(len(start), a + 20_000)
+                    row = text[a:b]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "bucket": least[of[a:b]].view(np.int64), "key": keys[top + row], "hash": hashes[top + row], "at": (start[a:b] - ends[row]).astype(np.int32),
+                            "bucket": least[a:b].view(np.int64), "key": keys[top + row], "hash": hashes[top + row], "at": (start[a:b] - ends[row]).astype(np.int32),
                             "words": pa.array([b" ".join(words[p:q]) for p, q in zip(start[a:b].tolist(), end[a:b].tolist())], pa.binary()),
                         }
                     )
@@ -200,6 +197,23 @@ def _sorting(window: int, at_once: int):
     return run
 
 
+def _windows(window: int):
+    """The windows of each string, with its words and least key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 100):
+                part = batch.slice(row, 100)
+                packs, split = part["words"].to_pylist(), [p.split(b" ") for p in part["words"].to_pylist()]
+                n = np.array([len(w) - window + 1 for w in split])
+                of = np.repeat(np.arange(len(n)), n)
+                cut = [b" ".join(w[k : k + window]) for w in split for k in range(len(w) - window + 1)]
+                offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_pydict({"words": pa.array([packs[k] for k in of], pa.binary()), "key": part["earliest"].to_numpy()[of], "offset": offset.astype(np.int32), "win": pa.array(cut, pa.binary())})
+
+    return run
+
+
 def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS, large: int = LARGE) -> DataFrame:
     """key, hash, begin and end (word numbers) of what goes from each text. docs: key, hash, text."""
     spark = docs.sparkSession
@@ -211,10 +225,16 @@ def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int
     found = here.mapInArrow(_sorting(window, 16 << 20), "key long, hash long, begin int, end int")
     if not np.frombuffer(tables[1], np.int64).any():
         return found
+    # Tables that are joined are stored, so that a frequent string or window is split among tasks.
     one = stored(docs.mapInArrow(_sent(window, gram, bits, some, many, True), schema).drop("bucket"))
-    earliest = one.groupBy("words").agg(F.min("key").alias("earliest"), F.max("key").alias("latest")).where(F.col("earliest") < F.col("latest")).drop("latest")
-    apart = one.join(earliest, "words").where(F.col("earliest") < F.col("key"))
-    return found.unionByName(apart.select("key", "hash", F.col("at").alias("begin"), (F.col("at") + window).alias("end")))
+    apart = stored(one.groupBy("words").agg(F.min("key").alias("earliest")))
+    copies = one.join(apart, "words").where(F.col("earliest") < F.col("key"))
+    copies = copies.select("key", "hash", F.col("at").alias("begin"), (F.col("at") + F.size(F.split(F.col("words").cast("string"), " "))).alias("end"))
+    each = stored(apart.mapInArrow(_windows(window), "words binary, key long, offset int, win binary"))
+    known = stored(each.groupBy("win").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
+    later = each.join(known, "win").where(F.col("first") < F.col("key")).select("words", "key", "offset")
+    parts = one.join(later, ["words", "key"]).select("key", "hash", (F.col("at") + F.col("offset")).alias("begin"), (F.col("at") + F.col("offset") + window).alias("end"))
+    return found.unionByName(copies).unionByName(parts)
 
 
 def _cutting(text: str, cut: str):
