@@ -9,14 +9,15 @@ of one prefix meet in a shuffle and are merged elementwise. From the merged stri
   words' own counts;
 * subsumption maxima: the largest entry is the most frequent extension to the right.
 
-Stripes of the empty prefix and of words are counted first. Longer ones only hold what may be
-frequent: a phrase with `least` occurrences has only pairs of words with as many, and those pairs
-are known then. Their bits are broadcast, in a table of a fixed size; pairs that share a bit are
-counted without need, and dropped when the stripes are merged.
+The stripe of the empty prefix is counted first, then those of words, then longer ones. Each pass
+only counts what may be frequent: a phrase with `least` occurrences has only words and pairs of words
+with as many, and those are known then. Their bits are broadcast, in tables of a fixed size; words or
+pairs that share a bit are counted without need, and dropped when the stripes are merged.
 
-A stripe is dealt out in parts by a hash of the next word, so the stripe of a frequent prefix is
-not gathered in one task; a map task sends each entry once. Phrases left over are found by ordinary
-joins and ranked by parts first, then by language.
+Stripes of prefixes with `HOT` occurrences (for three words: whose first two have as many) are dealt
+out in parts by a hash of the next word, so they aren't gathered in one task, and so is that of the
+empty prefix. A map task sends each entry once. Phrases left over are found by ordinary joins and
+ranked by parts first, then by language.
 
 Defined results: a null language is `und`; a null or empty text has no words; only A to Z become
 lower case; pieces end at `.,;:!?` and at the line breaks U+000A to U+000D, and phrases don't cross
@@ -41,11 +42,13 @@ from .common import release, stored, table, text_or_empty
 from .words import ordered
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-#: Parts of the stripe of the empty prefix and of all others, bits of the table of pairs, words a block.
-PARTS, BITS, BLOCK = (4096, 64), 27, 2_000_000
+#: Parts of the stripe of the empty prefix and of those of frequent ones, and how frequent these are;
+#: bits of a table; words a block.
+PARTS, HOT, BITS, BLOCK = (4096, 256), 100_000, 27, 2_000_000
 _LINES = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_STRIPES = "lang string, prefix string, size int, part int, nexts array<string>, counts array<long>"
+#: A stripe travels packed: its words joined by spaces, their counts as 32-bit integers.
+_STRIPES = "lang string, prefix string, part int, nexts string, counts binary"
 
 
 class _Block:
@@ -104,16 +107,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[_Block]:
         yield block
 
 
-def _pair(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """Bit of a pair of words, given their hashes (the first one's with its language)."""
-    h = first * _MIX + second
+def _place(hashes: list[np.ndarray], bits: int) -> np.ndarray:
+    """Bit of a word or a pair of words, given their hashes (the first one's with its language)."""
+    h = hashes[0] if len(hashes) == 1 else hashes[0] * _MIX + hashes[1]
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     return h >> np.uint64(64 - bits)
 
 
-def _rows(block: _Block, columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+def _has(table_, place: np.ndarray) -> np.ndarray:
+    known = np.frombuffer(table_, np.uint64)
+    return (known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _rows(block: _Block, columns: list[np.ndarray], parts: int | np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stripes of the phrases whose words are in columns (equal phrases are counted), a row for each
-    prefix and part."""
+    prefix and part. parts: into how many the stripe of each phrase's prefix is dealt."""
     *prefix, nexts = columns
     size = len(prefix)
     key = nexts.astype(np.int64)
@@ -122,7 +130,7 @@ def _rows(block: _Block, columns: list[np.ndarray], parts: int) -> Iterator[pa.R
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(order)))
     entry = order[first]
-    part = (block.hash[nexts[entry]] >> np.uint64(32)).astype(np.int64) * parts >> 32
+    part = (block.hash[nexts[entry]] >> np.uint64(32)).astype(np.int64) * (parts[entry] if size else parts) >> 32
     opens = np.ones(len(entry), bool)
     heads = [p[entry] for p in prefix] or [block.lang[nexts[entry]]]
     opens[1:] = np.any([c[1:] != c[:-1] for c in [*heads, part]], axis=0)
@@ -130,54 +138,75 @@ def _rows(block: _Block, columns: list[np.ndarray], parts: int) -> Iterator[pa.R
     for a in range(0, len(at), 20_000):
         rows = at[a : a + 20_000]
         low, high = int(rows[0]), int(at[a + 20_000]) if a + 20_000 < len(at) else len(entry)
-        offsets = pa.array(np.append(rows, high) - low, pa.int32())
+        offsets = (np.append(rows, high) - low).astype(np.int32)
         said = pc.binary_join_element_wise(*[block.words.take(pa.array(h[rows])) for h in heads], " ") if size else pa.array([""] * len(rows), pa.string())
         yield pa.RecordBatch.from_pydict(
             {
-                "lang": block.names.take(pa.array(block.lang[nexts[entry[rows]]])), "prefix": said, "size": pa.array(np.full(len(rows), size), pa.int32()), "part": pa.array(part[rows], pa.int32()),
-                "nexts": pa.ListArray.from_arrays(offsets, block.words.take(pa.array(nexts[entry[low:high]]))), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[low:high])),
+                "lang": block.names.take(pa.array(block.lang[nexts[entry[rows]]])), "prefix": said, "part": pa.array(part[rows], pa.int32()),
+                "nexts": pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), block.words.take(pa.array(nexts[entry[low:high]]))), " "),
+                "counts": pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts[low:high].astype("<u4"))]),
             }
         )
 
 
-def _first_stripes(words: int):
-    """Stripes of the empty prefix and of single words."""
+def _word_stripes(words: int):
+    """Stripes of the empty prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, words):
-            ids = block.ids
-            if ids.any():
-                yield from _rows(block, [ids[ids > 0]], PARTS[0])
-                at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                if len(at):
-                    yield from _rows(block, [ids[at], ids[at + 1]], PARTS[1])
+            if block.ids.any():
+                yield from _rows(block, [block.ids[block.ids > 0]], PARTS[0])
             del block
         release()
 
     return run
 
 
-def _long_stripes(words: int, longest: int, bits: int, table_):
+def _pair_stripes(words: int, bits: int, often, hot):
+    """Stripes of single words, of pairs of words that both may be frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, words):
+            place = _place([block.salted], bits)
+            may, split = _has(often.value, place), np.where(_has(hot.value, place), PARTS[1], 1)
+            may[0] = False
+            at = np.flatnonzero(may[block.ids[:-1]] & may[block.ids[1:]])
+            if len(at):
+                yield from _rows(block, [block.ids[at], block.ids[at + 1]], split[block.ids[at]])
+            del block
+        release()
+
+    return run
+
+
+def _long_stripes(words: int, longest: int, bits: int, often, hot):
     """Stripes of prefixes of two words and more in which all pairs may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(table_.value, np.uint64)
         for block in _blocks(batches, words):
             ids = block.ids
-            place = _pair(block.salted[ids[:-1]], block.hash[ids[1:]], bits)
-            may = (ids[:-1] > 0) & (ids[1:] > 0) & ((known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0)
+            place = _place([block.salted[ids[:-1]], block.hash[ids[1:]]], bits)
+            may = (ids[:-1] > 0) & (ids[1:] > 0) & _has(often.value, place)
+            split = np.where(_has(hot.value, place), PARTS[1], 1)
             at = np.flatnonzero(may)
             for size in range(3, longest + 1):
                 at = at[at + size - 2 < len(may)]
                 at = at[may[at + size - 2]]
                 if len(at):
-                    yield from _rows(block, [ids[at + t] for t in range(size)], PARTS[1])
+                    yield from _rows(block, [ids[at + t] for t in range(size)], split[at])
             del block
         release()
 
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """The stripes of a batch with words and counts as lists."""
+    words = pc.split_pattern(batch["nexts"], " ")
+    counts = np.frombuffer(b"".join(batch["counts"].to_pylist()), "<u4").astype(np.int64)
+    return pa.table({c: batch[c] for c in ("lang", "prefix", "part")} | {"nexts": words, "counts": pa.ListArray.from_arrays(words.offsets, pa.array(counts))})
+
+
 def _merged(table_: pa.Table) -> pa.Table:
     """One row for each prefix and part, counters added elementwise."""
     table_ = table_.combine_chunks()
@@ -191,9 +220,9 @@ def _merged(table_: pa.Table) -> pa.Table:
     flat = pa.table({"stripe": pa.array(stripe), "next": nexts.flatten(), "n": counts.flatten()})
     added = flat.group_by(["stripe", "next"]).aggregate([("n", "sum")]).sort_by([("stripe", "ascending"), ("next", "ascending")])
     offsets = pa.array(np.searchsorted(added["stripe"].to_numpy(), np.arange(int(opens.sum()) + 1)).astype(np.int32))
-    heads = table_.select([*keys, "size"]).take(pa.array(np.flatnonzero(opens)))
+    heads = table_.select(keys).take(pa.array(np.flatnonzero(opens)))
     lists = {"nexts": pa.ListArray.from_arrays(offsets, added["next"].combine_chunks()), "counts": pa.ListArray.from_arrays(offsets, added["n_sum"].combine_chunks())}
-    return pa.table({"lang": heads["lang"], "prefix": heads["prefix"], "size": heads["size"], "part": heads["part"], **lists})
+    return pa.table({c: heads[c] for c in keys} | lists)
 
 
 def _merging(least: int, at_once: int):
@@ -211,19 +240,19 @@ def _merging(least: int, at_once: int):
         offsets = np.searchsorted(good, starts).astype(np.int32)
         out = pa.table(
             {
-                "lang": table_["lang"], "prefix": table_["prefix"], "size": table_["size"], "total": total, "best": best,
+                "lang": table_["lang"], "prefix": table_["prefix"], "total": total, "best": best,
                 "nexts": pa.ListArray.from_arrays(pa.array(offsets), nexts.flatten().take(pa.array(good))), "counts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[good], pa.int64())),
             }
         )
-        out = out.filter(pa.array((best >= least) | (table_["size"].to_numpy() == 0)))
+        out = out.filter(pc.or_(pa.array(best >= least), pc.equal(table_["prefix"], "")))
         return out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size, full = 0, at_once
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            size += batch.nbytes
+            held.append(_unpacked(batch))
+            size += held[-1].nbytes
             if size >= full:
                 rows = _merged(pa.concat_tables(held))
                 upto = rows.num_rows - 1  # the last stripe may go on
@@ -240,26 +269,31 @@ def _merging(least: int, at_once: int):
 
 def merge(stripes: DataFrame, least: int) -> DataFrame:
     dealt = stripes.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
-    return dealt.mapInArrow(_merging(least, 16 << 20), "lang string, prefix string, size int, total long, best long, nexts array<string>, counts array<long>")
+    out = dealt.mapInArrow(_merging(least, 16 << 20), "lang string, prefix string, total long, best long, nexts array<string>, counts array<long>")
+    return out.withColumn("size", F.when(F.col("prefix") == "", 0).otherwise(F.size(F.split("prefix", " "))))
 
 
-def _bits_of(bits: int):
+def _places(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, first, second = (np.array([xxhash.xxh3_64_intdigest(x) for x in batch.column(c).cast(pa.binary()).to_pylist()], np.uint64) for c in ("lang", "first", "second"))
-            yield pa.RecordBatch.from_pydict({"place": _pair(first ^ lang * _MIX, second, bits).astype(np.int64)})
+            lang, *words = (np.array([xxhash.xxh3_64_intdigest(x) for x in batch.column(c).cast(pa.binary()).to_pylist()], np.uint64) for c in batch.schema.names if c != "f")
+            yield pa.RecordBatch.from_pydict({"place": _place([words[0] ^ lang * _MIX, *words[1:]], bits).astype(np.int64), "f": batch.column("f")})
 
     return run
 
 
-def _pair_bits(pairs: DataFrame, bits: int) -> bytes:
-    """Bits of the pairs (lang, first, second); 2**bits / 64 rows at most come to the driver."""
-    place = pairs.mapInArrow(_bits_of(bits), "place long")
+def _tables(rows: DataFrame, bits: int) -> tuple:
+    """Broadcast bits of the words or pairs (lang, one or two words, f), and of those with HOT
+    occurrences; 2**bits / 64 rows at most come to the driver."""
+    place = rows.mapInArrow(_places(bits), "place long, f long")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
-    rows = place.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(max(1, (1 << bits) // 64), np.int64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return out.tobytes()
+    found = place.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("often"), F.bit_or(F.when(F.col("f") >= HOT, bit)).alias("hot")).toArrow()
+    out = []
+    for name in ("often", "hot"):
+        table_ = np.zeros(max(1, (1 << bits) // 64), np.int64)
+        table_[found["at"].to_numpy()] = found[name].fill_null(0).to_numpy()
+        out.append(rows.sparkSession.sparkContext.broadcast(table_.tobytes()))
+    return tuple(out)
 
 
 def entries(merged: DataFrame) -> DataFrame:
@@ -272,15 +306,15 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     """Counts of all phrases of one to `longest` words with `least` occurrences (lang, phrase, size,
     f, right: of the most frequent extension to the right, null if it is below `least`), and the
     number of words of each language."""
-    spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
-    short = stored(merge(docs.mapInArrow(_first_stripes(words), _STRIPES), least))
-    pairs = short.where("size = 1").select("lang", F.col("prefix").alias("first"), F.explode("nexts").alias("second"))
-    table_ = spark.sparkContext.broadcast(_pair_bits(pairs, bits))
-    long = stored(merge(docs.mapInArrow(_long_stripes(words, longest, bits, table_), _STRIPES), least))
-    both = short.unionByName(long)
-    right = both.where((F.col("size") > 0) & (F.col("best") >= least)).groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("best").alias("right"))
-    return entries(both).join(right, ["lang", "phrase"], "left"), short.where("size = 0").groupBy("lang").agg(F.sum("total").alias("n"))
+    stripes = lambda tasks: stored(merge(docs.mapInArrow(tasks, _STRIPES), least))
+    each = lambda merged: merged.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
+    one = stripes(_word_stripes(words))
+    two = stripes(_pair_stripes(words, bits, *_tables(each(one).select("lang", F.col("e.nexts").alias("first"), F.col("e.counts").alias("f")), bits)))
+    more = stripes(_long_stripes(words, longest, bits, *_tables(each(two).select("lang", F.col("prefix").alias("first"), F.col("e.nexts").alias("second"), F.col("e.counts").alias("f")), bits)))
+    both = two.unionByName(more)
+    right = both.where(F.col("best") >= least).groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("best").alias("right"))
+    return entries(one.unionByName(both)).join(right, ["lang", "phrase"], "left"), one.groupBy("lang").agg(F.sum("total").alias("n"))
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 80, bits: int = BITS, words: int = BLOCK) -> DataFrame:
