@@ -45,6 +45,38 @@ def snapshots(cells: DataFrame) -> DataFrame:
     return check_shape(out, "snapshot")
 
 
+def sensor_grid(cells: DataFrame, units: DataFrame, sensors: int, values: dict[str, Column]) -> DataFrame:
+    """year and each value as an array [sensor][unit][period], null where there is no cell. cells: s, unit,
+    year, p; units: unit. The frame of a year has every sensor, unit and period."""
+    years = cells.select("year").distinct()
+    frame = years.crossJoin(F.broadcast(units.select("unit").distinct()))  # the units of a region
+    frame = frame.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sensors - 1)))).withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(C.PERIODS))))
+    full = frame.join(cells.select("s", "unit", "year", "p", *[v.alias(c) for c, v in values.items()]), ["s", "unit", "year", "p"], "left")
+    planes = grid(full, ["year", "s"], "unit", "p", {c: F.col(c) for c in values})
+    cubes = planes.groupBy("year").agg(F.array_sort(F.collect_list(F.struct("s", "units", *values))).alias("_s"))
+    return cubes.select("year", F.get("_s.units", F.lit(0)).alias("units"), *[F.col(f"_s.{c}").alias(c) for c in values])
+
+
+def sensor_snapshots(judged: DataFrame, cells: DataFrame, units: DataFrame, raw_base: DataFrame) -> DataFrame:
+    """One row a year with the whole snapshot: comb, verdict, p_hi, p_lo, base and raw_base as
+    [unit][period]; raw, cov, excl, per, clear_km2d and n_passes as [sensor][unit][period].
+
+    judged: every unit, year and p with mu, sigma, code, p_hi, p_lo, q10, q50, q90, top and n; cells: s,
+    unit, year, p, d, ex_static, ex_low, coverage, clear, n_passes, mu, sigma; raw_base: unit, year, p, q10, q90."""
+    to = lambda c, places: F.bround(F.col(c), places)
+    whole = judged.join(raw_base.select("unit", "year", "p", F.col("q10").alias("_low"), F.col("q90").alias("_high")), ["unit", "year", "p"], "left")
+    flat = grid(whole, ["year"], "unit", "p", {
+        "mu": to("mu", 3), "sigma": to("sigma", 3), "verdict": F.col("code"), "p_hi": to("p_hi", 3), "p_lo": to("p_lo", 3), "q10": to("q10", 3), "q50": to("q50", 3), "q90": to("q90", 3), "top": to("top", 3), "n": F.col("n"), "raw_low": to("_low", 1), "raw_high": to("_high", 1),
+    })
+    cubes = sensor_grid(cells, units, len(C.SENSORS), {"raw": F.col("d"), "cov": to("coverage", 2), "static": F.col("ex_static"), "lowconf": F.col("ex_low"), "clear_km2d": to("clear", 0), "n_passes": F.col("n_passes"), "per_mu": to("mu", 3), "per_sigma": to("sigma", 3)})
+    both = flat.join(cubes.drop("units"), "year")
+    pick = lambda **names: F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+    return both.select(
+        "year", "units", pick(mu="mu", sigma="sigma").alias("comb"), "verdict", "p_hi", "p_lo", "cov", "raw", pick(static="static", lowconf="lowconf").alias("excl"), pick(mu="per_mu", sigma="per_sigma").alias("per"),
+        pick(q10="q10", q50="q50", q90="q90", max="top", n="n").alias("base"), pick(q10="raw_low", q90="raw_high").alias("raw_base"), "clear_km2d", "n_passes",
+    )
+
+
 def detections(rows: DataFrame) -> DataFrame:
     """One row for each year and period with parallel arrays in order of time. rows: id, s, t,
     frp, x, unit, year, p; t becomes minutes since 2000."""

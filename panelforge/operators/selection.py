@@ -191,6 +191,18 @@ def evidence(rows: DataFrame, s: Selection) -> DataFrame:
     return seen.select(F.to_json(F.struct(F.lit(1).alias("version"), chosen.alias("selection"), "observations"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def full_evidence(rows: DataFrame, estimates: DataFrame, s: Selection, provenance: str, fetched_at: str, warnings: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON document: the selection, where its data are from and when they were fetched, its
+    observations in order of id, the area's estimate if there is one, and warnings."""
+    chosen = F.struct(*[F.lit(v).cast("string" if v is None or isinstance(v, str) else "boolean" if isinstance(v, bool) else "int").alias(k) for k, v in vars(s).items()])
+    seen = observations(rows, s).agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("observations"))
+    models = overlaid(in_period(estimates, s), s.grounded).where(F.col("district") == s.area)
+    estimate = models.agg(F.collect_list(F.struct("district", "value", "lower", "upper", "probability", "coverage")).alias("estimates"))  # one at most
+    said = F.array(*map(F.lit, warnings)) if warnings else F.array().cast("array<string>")
+    facts = [F.lit(1).alias("version"), chosen.alias("selection"), F.lit(provenance).alias("provenance"), F.lit(fetched_at).alias("fetched_at"), "observations", "estimates", said.alias("warnings")]
+    return seen.crossJoin(estimate).select(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}).alias("value"))  # one row each
+
+
 def table_rows(rows: DataFrame, most: int = 500) -> DataFrame:
     """The rows that a table shows: the first in order of time, then id."""
     return rows.orderBy("date", "id").limit(most)
