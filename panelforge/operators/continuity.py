@@ -107,9 +107,18 @@ def calibration(bridged: DataFrame, reference: DataFrame, fleet_without: DataFra
     return one.unionByName(fleet)
 
 
+def national(bridged: DataFrame, reference: DataFrame, country: DataFrame) -> DataFrame:
+    """One row for the country's series: n, correlation of the bridged log rate with the reference's, and
+    their mean difference. country: unit, year, p of the cells of both."""
+    truth = reference.select(*KEY, F.ln("rho").alias("_truth"))
+    both = bridged.select(*KEY, "mu").join(truth, KEY).join(country, KEY, "left_semi")
+    return validation.agreement(both.withColumn("_all", F.lit(0)), "mu", "_truth", "_all").drop("_all")
+
+
 def report(cells: DataFrame, models: DataFrame, spine: DataFrame, window: tuple[int, int], train: tuple[int, int], overlap: tuple[int, int], held_out: int, new: int = 3, draws: int = bridge.DRAWS, min_n: int = C.MIN_BASELINE_N, least: int = 20, least_pairs: int = 100) -> dict[str, DataFrame]:
     """The parts of the validation document, each with a few rows: continuity (candidates: n, judged share,
-    kappa), calibration, kept (units), step (ours and raw), cells of the reference.
+    kappa), calibration, kept (units), step of raw counts, and national (the country's cells, unit -1, which no
+    other part looks at).
 
     cells: valid ones of all sensors, as bridge.predict takes them; overlap: years in which ratios are
     learned; held_out: the first year that no model has seen.
@@ -121,9 +130,10 @@ def report(cells: DataFrame, models: DataFrame, spine: DataFrame, window: tuple[
     base = full.select(*KEY, "q10", "q50", "q90", "top", "n")
     of = lambda d, s: d.where(F.col("s") == s)
     own, ref = of(cells, new), of(cells, C.REFERENCE_SENSOR)
-    here = own.where(F.col("year") >= held_out).select(*KEY)
+    late = own.where(F.col("year") >= held_out).select(*KEY)
+    here = late.where(F.col("unit") != panel.COUNTRY)
     both = here.join(ref.select(*KEY), KEY)
-    in_overlap = F.col("year").between(*overlap)
+    in_overlap = F.col("year").between(*overlap) & (F.col("unit") != panel.COUNTRY)
     judged = lambda d: evaluation.judge(d, base, min_n)
     raw = raw_base(cells, spine, window)
     candidates = {
@@ -141,7 +151,8 @@ def report(cells: DataFrame, models: DataFrame, spine: DataFrame, window: tuple[
         "continuity": evaluation.continuity(reference, candidates, least),
         "calibration": calibration(held(of(per, new)), held(ref), held(harmonize.fleet(per, r, (C.REFERENCE_SENSOR,))), of(per, C.REFERENCE_SENSOR)),
         "kept": shares,
-        "step": raw_step(cells, (window[0], held_out)).agg(F.count(F.lit(1)).alias("n"), F.avg("step").alias("raw")),
+        "national": national(of(per, new), ref, late.where(F.col("unit") == panel.COUNTRY)),
+        "step": raw_step(cells.where(F.col("unit") != panel.COUNTRY), (window[0], held_out)).agg(F.count(F.lit(1)).alias("n"), F.avg("step").alias("raw")),
     }
 
 

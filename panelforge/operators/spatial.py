@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -55,6 +55,22 @@ def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("wrong").isNull()).select(F.col("place").cast("int").alias("unit_idx"), "name", "rings")
 
 
+def geometry_text(polygons: Column) -> Column:
+    """Polygons (arrays of closed rings of x and y) as GeoJSON geometry."""
+    pairs = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(pairs, F.lit(0)).alias("coordinates")))
+    return F.when(F.size(polygons) == 1, one).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), pairs.alias("coordinates"))))
+
+
+def feature_collection(units: DataFrame, properties: list[str]) -> DataFrame:
+    """One row: a GeoJSON collection of the units of a region in order of unit_idx. units: unit_idx,
+    polygons and the properties."""
+    named = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), named, F.lit(',"geometry":'), geometry_text(F.col("polygons")), F.lit("}"))
+    rows = units.agg(F.array_sort(F.collect_list(F.struct("unit_idx", feature.alias("f")))).alias("r"))
+    return rows.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("r.f", ","), F.lit("]}")).alias("value"))
+
+
 def parent_by_cells(units: DataFrame, parents: DataFrame, cell: float) -> DataFrame:
     """unit_idx and the parent that most of the unit's cell centres are in (the first on ties):
     the parent of largest overlap, to the size of a cell."""

@@ -63,13 +63,18 @@ def mean_interval(rows: DataFrame, value: str, block: str, draws: int = 500, see
     return whole.crossJoin(means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi")))  # one row each
 
 
+_SLICES = 128
+
+
 def average_ranks(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """keys, column, and rank of each distinct value: from 1, the mean rank on ties. Values are
-    counted first; the counts are added up in a thousand slices of the key's range."""
+    counted first; the counts are added up in slices between quantiles of the key's distinct values,
+    so that an outlier doesn't put all others into one."""
     counts = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    placed = counts.join(ends, keys) if keys else counts.crossJoin(ends)
-    slices = F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("_low"), F.col("_high") - F.col("_low")) * 1000), F.lit(0))
+    shares = [k / _SLICES for k in range(1, _SLICES)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, shares, 10_000).alias("_cuts"))
+    placed = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
+    slices = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
     upto = running(placed, keys, slices, [column], F.col("_n"), "upto")
     return upto.select(*keys, column, (F.col("upto") - (F.col("_n") - 1) / 2).alias(f"rank_{column}"))
 

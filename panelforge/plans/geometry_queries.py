@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import mosaic, overlay, simplify
+from ..operators import mosaic, overlay, simplify, spatial
 from ..sources import fixtures as fx
 
 #: Corners of a district and of a parent as multiples of its size (thousandths), and holes of some.
@@ -85,6 +85,20 @@ def simplified_borders(spark: SparkSession, sf: str) -> DataFrame:
     return sized(parcels, "before").join(sized(simplify.simplified(parcels, least=4e-6), "after"), "unit_idx")
 
 
+def footprint_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Districts' outlines, as footprints, and the parents that they meet: those whose hole they are in aren't among them."""
+    outlines = districts(spark, sf).select(F.col("unit_idx").alias("id"), F.get(F.get("polygons", F.lit(0)), F.lit(0)).alias("ring"))
+    return spatial.touching(outlines, parents(spark, sf).select(F.col("parent_idx").alias("unit_idx"), F.flatten("polygons").alias("rings")))
+
+
+def boundary_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Districts as GeoJSON geometry, read back: the text, and how many points its rings have."""
+    texts = districts(spark, sf).select("unit_idx", spatial.geometry_text(F.col("polygons")).alias("geometry"))
+    whole = texts.select("unit_idx", "geometry", F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"'), F.col("unit_idx"), F.lit('"},"geometry":'), F.col("geometry"), F.lit("}]}")).alias("value"))
+    back = spatial.districts(whole).select(F.col("name").cast("long").alias("unit_idx"), F.size(F.flatten("rings")).cast("long").alias("points"), F.col("wrong").isNull().alias("usable"))
+    return texts.join(back, "unit_idx")
+
+
 def _pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as pixels: some have no data, and some blocks are missing."""
     x, y = (F.col("l_partkey") % 96).cast("int"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 64).cast("int")
@@ -149,8 +163,24 @@ MOSAIC_SQL = """px AS (
 ), n AS (SELECT level, x >> level AS x, y >> level AS y, klass, count(*) AS n FROM px, (SELECT unnest(range(5))::INT AS level) GROUP BY ALL),
 m AS (SELECT level, x, y, klass FROM n QUALIFY row_number() OVER (PARTITION BY level, x, y ORDER BY klass = 0, n DESC, klass) = 1)"""
 
-QUERIES = {"mosaic_mode": mosaic_mode, "mosaic_tiles": mosaic_tiles, "simplified_borders": simplified_borders, "polygon_area": polygon_area, "overlap_parent": overlap_parent, "overlap_areas": overlap_areas}
+QUERIES = {"footprint_units": footprint_units, "boundary_texts": boundary_texts, "mosaic_mode": mosaic_mode, "mosaic_tiles": mosaic_tiles, "simplified_borders": simplified_borders, "polygon_area": polygon_area, "overlap_parent": overlap_parent, "overlap_areas": overlap_areas}
+#: Edges that share a point, or a corner of one in the other by the even-odd rule.
+TOUCH_SQL = f"""WITH {SHAPES}, f AS (SELECT * FROM e WHERE part = 'd'), g AS (SELECT * FROM e WHERE kind = 'p'),
+s AS (
+  SELECT f.idx AS a, g.idx AS b, f.x1, f.y1, f.x2, f.y2, g.x1 AS u1, g.y1 AS v1, g.x2 AS u2, g.y2 AS v2 FROM f JOIN g ON true
+), cut AS (
+  SELECT DISTINCT a, b FROM s WHERE ((x2 - x1) * (v1 - y1) - (y2 - y1) * (u1 - x1)) * ((x2 - x1) * (v2 - y1) - (y2 - y1) * (u2 - x1)) <= 0
+    AND ((u2 - u1) * (y1 - v1) - (v2 - v1) * (x1 - u1)) * ((u2 - u1) * (y2 - v1) - (v2 - v1) * (x2 - u1)) <= 0
+    AND NOT ((x2 - x1) * (v1 - y1) - (y2 - y1) * (u1 - x1) = 0 AND (x2 - x1) * (v2 - y1) - (y2 - y1) * (u2 - x1) = 0)
+), a_in AS (SELECT a, b FROM s WHERE (v1 > y1) <> (v2 > y1) AND x1 < u1 + (u2 - u1) * (y1 - v1) / (v2 - v1) GROUP BY a, b, x1, y1 HAVING count(*) % 2 = 1),
+b_in AS (SELECT a, b FROM s WHERE (y1 > v1) <> (y2 > v1) AND u1 < x1 + (x2 - x1) * (v1 - y1) / (y2 - y1) GROUP BY a, b, u1, v1 HAVING count(*) % 2 = 1)
+SELECT DISTINCT a AS id, b::BIGINT AS unit_idx FROM (SELECT a, b FROM cut UNION SELECT a, b FROM a_in UNION SELECT a, b FROM b_in)"""
+
 ORACLE_SQL = {
+    "footprint_units": TOUCH_SQL,
+    "boundary_texts": f"""WITH {SHAPES}, c AS (SELECT idx, part, place, e.x1, e.y1 FROM (SELECT kind, idx, part, place, (cx + px * r) / 1e6 AS x1, (cy + py * r) / 1e6 AS y1 FROM centres JOIN corners ON part = kind OR (part = kind || 'h' AND idx % every = 0)) e WHERE kind = 'd'),
+r AS (SELECT idx, part, '[' || string_agg('[' || x1 || ',' || y1 || ']', ',' ORDER BY place) || ',[' || first(x1 ORDER BY place) || ',' || first(y1 ORDER BY place) || ']]' AS ring, count(*) + 1 AS n FROM c GROUP BY idx, part)
+SELECT idx AS unit_idx, '{{"type":"Polygon","coordinates":[' || string_agg(ring, ',' ORDER BY part) || ']}}' AS geometry, sum(n)::BIGINT AS points, true AS usable FROM r GROUP BY idx""",
     "mosaic_mode": f"WITH {MOSAIC_SQL} SELECT * FROM m",
     "mosaic_tiles": f"""WITH {MOSAIC_SQL}, b AS (SELECT level, min(x // 8) AS x0, max(x // 8) AS x1, min(y // 8) AS y0, max(y // 8) AS y1 FROM m WHERE level BETWEEN 1 AND 3 GROUP BY level),
 f AS (SELECT level, tx, ty, c.at FROM (SELECT level, unnest(range(x0, x1 + 1)) AS tx, y0, y1 FROM b) JOIN LATERAL (SELECT unnest(range(y0, y1 + 1)) AS ty) ON true, (SELECT unnest(range(64)) AS at) c)

@@ -74,9 +74,13 @@ def raw_cloud_artifact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validation_document(spark: SparkSession, sf: str) -> DataFrame:
-    """The report over all sensors' cells, with the bridges' models."""
-    cells, models = pq._bridges(spark, sf)
-    parts = continuity.report(cells.join(pq._strata(spark, sf), "unit"), models, _spine(spark, sf), WINDOW, (1993, 1997), (pq.FIRST, TRAINED), TRAINED + 1, min_n=MIN_N, least=5)
+    """The report over all sensors' cells and the country's, with the bridges' models."""
+    _, models = pq._bridges(spark, sf)
+    sums = panel.with_country(pq._cells(spark, sf), ["d", "dn", "clear", "cloud", "land"])
+    cells = panel.rates(sums.withColumn("coverage", F.try_divide("clear", "land")), 0.1, 0.0)
+    spine = _spine(spark, sf)
+    spine = spine.unionByName(spine.select("year", "p").distinct().withColumn("unit", F.lit(panel.COUNTRY)), allowMissingColumns=True)
+    parts = continuity.report(cells.join(pq._strata(spark, sf), "unit", "left"), models, spine, WINDOW, (1993, 1997), (pq.FIRST, TRAINED), TRAINED + 1, min_n=MIN_N, least=5)
     return continuity.document(parts, {"baseline": f"{WINDOW[0]}-{WINDOW[1]}", "reference": C.SENSORS[C.REFERENCE_SENSOR]}, TRAINED + 1)
 
 

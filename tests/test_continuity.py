@@ -44,7 +44,10 @@ def _base(values, window, u, y, p):
 def test_report_against_plain_python(spark):
     cells, models = _given(np.random.default_rng(21), YEARS)
     df = spark.createDataFrame(cells, "s int, unit int, year int, p int, d long, rho double, ns double, sn double, cs double, stratum string").withColumns({"clear": F.lit(CLEAR), "land": F.lit(LAND)})
-    spine = spark.createDataFrame([(u, y, p) for u in range(3) for y in YEARS for p in range(1, 47)], "unit int, year int, p int")
+    # the country: unit -1, by the pool, with a baseline of its own
+    whole = [(s, -1, y, p, n * 3, n * 3 / 1.5 + FLOOR, 0.3, math.sin(p * 2 * math.pi / 46), math.cos(p * 2 * math.pi / 46), None) for s, u, y, p, n, *_ in cells if u == 0]
+    df = df.unionByName(spark.createDataFrame(whole, "s int, unit int, year int, p int, d long, rho double, ns double, sn double, cs double, stratum string").withColumns({"clear": F.lit(CLEAR), "land": F.lit(LAND)}))
+    spine = spark.createDataFrame([(u, y, p) for u in (-1, 0, 1, 2) for y in YEARS for p in range(1, 47)], "unit int, year int, p int")
     parts = continuity.report(df, spark.createDataFrame(models, bridge.SCHEMA), spine, WINDOW, TRAIN, OVERLAP, HELD, draws=4, min_n=10, least=5)
     got = {name: [r.asDict() for r in rows.collect()] for name, rows in parts.items()}
 
@@ -123,6 +126,13 @@ def test_report_against_plain_python(spark):
         row = kept[unit]
         assert (row["n"], row["raw_n"]) == (len(a), len(b)) and abs(row["adjusted"] - sum(a) / len(a)) < 6e-5 and abs(row["raw"] - sum(b) / len(b)) < 6e-5
 
+    country = _estimates(whole, models)
+    rates = {c[:4]: c[5] for c in whole}
+    pairs = [(country[3, *k], math.log(rates[1, *k])) for (s, *k) in country if s == 3 and k[1] >= HELD and (1, *k) in rates]
+    (row,) = got["national"]
+    assert row["n"] == len(pairs) > 20 and abs(row["pearson"] - np.corrcoef([m for (m, _), _ in pairs], [t for _, t in pairs])[0, 1]) < 1e-9
+    assert abs(row["bias"] - np.mean([m - t for (m, _), t in pairs])) < 1e-9
+
     steps = [math.log((sum(d[s, *k] for s in (0, 1, 2)) + 0.5) / (d[0, *k] + d[1, *k] + 0.5)) for k in base if k[1] <= HELD and all((s, *k) in d for s in (0, 1, 2))]
     assert got["step"][0]["n"] == len(steps) and abs(got["step"][0]["raw"] - np.mean(steps)) < 1e-9
 
