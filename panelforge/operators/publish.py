@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scores
+from .ordering import numbered
 
 #: Fields and their kinds that a document of each shape must have.
 REQUIRED = {
@@ -77,13 +78,18 @@ def sensor_snapshots(judged: DataFrame, cells: DataFrame, units: DataFrame, raw_
     )
 
 
-def detections(rows: DataFrame) -> DataFrame:
+def detections(rows: DataFrame, most: int | None = None) -> DataFrame:
     """One row for each year and period with parallel arrays in order of time. rows: id, s, t,
-    frp, x, unit, year, p; t becomes minutes since 2000."""
+    frp, x, unit, year, p; t becomes minutes since 2000. most: with a limit, a period is so many
+    documents (part from 0, in order of time) of at most that many detections, and none is gathered whole."""
     minutes = F.floor((F.unix_timestamp("t") - F.unix_timestamp(F.lit("2000-01-01").cast("timestamp"))) / 60)
     one = F.struct(minutes.alias("t"), "id", F.col("s").cast("int").alias("s"), F.bround(F.col("frp")).cast("long").alias("frp"), F.col("x").cast("int").alias("x"), F.col("unit").cast("int").alias("u"))
-    out = rows.groupBy("year", F.col("p").alias("period")).agg(F.array_sort(F.collect_list(one)).alias("_r"))
-    return check_shape(out.select("year", "period", *[F.col(f"_r.{c}").alias(c) for c in ("s", "t", "frp", "x", "u")]), "detections")
+    keys, names = ["year", F.col("p").alias("period")], ("s", "t", "frp", "x", "u")
+    if most:
+        placed = numbered(rows, ["year", "p"], F.to_date("t"), ["t", "id"], "_place")
+        rows, keys = placed.withColumn("part", F.floor((F.col("_place") - 1) / most).cast("int")), [*keys, "part"]
+    out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_r"))
+    return check_shape(out.select(*[k for k in out.columns if k != "_r"], *[F.col(f"_r.{c}").alias(c) for c in names]), "detections")
 
 
 def daily(seen: DataFrame, units: DataFrame) -> DataFrame:

@@ -218,3 +218,16 @@ def test_schemas_name_the_first_violation(spark):
     with pytest.raises(ValueError, match="documents break their schema, first at : a name"):
         schemas.check(df, node)
     assert schemas.check(df.where("k < 2"), node).count() == 2
+
+
+def test_detections_in_parts(spark):
+    import datetime as dt
+
+    from panelforge.operators import publish
+
+    rng = np.random.default_rng(6)
+    rows = [(k, k % 5, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(rng.integers(0, 11_000))), 1.0, 0, 3, 2024, 1) for k in range(95)]
+    df = spark.createDataFrame(rows, "id long, s int, t timestamp, frp double, x int, unit int, year int, p int").repartition(4)
+    whole, parts = publish.detections(df).first(), sorted(publish.detections(df, 30).collect(), key=lambda r: r["part"])
+    assert [(r["part"], len(r["t"])) for r in parts] == [(0, 30), (1, 30), (2, 30), (3, 5)]
+    assert sum((r["t"] for r in parts), []) == whole["t"] and sum((r["s"] for r in parts), []) == whole["s"]
