@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scores
-from . import baseline, bridge, evaluation, harmonize, panel, validation
+from . import baseline, bridge, evaluation, graph, harmonize, panel, validation
 
 KEY = ["unit", "year", "p"]
 
@@ -123,19 +123,21 @@ def report(cells: DataFrame, models: DataFrame, spine: DataFrame, window: tuple[
     cells: valid ones of all sensors, as bridge.predict takes them; overlap: years in which ratios are
     learned; held_out: the first year that no model has seen.
     """
-    per = bridge.predict(cells, models, draws)
-    r = harmonize.correlation(per, train, least=least_pairs)
-    alpha = bridge.reference_alpha(models)
-    full = harmonize.judged(harmonize.fleet(per, r), spine, window, min_n)
+    # what several parts read is worked out once
+    per = graph.settled(bridge.predict(cells, models, draws))
+    r = graph.settled(harmonize.correlation(per, train, least=least_pairs))
+    alpha = graph.settled(bridge.reference_alpha(models))
+    full = graph.settled(harmonize.judged(harmonize.fleet(per, r), spine, window, min_n))
     base = full.select(*KEY, "q10", "q50", "q90", "top", "n")
     of = lambda d, s: d.where(F.col("s") == s)
+    cells = graph.settled(cells)
     own, ref = of(cells, new), of(cells, C.REFERENCE_SENSOR)
     late = own.where(F.col("year") >= held_out).select(*KEY)
     here = late.where(F.col("unit") != panel.COUNTRY)
     both = here.join(ref.select(*KEY), KEY)
     in_overlap = F.col("year").between(*overlap) & (F.col("unit") != panel.COUNTRY)
     judged = lambda d: evaluation.judge(d, base, min_n)
-    raw = raw_base(cells, spine, window)
+    raw = graph.settled(raw_base(cells, spine, window))
     candidates = {
         "bridges": judged(of(per, new)),
         "raw_counts": raw_codes(own.select(*KEY, F.col("d").cast("double").alias("v")), raw, min_n),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scores
-from . import baseline, bridge, panel, validation
+from . import baseline, bridge, graph, panel, validation
 
 KEY = ["unit", "year", "p"]
 
@@ -47,5 +47,6 @@ def judged(combined: DataFrame, spine: DataFrame, window: tuple[int, int], min_n
 def verdicts(cells: DataFrame, models: DataFrame, spine: DataFrame, window: tuple[int, int], train: tuple[int, int], draws: int = bridge.DRAWS, disabled: tuple[int, ...] = (), min_n: int = C.MIN_BASELINE_N, least: int = 100) -> DataFrame:
     """The whole way. cells: valid ones, as bridge.predict takes them; models: as bridge.fit_bridges
     gives them; spine: all units, years and periods."""
-    per_sensor = bridge.predict(cells, models, draws)
-    return judged(fleet(per_sensor, correlation(per_sensor, train, least=least), disabled), spine, window, min_n)
+    # read several times, by the calibration, the mean and the baseline
+    per_sensor = graph.settled(bridge.predict(cells, models, draws))
+    return judged(graph.settled(fleet(per_sensor, correlation(per_sensor, train, least=least), disabled)), spine, window, min_n)
