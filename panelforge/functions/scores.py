@@ -14,6 +14,13 @@ def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
     return reduce(lambda total, c: total * x + c, coefficients[1:], F.lit(coefficients[0]))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places by its scaled double, as SQL engines do: 0.5045, which is a little less than
+    that, becomes 0.504, where Spark's own round goes by the printed digits and gives 0.505."""
+    scale = float(10**places)
+    return F.round(x * scale) / scale
+
+
 def normal_cdf(x: Column) -> Column:
     """Distribution function of the standard normal, to about 1e-15; null for null."""
     z = F.abs(x)

@@ -166,7 +166,7 @@ def dropped_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def export_eligible(spark: SparkSession, sf: str) -> DataFrame:
-    cover = panel.coverage_cells(fx.coverage(spark, sf), CELL).select(*CELL, F.round(F.round("coverage", 6), 3).alias("coverage"))
+    cover = panel.coverage_cells(fx.coverage(spark, sf), CELL).select(*CELL, scores.rounded(F.round("coverage", 6), 3).alias("coverage"))
     cells = evaluation.judge(_fleet(spark, sf), _base(spark, sf), MIN_N).join(cover, CELL, "left")
     return publish.eligible(cells, 1997)
 
