@@ -50,8 +50,8 @@ def overlap_parent(spark: SparkSession, sf: str) -> DataFrame:
 def overlap_areas(spark: SparkSession, sf: str) -> DataFrame:
     """All overlaps of districts with each other, which have the same shape and often cross."""
     d = districts(spark, sf)
-    both = overlay.overlaps(d, d.withColumnRenamed("unit_idx", "other"), parent="other")
-    return both.where(F.col("unit_idx") < F.col("other")).select("unit_idx", "other", F.round("overlap", 8).alias("overlap")).where(F.col("overlap") > 0)
+    both = overlay.overlaps(d, d.withColumnRenamed("unit_idx", "other"), parent="other", ordered=True)
+    return both.select("unit_idx", "other", F.round("overlap", 8).alias("overlap")).where(F.col("overlap") > 0)
 
 
 def land_parcels(spark: SparkSession, sf: str) -> DataFrame:

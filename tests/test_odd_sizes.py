@@ -4,7 +4,8 @@ import os
 
 from helpers import rows_of, sql_rows
 
-from panelforge.plans import catalogue
+from panelforge.operators import overlay
+from panelforge.plans import catalogue, geometry_queries
 
 
 def changed_tables(duck, data, folder, **tables):
@@ -27,3 +28,19 @@ def test_coverage_half_way_between_two_steps(spark, duck, data, tmp_path):
     got = rows_of(catalogue.QUERIES["export_eligible"](spark, str(tmp_path)))
     assert got == sql_rows(other, catalogue.ORACLE_SQL["export_eligible"])
     assert {50.4} == {r["coverage"] for r in catalogue.QUERIES["export_eligible"](spark, str(tmp_path)).collect()}
+
+
+def test_pairs_of_shapes_in_blocks_and_by_edges(spark, monkeypatch):
+    """Crowded cells are dealt into blocks, large shapes go by edges; all ways find the same pairs, each once."""
+    shapes = geometry_queries.districts(spark, "/root/testdata/sf0.01")
+    found = {}
+    for name, few, block in (("blocks", 256, 3), ("whole", 256, 2000), ("mixed", 10, 2000), ("edges", 0, 2000)):
+        monkeypatch.setattr(overlay, "FEW_EDGES", few)
+        monkeypatch.setattr(overlay, "BLOCK", block)
+        rows = overlay.overlaps(shapes, shapes.withColumnRenamed("unit_idx", "other"), parent="other", ordered=True).collect()
+        found[name] = {(r["unit_idx"], r["other"]): r["overlap"] for r in rows}
+        assert len(rows) == len(found[name]) and all(a < b for a, b in found[name])
+    assert len(found["whole"]) > 80
+    for name, pairs in found.items():
+        assert pairs.keys() == found["whole"].keys(), name
+        assert all(abs(v - found["whole"][k]) < 1e-9 for k, v in pairs.items())
