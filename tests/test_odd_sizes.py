@@ -3,8 +3,9 @@
 import os
 
 from helpers import rows_of, sql_rows
+from pyspark.sql import functions as F
 
-from panelforge.operators import overlay
+from panelforge.operators import dedupe, graph, overlay
 from panelforge.plans import catalogue, geometry_queries
 
 
@@ -44,3 +45,18 @@ def test_pairs_of_shapes_in_blocks_and_by_edges(spark, monkeypatch):
     for name, pairs in found.items():
         assert pairs.keys() == found["whole"].keys(), name
         assert all(abs(v - found["whole"][k]) < 1e-9 for k, v in pairs.items())
+
+
+def test_tables_of_nodes_are_not_broadcast(spark):
+    """Neither the rounds of components nor the joins with rows send a table of nodes through the driver."""
+    plans = []
+
+    def store(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    graph.components(spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), store)
+    points = spark.range(2000).select("id", F.lit("N").alias("s"), F.lit("2020-02-01 07:30:00").cast("timestamp").alias("t"), (20 + F.col("id") % 50 * 0.001).alias("lat"), (90 + F.col("id") % 40 * 0.001).alias("lon"), F.lit(1.0).alias("frp"))
+    plans.append(dedupe.proximity(points)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastExchange" in p for p in plans)
