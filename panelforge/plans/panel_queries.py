@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import periods, scores
-from ..operators import baseline, bridge, dedupe, harmonize, panel, passes, staticmask, validation
+from ..operators import baseline, bridge, dedupe, graph, harmonize, panel, passes, staticmask, validation
 from ..sources import fixtures as fx
 from ..sources.fixtures import SQL_COVERAGE as COV
 from ..sources.fixtures import SQL_DETECTIONS as DET
@@ -385,18 +385,26 @@ def _strata(spark: SparkSession, sf: str) -> DataFrame:
 BRIDGES = ((0, 1), (2, 1), (3, 2), (4, 3))
 
 
-#: Models by application and tables: queries that need them share one fit.
-_FITTED: dict[tuple[str, str], DataFrame] = {}
+#: Cells' sums and models by application and tables: queries that need them share one reading and one fit.
+_FITTED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def _bridges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Rates of all sensors and the models of all four bridges, with the operator's own draws and least rows."""
-    cells = panel.rates(_cells(spark, sf), 0.1, 0.0)
+def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sums of all sensors' cells, written once, as every side of every bridge and link reads them, and the
+    models of all four bridges, with the operator's own draws and least rows."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _FITTED:
+        sums = graph.settled(_cells(spark, sf))
+        cells = panel.rates(sums, 0.1, 0.0)
         pairs = [panel.sensor_pairs(cells, a, b).withColumn("bridge", F.lit(f"{C.SENSORS[a]}-{C.SENSORS[b]}")) for a, b in BRIDGES]
-        _FITTED[at] = bridge.fit_bridges(reduce(DataFrame.unionByName, pairs), _strata(spark, sf))
-    return cells, _FITTED[at]
+        _FITTED[at] = sums, bridge.fit_bridges(reduce(DataFrame.unionByName, pairs), _strata(spark, sf))
+    return _FITTED[at]
+
+
+def _bridges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rates of all sensors and the models of all four bridges."""
+    sums, models = _fitted(spark, sf)
+    return panel.rates(sums, 0.1, 0.0), models
 
 
 def nb_bridge(spark: SparkSession, sf: str) -> DataFrame:

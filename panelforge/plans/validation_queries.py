@@ -75,8 +75,8 @@ def raw_cloud_artifact(spark: SparkSession, sf: str) -> DataFrame:
 
 def validation_document(spark: SparkSession, sf: str) -> DataFrame:
     """The report over all sensors' cells and the country's, with the bridges' models."""
-    _, models = pq._bridges(spark, sf)
-    sums = panel.with_country(pq._cells(spark, sf), ["d", "dn", "clear", "cloud", "land"])
+    sums, models = pq._fitted(spark, sf)
+    sums = panel.with_country(sums, ["d", "dn", "clear", "cloud", "land"])
     cells = panel.rates(sums.withColumn("coverage", F.try_divide("clear", "land")), 0.1, 0.0)
     spine = _spine(spark, sf)
     spine = spine.unionByName(spine.select("year", "p").distinct().withColumn("unit", F.lit(panel.COUNTRY)), allowMissingColumns=True)

@@ -6,7 +6,7 @@ from helpers import rows_of, sql_rows
 from pyspark.sql import functions as F
 
 from panelforge.operators import dedupe, graph, overlay
-from panelforge.plans import catalogue, geometry_queries
+from panelforge.plans import catalogue, geometry_queries, panel_queries
 
 
 def changed_tables(duck, data, folder, **tables):
@@ -60,3 +60,10 @@ def test_tables_of_nodes_are_not_broadcast(spark):
     plans.append(dedupe.proximity(points)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 3 and any("SortMergeJoin" in p for p in plans)
     assert not any("BroadcastExchange" in p for p in plans)
+
+
+def test_bridges_read_the_tables_once(spark):
+    """Cells that all bridges and links read are stored: no file of the tables is in the plan of what follows."""
+    cells, models = panel_queries._bridges(spark, "/root/testdata/sf0.01")
+    assert not cells.inputFiles() and not models.inputFiles()
+    assert cells.count() > 1000 and models.select("bridge").distinct().count() == 4
