@@ -61,14 +61,21 @@ def fields(names: dict[str, Node], optional: tuple[str, ...] = (), others: bool
 _WORDS = {"number": "a number", "whole": "a whole number", "text": "a text", "flag": "true or false", "array": "an array", "object": "an object"}
 
 
-def _is(kind: str, value: Column, found: Column) -> Column:
+def _is(kind: str, value: Column, held: Column | None) -> Column:
+    """held: an array's items. The schema of a value is asked for where it is a single one: that of a container
+    reads all that is in it, at each depth again."""
+    if kind == "array":
+        return held.isNotNull()
+    if kind == "object":
+        return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    found = F.schema_of_variant(value)
     if kind in ("number", "whole"):
         numeric = found.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
         if kind == "number":
             return numeric
         as_double = F.try_variant_get(value, "$", "double")
         return numeric & (found.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | (as_double == F.floor(as_double)))
-    return {"text": found == "STRING", "flag": found == "BOOLEAN", "array": found.startswith("ARRAY"), "object": found.startswith("OBJECT")}[kind]
+    return {"text": found == "STRING", "flag": found == "BOOLEAN"}[kind]
 
 
 def _at(name: str) -> str:
@@ -79,12 +86,26 @@ def _said(path: Column, rule: str) -> Column:
     return F.concat(path, F.lit(f": {rule}"))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def violation(node: Node, value: Column, path: Column | None = None) -> Column:
     """The first violation of a VARIANT value that isn't SQL null, or null."""
     path = F.lit("") if path is None else path
+    if node.kind == "array":
+        out = _let(F.try_variant_get(value, "$", "array<variant>"), lambda held: _first(node, value, path, held))
+    else:
+        out = _first(node, value, path, None)
+    return F.when(~F.is_variant_null(value), out) if node.null else out
+
+
+def _first(node: Node, value: Column, path: Column, held: Column | None) -> Column:
+    """The first violation of a value that may not be null. held: the items, if it should be an array."""
     below = lambda part: F.when(path == "", part).otherwise(F.concat(path, F.lit("/"), part))
-    found = F.schema_of_variant(value)
-    wrong = ~_is(node.kind, value, found)
+    named = lambda n: lambda v: F.when(v.isNotNull(), violation(node.names[n], v, below(F.lit(n))))
+    wrong = ~_is(node.kind, value, held)
     own: list[tuple[Column, str]] = []
     inner: list[Column] = []
     if node.kind in ("number", "whole"):
@@ -94,10 +115,9 @@ def violation(node: Node, value: Column, path: Column | None = None) -> Column:
     elif node.kind == "text" and node.values is not None:
         own.append((~F.try_variant_get(value, "$", "string").isin(*node.values), "not one of " + ", ".join(node.values)))
     elif node.kind == "array":
-        every = F.try_variant_get(value, "$", "array<variant>")
-        own += [(F.size(every) < node.low, f"fewer than {node.low} items")] if node.low is not None else []
-        own += [(F.size(every) > node.high, f"more than {node.high} items")] if node.high is not None else []
-        each = F.transform(every, lambda x, i: violation(node.item, x, below(i.cast("string"))))
+        own += [(F.size(held) < node.low, f"fewer than {node.low} items")] if node.low is not None else []
+        own += [(F.size(held) > node.high, f"more than {node.high} items")] if node.high is not None else []
+        each = F.transform(held, lambda x, i: violation(node.item, x, below(i.cast("string"))))
         inner.append(F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)))
     elif node.kind == "object":
         own += [(F.try_variant_get(value, _at(n), "variant").isNull(), f"{n} is missing") for n in node.required]
@@ -106,14 +126,12 @@ def violation(node: Node, value: Column, path: Column | None = None) -> Column:
             own.append((F.size(extra) > 0, "a name that isn't known"))
         for n in sorted(node.names):
             there = F.try_variant_get(value, _at(n), "variant")
-            inner.append(F.when(there.isNotNull(), violation(node.names[n], there, below(F.lit(n)))))
+            inner.append(_let(there, named(n)))
     cases = F.when(wrong, _said(path, f"not {_WORDS[node.kind]}"))
     for broken, rule in own:
         cases = cases.when(broken, _said(path, rule))
-    out = F.coalesce(cases, *inner) if inner else cases
-    # what is in a value of the wrong kind isn't looked at
-    out = F.when(wrong, _said(path, f"not {_WORDS[node.kind]}")).otherwise(out) if inner else out
-    return F.when(~F.is_variant_null(value), out) if node.null else out
+    # what is in a value of the wrong kind isn't looked at, as its case comes first
+    return F.coalesce(cases, *inner) if inner else cases
 
 
 def violations(documents: DataFrame, node: Node, column: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ import os
 from helpers import rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from panelforge.operators import dedupe, graph, overlay
+from panelforge.operators import dedupe, graph, overlay, schemas
 from panelforge.plans import catalogue, geometry_queries, panel_queries
 
 
@@ -67,3 +67,13 @@ def test_bridges_read_the_tables_once(spark):
     cells, models = panel_queries._bridges(spark, "/root/testdata/sf0.01")
     assert not cells.inputFiles() and not models.inputFiles()
     assert cells.count() > 1000 and models.select("bridge").distinct().count() == 4
+
+
+def test_schemas_ask_single_values_only_for_their_kind(spark):
+    """Containers aren't read whole at each depth, and a kind that differs still is the first violation."""
+    node = schemas.fields({"cells": schemas.items(schemas.fields({"d": schemas.number(0)}), 1)})
+    texts = ['{"cells":[{"d":1},{"d":-1}]}', '{"cells":[null]}', '{"cells":null}', '{"cells":{"d":1}}', '[1]', 'null', '{"cells":[{"d":1}]}', '{"cells":[{"d":"1"}]}']
+    df = schemas.violations(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, value string"), node)
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("schemaofvariant") <= 2  # a call is printed twice
+    got = [r["violation"] for r in df.orderBy("k").collect()]
+    assert got == ["cells/1/d: below 0", "cells/0: not an object", "cells: not an array", "cells: not an array", ": not an object", ": not an object", None, "cells/0/d: not a number"]
