@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import mosaic, overlay, simplify, spatial
+from ..operators import graph, mosaic, overlay, simplify, spatial
 from ..sources import fixtures as fx
 
 #: Corners of a district and of a parent as multiples of its size (thousandths), and holes of some.
@@ -56,8 +56,9 @@ def overlap_areas(spark: SparkSession, sf: str) -> DataFrame:
 
 def land_parcels(spark: SparkSession, sf: str) -> DataFrame:
     """A parcel for each customer on a grid forty wide, with winding borders that neighbours share."""
-    k = F.col("c_custkey")
-    cells = fx.table(spark, sf, "customer").select(k.alias("unit_idx"), (k % 40).cast("int").alias("i"), F.floor(k / 40).cast("int").alias("j"))
+    k, customers = F.col("c_custkey"), fx.table(spark, sf, "customer").select("c_custkey")
+    # few files hold many parcels, of 33 points each
+    cells = customers.repartition(simplify.tasks(customers, 33), "c_custkey").select(k.alias("unit_idx"), (k % 40).cast("int").alias("i"), F.floor(k / 40).cast("int").alias("j"))
     bend = lambda i, j, s: ((i * 31 + j * 17 + s * s * 7) % 11 - 5) * 0.002
 
     def side(i, j, across: bool, back: bool):
@@ -82,7 +83,7 @@ def simplified_borders(spark: SparkSession, sf: str) -> DataFrame:
     parcels = land_parcels(spark, sf)
     count = lambda c: F.size(F.flatten(F.flatten(c)))
     sized = lambda d, s: d.select("unit_idx", count("polygons").cast("long").alias(f"points_{s}"), F.round(geo.area_km2(F.col("polygons")), 4).alias(f"area_{s}"))
-    return sized(parcels, "before").join(sized(simplify.simplified(parcels, least=4e-6), "after"), "unit_idx")
+    return sized(parcels, "before").join(graph.shuffled(sized(simplify.simplified(parcels, least=4e-6), "after")), "unit_idx")
 
 
 def footprint_units(spark: SparkSession, sf: str) -> DataFrame:

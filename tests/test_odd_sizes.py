@@ -5,7 +5,7 @@ import os
 from helpers import rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from panelforge.operators import dedupe, graph, overlay, schemas
+from panelforge.operators import dedupe, graph, overlay, schemas, simplify
 from panelforge.plans import catalogue, geometry_queries, panel_queries
 
 
@@ -77,3 +77,22 @@ def test_schemas_ask_single_values_only_for_their_kind(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("schemaofvariant") <= 2  # a call is printed twice
     got = [r["violation"] for r in df.orderBy("k").collect()]
     assert got == ["cells/1/d: below 0", "cells/0: not an object", "cells: not an array", "cells: not an array", ": not an object", ": not an object", None, "cells/0/d: not a number"]
+
+
+def test_borders_are_dealt_by_their_points(spark, tmp_path, monkeypatch):
+    """Parcels of one file go to as many tasks as their points need, with the same borders, also where zeros differ in sign."""
+    spark.range(160).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    borders = lambda shapes: sorted((r["unit_idx"], r["polygons"]) for r in simplify.simplified(shapes, least=4e-6).collect())
+    whole = borders(geometry_queries.land_parcels(spark, str(tmp_path)))
+    monkeypatch.setattr(simplify, "TASK_POINTS", 400, raising=False)
+    parcels = geometry_queries.land_parcels(spark, str(tmp_path))
+    assert len(whole) == 160 and borders(parcels) == whole
+    # 160 parcels of 33 points each, 400 a task on average
+    assert simplify.arcs(parcels.coalesce(1), "unit_idx").rdd.getNumPartitions() == 14
+    assert "hashpartitioning" in (plan := simplify.simplified(parcels)._jdf.queryExecution().executedPlan().toString())
+    assert "Broadcast" not in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and ", 14)" not in x]
+    box = lambda w, o, zero: [[[(w, zero), (o, zero), (o, 1.0), (w, 1.0), (w, zero)]]]
+    below = [[[(0.0, -1.0), (2.0, -1.0), (2.0, 0.0), (1.0, 0.0), (0.0, 0.0), (0.0, -1.0)]]]
+    schema = "unit_idx long, polygons array<array<array<struct<x: double, y: double>>>>"
+    cut = [simplify.arcs(spark.createDataFrame([(0, box(0.0, 1.0, z)), (1, box(1.0, 2.0, z)), (2, below)], schema), "unit_idx").count() for z in (0.0, -0.0)]
+    assert cut == [9, 9]
