@@ -1,6 +1,8 @@
 """Cases that only larger or odd tables show."""
 
+import math
 import os
+from itertools import groupby
 
 from helpers import rows_of, sql_rows
 from pyspark.sql import functions as F
@@ -96,3 +98,16 @@ def test_borders_are_dealt_by_their_points(spark, tmp_path, monkeypatch):
     schema = "unit_idx long, polygons array<array<array<struct<x: double, y: double>>>>"
     cut = [simplify.arcs(spark.createDataFrame([(0, box(0.0, 1.0, z)), (1, box(1.0, 2.0, z)), (2, below)], schema), "unit_idx").count() for z in (0.0, -0.0)]
     assert cut == [9, 9]
+
+
+def test_close_pairs_meet_by_places(spark, monkeypatch):
+    """Crowded places are cut into blocks, no pair is lost or twice, and all pairs of an a follow one another."""
+    monkeypatch.setattr(dedupe, "BLOCK", 4, raising=False)
+    places = [(20.0 + k % 7 * 0.0009, 90.0 - k % 5 * 0.0011) for k in range(35)] + [(-0.0, 0.0), (0.0, -0.0), (None, 1.0), (float("nan"), 1.0)]
+    points = [(i, "NT"[i % 2], places[i * 11 % 39] if i % 3 else places[i % 2 * 35]) for i in range(240)]
+    rows = spark.createDataFrame([(i, s, *at) for i, s, at in points], "id long, s string, lat double, lon double").withColumn("t", F.lit("2020-02-01 07:30:00").cast("timestamp"))
+    xy = {i: (lon * 111.32 * math.cos(math.radians(lat)), lat * 111.32) for i, _, (lat, lon) in points if lat is not None}
+    wanted = [(a, b) for a, s, _ in points for b, z, _ in points if a < b and s == z and a in xy and b in xy and math.dist(xy[a], xy[b]) <= 0.2]
+    got = dedupe.close_pairs(rows, 0.2).select(F.spark_partition_id(), "a", "b").collect()
+    assert sorted((a, b) for _, a, b in got) == wanted and len(wanted) > 2000
+    assert len([a for a, _ in groupby(a for _, a, _ in got)]) == len({a for a, _ in wanted})
