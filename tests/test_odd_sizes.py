@@ -1,7 +1,9 @@
 """Cases that only larger or odd tables show."""
 
+import datetime as dt
 import math
 import os
+import random
 from itertools import groupby
 
 from helpers import rows_of, sql_rows
@@ -111,3 +113,39 @@ def test_close_pairs_meet_by_places(spark, monkeypatch):
     got = dedupe.close_pairs(rows, 0.2).select(F.spark_partition_id(), "a", "b").collect()
     assert sorted((a, b) for _, a, b in got) == wanted and len(wanted) > 2000
     assert len([a for a, _ in groupby(a for _, a, _ in got)]) == len({a for a, _ in wanted})
+
+
+def test_rounds_of_components_do_not_pile_up(spark):
+    """A round hands on a table of known size, not the product that a join is taken to have: its digits would double each round."""
+    place = random.Random(5).sample(range(150), 150)
+    found = graph.components(spark.createDataFrame(list(zip(place, place[1:], strict=False)), "a long, b long"))
+    assert found.select("root").distinct().collect() == [(0,)]
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert max(leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size())) < 1 << 60
+
+
+def test_components_of_parts(spark):
+    """Parts and batches cut components anywhere; nodes that several of them share tie them together again."""
+    rng = random.Random(3)
+    edges = [(k, k + rng.choice([1, 1, 2, 7]), k // 50) for k in range(600) if k % 45] + [(900, 901, p) for p in range(5)] + [(901, 850, 9)]
+    rng.shuffle(edges)
+    root = {n: n for a, b, _ in edges for n in (a, b)}
+    for _ in range(600):
+        for a, b, _ in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "a long, b long, part int")
+    for batch in (1, 40, 1 << 20):
+        got = graph.parted_components(table.coalesce(1), batch).collect()
+        assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+    assert graph.parted_components(table.where("a < 0")).collect() == []
+
+
+def test_proximity_over_tiles_and_gaps(spark, monkeypatch):
+    """A chain over many tiles is one group; rows that lack a place, sensor or time are alone."""
+    monkeypatch.setattr(dedupe, "TILE", 2, raising=False)
+    t = dt.datetime(2024, 1, 1)
+    points = [(k, "N", t, 24.0 + 0.001 * (k % 60), 90.0 + 0.0005 * (k % 60), float(k % 7)) for k in range(150)]
+    points += [(200, None, t, 24.0, 90.0, 1.0), (201, None, t, 24.0, 90.0, 1.0), (202, "N", None, 24.0, 90.0, 1.0), (203, "N", t, None, 90.0, 9.0), (204, "N", t, 10.0, 90.0, None), (205, "N", t, 10.0, 90.0, None)]
+    got = dedupe.proximity(spark.createDataFrame(points, "id long, s string, t timestamp, lat double, lon double, frp double"))
+    assert got.columns == ["id", "s", "t", "lat", "lon", "frp", "group_root", "group_size"]
+    assert {(r["id"], r["group_root"], r["group_size"]) for r in got.collect()} == {(6, 0, 150), (200, 200, 1), (201, 201, 1), (202, 202, 1), (203, 203, 1), (204, 204, 2)}
