@@ -149,3 +149,13 @@ def test_proximity_over_tiles_and_gaps(spark, monkeypatch):
     got = dedupe.proximity(spark.createDataFrame(points, "id long, s string, t timestamp, lat double, lon double, frp double"))
     assert got.columns == ["id", "s", "t", "lat", "lon", "frp", "group_root", "group_size"]
     assert {(r["id"], r["group_root"], r["group_size"]) for r in got.collect()} == {(6, 0, 150), (200, 200, 1), (201, 201, 1), (202, 202, 1), (203, 203, 1), (204, 204, 2)}
+
+
+def test_pairs_of_a_crowded_cell_are_dealt(spark, monkeypatch):
+    """Points of one cell go to several tasks, each pair is found once, and cells with few points aren't dealt."""
+    monkeypatch.setattr(dedupe, "SLICE", 40, raising=False)
+    known = lambda value: F.when(F.col("id") >= 0, value)
+    spread = spark.range(330).select("id", known("N").alias("s"), known(F.lit("2020-02-01 07:30:00").cast("timestamp")).alias("t"), (24.0 + F.when(F.col("id") < 300, F.col("id") % 5 * 0.0001).otherwise(F.col("id") * 0.01)).alias("lat"), F.lit(90.0).alias("lon"))
+    got = dedupe.close_pairs(spread, 0.2).select("a", "b", F.spark_partition_id().alias("at")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(a, b) for a in range(300) for b in range(a + 1, 300)]
+    assert len({r["at"] for r in got}) > 2
